@@ -1,0 +1,183 @@
+"""Batches of whole texts, and questions between them.
+
+A :class:`Store` holds documents packed into batches of a few MB, compressed, in a
+table bucketed by batch number: later passes join what they have learned so far
+back to their batch without moving text again.
+
+:meth:`Store.ask` is one distributed lookup. Each batch sends, for every bucket of
+a key space, one blob with its own different keys (however often it holds them:
+a key that every document has costs one entry per batch, not one per document);
+a bucket answers every batch with a few bits per key, in the order of the keys.
+Answers of all rounds are kept in one table. Rounds are written to the shared
+folder, so a lost executor repeats no finished round.
+"""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trackloom.llm.arrowio import BYTES, ROWS
+from trackloom.plans.runtime import Scratch, ship
+
+BATCH = 2_000_000
+BUCKET = 24_000_000  # bytes of text that a bucket answers for
+
+
+@dataclass
+class Batch:
+    """Whole documents: ids (None allowed), and their UTF-8 bytes end to end."""
+
+    number: int
+    ids: list
+    ends: np.ndarray
+    data: bytes
+    answers: dict = field(default_factory=dict)  # round: {bucket: array of answers}
+
+    def text(self, i: int) -> bytes:
+        return self.data[int(self.ends[i - 1]) if i else 0 : int(self.ends[i])]
+
+    def answer(self, stage: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+        """The answers to ``keys`` (sorted, as they were sent)."""
+        got = self.answers.get(stage, {})
+        parts = [got[b][: hi - lo] for b, lo, hi in slices(keys, buckets)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) for sorted 64-bit keys."""
+    if len(keys):
+        b = bucket_of(keys, buckets).astype(np.int64)
+        cut = np.flatnonzero(np.diff(b)) + 1
+        edges = [0, *cut.tolist(), len(keys)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield int(b[lo]), lo, hi
+
+
+class Store:
+    def __init__(self, docs: DataFrame, scratch: Scratch, batch_bytes: int = BATCH):
+        spark = self.spark = docs.sparkSession
+        ship(spark)
+        self.scratch = scratch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+        self.parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.name = f"trackloom_batches_{uuid.uuid4().hex[:12]}"
+
+        packed = docs.select("doc_id", "text").mapInArrow(lambda b: _pack(b, batch_bytes), "ids binary, missing binary, ends binary, raw long, data binary")
+        packed = packed.withColumn("batch", F.monotonically_increasing_id()).repartition(self.parts, "batch")
+        packed.write.bucketBy(self.parts, "batch").option("compression", "uncompressed").saveAsTable(self.name)
+        atexit.register(self.drop)
+        self.table = spark.table(self.name)
+        total = self.table.agg(F.sum("raw").alias("s")).first()["s"] or 0
+        self.buckets = max(4 * self.parts, -(-total // BUCKET))
+        self.stages: list[DataFrame] = []
+
+    def drop(self) -> None:
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        except Exception:  # the session may be gone at exit
+            pass
+
+    def batches(self) -> DataFrame:
+        """Every batch with the answers it has had so far."""
+        if not self.stages:
+            return self.table.withColumn("answers", F.lit(None).cast("array<struct<stage:int,bucket:int,bits:binary>>"))
+        every = self.stages[0]
+        for more in self.stages[1:]:
+            every = every.unionByName(more)
+        known = every.groupBy("batch").agg(F.collect_list(F.struct("stage", "bucket", "bits")).alias("answers"))
+        return self.table.join(known.hint("shuffle_hash"), "batch", "left")
+
+    def map(self, make: Callable[[], Callable[[Batch], Iterator[tuple]]], schema: pa.Schema, ddl: str) -> DataFrame:
+        def run(batches):
+            f = make()
+            for rows in batches:
+                for batch in _unpack(rows):
+                    out = list(f(batch))
+                    for i in range(0, len(out), 20_000):
+                        cols = list(zip(*out[i : i + 20_000], strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+        # a batch is a few MB: hand the worker a few at a time
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+        return self.batches().select("batch", "ids", "missing", "ends", "data", "answers").mapInArrow(run, ddl)
+
+    def ask(self, question: Callable[[], Callable[[Batch], tuple[np.ndarray, Callable[[int, int], bytes]]]], reply: Callable[[list[bytes]], list[np.ndarray]]) -> None:
+        """One round. ``question()(batch)`` gives sorted keys and a function that
+        packs keys from..to (with what belongs to them) into bytes;
+        ``reply(blobs)`` gives an array of small numbers per blob, one per key."""
+        buckets, stage = self.buckets, len(self.stages) + 1
+
+        def make():
+            f = question()
+
+            def rows(batch: Batch):
+                keys, pack = f(batch)
+                for b, lo, hi in slices(keys, buckets):
+                    yield b, batch.number, pack(lo, hi)
+
+            return rows
+
+        asked = self.map(make, pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())]), "bucket int, batch long, blob binary")
+        out = pa.schema([("stage", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
+
+        def answer(t: pa.Table) -> pa.Table:
+            got = reply(t["blob"].to_pylist())
+            z = zstandard.ZstdCompressor(level=1)
+            n = t.num_rows
+            return pa.Table.from_arrays([pa.array([stage] * n, pa.int32()), t["batch"].combine_chunks(), t["bucket"].combine_chunks(), pa.array([z.compress(g.astype(np.uint8).tobytes()) for g in got], pa.binary())], schema=out)
+
+        told = asked.groupBy("bucket").applyInArrow(answer, "stage int, batch long, bucket int, bits binary")
+        self.stages.append(self.scratch.keep(told, f"answers-{stage}"))
+
+
+def _pack(batches, limit: int):
+    ids: list = []
+    sizes: list[int] = []
+    parts: list[bytes] = []
+    size, z = 0, zstandard.ZstdCompressor(level=3)
+    names = ["ids", "missing", "ends", "raw", "data"]
+
+    def flush():
+        known = np.array([i or 0 for i in ids], "<i8").tobytes()
+        missing = np.packbits([i is None for i in ids]).tobytes() if None in ids else b""
+        row = [known, missing, np.cumsum(sizes).astype("<i8").tobytes(), size, z.compress(b"".join(parts))]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=names)
+
+    for batch in batches:
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            t = t or b""
+            if ids and size + len(t) > limit:
+                yield flush()
+                ids, sizes, parts, size = [], [], [], 0
+            ids.append(i)
+            sizes.append(len(t))
+            parts.append(t)
+            size += len(t)
+    if ids:
+        yield flush()
+
+
+def _unpack(rows: pa.RecordBatch) -> Iterator[Batch]:
+    z = zstandard.ZstdDecompressor()
+    for number, ids, missing, ends, data, answers in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        known: list = np.frombuffer(ids, "<i8").tolist()
+        if missing:
+            known = [None if m else i for i, m in zip(known, np.unpackbits(np.frombuffer(missing, np.uint8), count=len(known)), strict=True)]
+        got: dict = {}
+        for a in answers or []:
+            got.setdefault(a["stage"], {})[a["bucket"]] = np.frombuffer(z.decompress(a["bits"]), np.uint8)
+        yield Batch(number, known, np.frombuffer(ends, "<i8"), z.decompress(data), got)

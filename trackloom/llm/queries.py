@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import bpe_tree, packing, secrets, simhash, token_files
+from trackloom.llm import bpe_tree, debruijn_dedup, packing, quality, secrets, simhash, suffix_dedup, token_files, vectors
 from trackloom.plans.runtime import table
 
 
@@ -20,10 +20,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,15 +43,27 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_nnls_packing": op4_nnls_packing,
+    "op5_decision_lists": op5_decision_lists,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_secret_linking": op7_secret_linking,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_debruijn_dedup": op9_debruijn_dedup,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}
