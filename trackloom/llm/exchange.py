@@ -15,6 +15,7 @@ folder, so a lost executor repeats no finished round.
 from __future__ import annotations
 
 import atexit
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -40,6 +41,7 @@ class Batch:
     ids: list
     ends: np.ndarray
     data: bytes
+    extra: list
     answers: dict = field(default_factory=dict)  # round: {bucket: array of answers}
 
     def text(self, i: int) -> bytes:
@@ -67,6 +69,8 @@ def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 
 class Store:
+    """``docs`` has doc_id and text; a string column ``extra``, if any, travels along."""
+
     def __init__(self, docs: DataFrame, scratch: Scratch, batch_bytes: int = BATCH):
         spark = self.spark = docs.sparkSession
         ship(spark)
@@ -76,7 +80,8 @@ class Store:
         self.parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"trackloom_batches_{uuid.uuid4().hex[:12]}"
 
-        packed = docs.select("doc_id", "text").mapInArrow(lambda b: _pack(b, batch_bytes), "ids binary, missing binary, ends binary, raw long, data binary")
+        packed = docs.select("doc_id", "text", *[c for c in ("extra",) if c in docs.columns])
+        packed = packed.mapInArrow(lambda b: _pack(b, batch_bytes), "ids binary, missing binary, ends binary, raw long, data binary, extra binary")
         packed = packed.withColumn("batch", F.monotonically_increasing_id()).repartition(self.parts, "batch")
         packed.write.bucketBy(self.parts, "batch").option("compression", "uncompressed").saveAsTable(self.name)
         atexit.register(self.drop)
@@ -113,7 +118,7 @@ class Store:
 
         # a batch is a few MB: hand the worker a few at a time
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-        return self.batches().select("batch", "ids", "missing", "ends", "data", "answers").mapInArrow(run, ddl)
+        return self.batches().select("batch", "ids", "missing", "ends", "data", "extra", "answers").mapInArrow(run, ddl)
 
     def ask(self, question: Callable[[], Callable[[Batch], tuple[np.ndarray, Callable[[int, int], bytes]]]], reply: Callable[[list[bytes]], list[np.ndarray]]) -> None:
         """One round. ``question()(batch)`` gives sorted keys and a function that
@@ -148,24 +153,28 @@ def _pack(batches, limit: int):
     ids: list = []
     sizes: list[int] = []
     parts: list[bytes] = []
+    more: list = []
     size, z = 0, zstandard.ZstdCompressor(level=3)
-    names = ["ids", "missing", "ends", "raw", "data"]
+    names = ["ids", "missing", "ends", "raw", "data", "extra"]
 
     def flush():
         known = np.array([i or 0 for i in ids], "<i8").tobytes()
         missing = np.packbits([i is None for i in ids]).tobytes() if None in ids else b""
-        row = [known, missing, np.cumsum(sizes).astype("<i8").tobytes(), size, z.compress(b"".join(parts))]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=names)
+        row = [known, missing, np.cumsum(sizes).astype("<i8").tobytes(), size, z.compress(b"".join(parts)), z.compress(json.dumps(more).encode()) if more else b""]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+        extra = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+        for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True)):
             t = t or b""
             if ids and size + len(t) > limit:
                 yield flush()
-                ids, sizes, parts, size = [], [], [], 0
+                ids, sizes, parts, more, size = [], [], [], [], 0
             ids.append(i)
             sizes.append(len(t))
             parts.append(t)
+            if extra:
+                more.append(extra[k])
             size += len(t)
     if ids:
         yield flush()
@@ -173,11 +182,11 @@ def _pack(batches, limit: int):
 
 def _unpack(rows: pa.RecordBatch) -> Iterator[Batch]:
     z = zstandard.ZstdDecompressor()
-    for number, ids, missing, ends, data, answers in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+    for number, ids, missing, ends, data, extra, answers in zip(*(c.to_pylist() for c in rows.columns), strict=True):
         known: list = np.frombuffer(ids, "<i8").tolist()
         if missing:
             known = [None if m else i for i, m in zip(known, np.unpackbits(np.frombuffer(missing, np.uint8), count=len(known)), strict=True)]
         got: dict = {}
         for a in answers or []:
             got.setdefault(a["stage"], {})[a["bucket"]] = np.frombuffer(z.decompress(a["bits"]), np.uint8)
-        yield Batch(number, known, np.frombuffer(ends, "<i8"), z.decompress(data), got)
+        yield Batch(number, known, np.frombuffer(ends, "<i8"), z.decompress(data), json.loads(z.decompress(extra)) if extra else [], got)

@@ -168,4 +168,15 @@ def judge(docs: DataFrame, rules: list[list[Condition]], keep: tuple[str, ...] =
     d = features(statistics(docs, keep))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
-    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & accepted(rules)).alias("kept"))
+    # A filter on the verdict would be pushed below the statistics, where each use of
+    # one repeats its whole expression (inside lambdas: per element). A row number,
+    # not being deterministic, keeps filters above.
+    kept = F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & accepted(rules))
+    return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
+    """The rows of ``docs`` (all columns, unchanged) that the base and the learned
+    rules keep."""
+    rules = learn(docs, labels, bound)
+    return judge(docs.select(F.struct("*").alias("_row"), "text"), rules, ("_row",)).where("kept").select("_row.*")

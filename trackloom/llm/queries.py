@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import bpe_tree, debruijn_dedup, packing, quality, secrets, simhash, suffix_dedup, token_files, vectors
+from trackloom.llm import bpe_tree, debruijn_dedup, line_templates, packing, quality, secrets, simhash, suffix_dedup, token_files, vectors
 from trackloom.plans.runtime import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,12 +20,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.deduplicate(table(spark, sf_dir, "documents"), mode="digest")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe_tree.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_tree.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +56,12 @@ def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_line_templates": op2_line_templates,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_nnls_packing": op4_nnls_packing,
     "op5_decision_lists": op5_decision_lists,

@@ -16,9 +16,11 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackloom.llm.arrowio import map_rows
+from trackloom.llm.arrowio import BYTES, ROWS, map_rows
+from trackloom.plans.runtime import ship
 
 KINDS = ("assign", "access", "hex", "id", "part", "endpoint")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -123,3 +125,24 @@ def redact(text: str | None, scope: int = 200) -> str | None:
         elif b > at:
             at = b
     return "".join([*out, text[at:]])
+
+
+def redact_documents(docs: DataFrame, scope: int = 200) -> DataFrame:
+    """The rows of ``docs`` with reported secrets replaced in ``text``; ``n_chars``,
+    where present, follows. Other columns pass through; null text stays null."""
+    spark, names = docs.sparkSession, docs.columns
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+
+    def run(batches):
+        for batch in batches:
+            cols = list(batch.columns)
+            texts = [redact(t, scope) for t in batch.column(names.index("text")).to_pylist()]
+            for name, values in (("text", texts), ("n_chars", [None if t is None else len(t) for t in texts])):
+                if name in names:
+                    i = names.index(name)
+                    cols[i] = pa.array(values, type=cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

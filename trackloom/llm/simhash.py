@@ -168,3 +168,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3) -> Data
     least = label.groupBy("c").agg(F.min("first").alias("component_id"))
     named = scratch.keep(label.join(least, "c").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_each_group(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` (all columns, unchanged) whose document is the smallest
+    of its near-duplicate group. Rows with a null ``doc_id`` stay."""
+    found = near_duplicates(docs, threshold, width)
+    later = found.where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
