@@ -125,10 +125,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_docs:
     ship(spark)
     bounds = _bounds(docs, shard_docs)
     n = len(bounds) + 1
-    tokens = encode_documents(docs, tokenizer, end_id)
-
-    shard_of = _bisect(bounds)(F.col("doc_id")) if bounds else F.lit(0)
-    dealt = tokens.withColumn("shard", shard_of).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    tokens = encode_documents(docs, tokenizer, end_id, bounds)
+    dealt = tokens.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
 
     def run(batches):
         writer = None
@@ -155,17 +153,6 @@ def _bounds(docs: DataFrame, shard_docs: int) -> list[int]:
     return sorted({int(x) for x in keys.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards).alias("p")).first()["p"]})
 
 
-def _bisect(bounds: list[int]):
-    import pandas as pd  # noqa: F401
-
-    @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(np.array(bounds, np.int64), ids.fillna(bounds[0] - 1).to_numpy(np.int64), side="right")
-        return pd.Series(at.astype("int32"))
-
-    return shard
-
-
 class _Writer:
     def __init__(self, folder: str, shard: int):
         self.fs, base = _filesystem(folder)

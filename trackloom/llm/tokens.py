@@ -10,6 +10,7 @@ against each other.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import unicodedata
@@ -123,10 +124,11 @@ def _latin(text: str) -> bool:
     return True
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``(doc_id, n, ids)``: ids with ``end_id`` appended, as unsigned 16-bit
+def encode_documents(docs: DataFrame, path: str, end_id: int, bounds: list[int] | None = None) -> DataFrame:
+    """``(doc_id, n, ids, shard)``: ids with ``end_id`` appended, as unsigned 16-bit
     little-endian bytes where the vocabulary allows, else 32-bit. Null text counts
-    as empty; repeated rows stay; other columns are ignored."""
+    as empty; repeated rows stay; other columns are ignored. ``shard`` counts the
+    ``bounds`` at or below doc_id (null: 0)."""
 
     def make():
         tok = FileTokenizer(path)
@@ -136,11 +138,11 @@ def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         def rows(cols):
             for d, t in zip(*cols, strict=True):
                 ids = tok.encode(t or "")
-                yield d, len(ids) + 1, ids.astype(kind).tobytes() + end
+                yield d, len(ids) + 1, ids.astype(kind).tobytes() + end, 0 if d is None or not bounds else bisect.bisect_right(bounds, d)
 
         return rows
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, ids binary", make)
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, ids binary, shard int", make)
 
 
 def unpack(ids: bytes, n: int) -> np.ndarray:
