@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
         now = _mark(nxt)
         e = nxt
         if now == size:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            roots = e.select(F.col("v").alias("u"), "v").distinct()
+            return e.unionByName(roots).select(F.col("u").alias("id"), F.col("v").alias("component"))
         size = now
     raise RuntimeError("components did not settle")
 
@@ -48,3 +49,26 @@ def _mark(e: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     r = e.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("s")).first()
     return r["n"], r["x"], r["s"]
+
+
+def grid_components(cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """8-connected components of cells ``(cell, gx, gy)``: ``(cell, component)``."""
+    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) > (0, 0)]))
+    near = cells.select(F.col("cell").alias("src"), "gx", "gy", step.alias("s")).select("src", (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy"))
+    edges = near.join(cells.select(F.col("cell").alias("dst"), "gx", "gy"), ["gx", "gy"]).select("src", "dst")
+    cc = connected_components(edges, scratch, "cells")
+    return cells.join(cc.withColumnRenamed("id", "cell"), "cell", "left").select("cell", F.coalesce("component", "cell").alias("component"))
+
+
+def collapse_chains(absorbed: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
+    """``(src, dst)`` absorb steps to ``(src, root)`` by pointer jumping."""
+    d = scratch.keep(absorbed.select("src", F.col("dst").alias("root")), "chain-0")
+    for k in range(1, max_rounds + 1):
+        hop = d.select(F.col("src").alias("root"), F.col("root").alias("_next"))
+        nxt = scratch.keep(d.join(hop, "root", "left").select("src", F.coalesce("_next", "root").alias("root")), f"chain-{k}")
+        moved = nxt.join(d.withColumnRenamed("root", "_old"), "src").where("root != _old").limit(1).count()
+        scratch.drop(f"chain-{k - 1}")
+        d = nxt
+        if not moved:
+            return d
+    raise RuntimeError("absorb chains did not settle")
