@@ -5,8 +5,8 @@ rotation the dimensions are split into blocks, each with a share of that distanc
 in proportion to its size; a pair within the whole distance is within its share in
 at least one block. So each block is range-joined on its own: a grid on the
 block's leading coordinates, with cells twice the block's radius wide, gives each
-vector one home cell, and a copy goes to every cell its ball touches. Candidates
-are verified exactly by cosine in double precision, and a pair counts in the first
+vector one home cell, and a copy goes to every lower cell its ball touches, so that
+a pair meets in the lower of its two homes. Candidates are verified exactly by cosine in double precision, and a pair counts in the first
 block where it is within its share, so the union over blocks holds it once.
 
 Equal vectors are collapsed first. A cell with many vectors is cut into tiles of
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from trackloom.operators.graph import connected_components
 from trackloom.plans.runtime import Scratch, ship
 
-BLOCKS, CELL_DIMS, TILE, STRIP = 4, 2, 32_768, 256
+BLOCKS, CELL_DIMS, TILE, STRIP, SPAN = 4, 3, 32_768, 128, 4096
 SLACK = 1e-6
+LEFT, HOME, VISITOR = 0, 1, 2
 
 
 class Rotation:
@@ -46,13 +47,16 @@ class Rotation:
         return (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ self.matrix
 
     def cells(self, z: np.ndarray, b: int):
-        """(row, cell, is home) for block ``b`` of rotated vectors ``z``."""
+        """(row, cell, is home) for block ``b`` of rotated vectors ``z``: the home
+        cell, and lower cells in reach."""
         lo, hi = self.blocks[b]
         dims = min(CELL_DIMS, hi - lo)
         r = np.sqrt(self.budget[b]) * (1 + SLACK) + 1e-9
         x = z[:, lo : lo + dims] / (2 * r)
         home = np.floor(x).astype(np.int64)
         for step in product((-1, 0, 1), repeat=dims):
+            if step > (0,) * dims:
+                continue
             c = home + np.array(step)
             gap = np.maximum(np.maximum(c - x, x - c - 1), 0)
             near = np.flatnonzero((gap * gap).sum(axis=1) <= 0.25 * (1 + SLACK))
@@ -99,15 +103,15 @@ def _place(classes: DataFrame, cosine: float, tiles: dict | None) -> DataFrame:
                             if not nh:
                                 continue
                             pick = (ids[rows[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                            for role, own, n_own, n_other in ((0, pick % np.uint64(nh), nh, nr), (1, pick % np.uint64(nr), nr, nh)):
-                                if role == 0 and not home:
-                                    continue
-                                for other in range(n_other):
-                                    for mine in range(n_own):
-                                        sel = at[own == mine]
-                                        if len(sel):
-                                            i, j = (mine, other) if role == 0 else (other, mine)
-                                            yield pa.RecordBatch.from_arrays([pa.array([f"{key}:{i}:{j}"] * len(sel)), pa.array([role] * len(sel), pa.int32()), pa.array(ids[rows[sel]]), pa.array(mult[rows[sel]]), emb.take(pa.array(rows[sel]))], names=["tile", "role", "id", "mult", "embedding"])
+                            # a home is left once per right part and, like a visitor, right once per left part
+                            roles = [(LEFT, nh, nr), (HOME, nr, nh)] if home else [(VISITOR, nr, nh)]
+                            for role, n_own, n_other in roles:
+                                own = pick % np.uint64(n_own)
+                                for other, mine in product(range(n_other), range(n_own)):
+                                    sel = at[own == mine]
+                                    if len(sel):
+                                        i, j = (mine, other) if role == LEFT else (other, mine)
+                                        yield pa.RecordBatch.from_arrays([pa.array([f"{key}:{i}:{j}"] * len(sel)), pa.array([role] * len(sel), pa.int32()), pa.array(ids[rows[sel]]), pa.array(mult[rows[sel]]), emb.take(pa.array(rows[sel]))], names=["tile", "role", "id", "mult", "embedding"])
                 if counts:
                     yield pa.RecordBatch.from_pylist([{"cell": k, "homes": h, "all": a} for k, (h, a) in counts.items()], schema=pa.schema([("cell", pa.string()), ("homes", pa.int64()), ("all", pa.int64())]))
 
@@ -116,7 +120,7 @@ def _place(classes: DataFrame, cosine: float, tiles: dict | None) -> DataFrame:
 
 
 def _compare(cosine: float):
-    """Links of one tile: per home vector its count, per vector its root."""
+    """Links of one tile: per vector its count and its root."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -130,29 +134,37 @@ def _compare(cosine: float):
         norm = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
         lo, hi = rot.blocks[b]
         x = z[:, lo:hi].astype(np.float32)
-        sq = (x * x).sum(axis=1)
-        homes, reps = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        sq = (x * x).sum(axis=1, keepdims=True)
+        one = np.ones_like(sq)
+        by_id = np.argsort(ids, kind="stable")
+        left = by_id[role[by_id] == LEFT]
+        own, visitors = by_id[role[by_id] == HOME], np.flatnonzero(role == VISITOR)
+        right = np.concatenate((own, visitors))
         every, number = np.unique(ids, return_inverse=True)
         root, count = np.arange(len(every)), np.zeros(len(every), np.int64)
-        xr, sr = x[reps].T.copy(), sq[reps]
-        for s in range(0, len(homes), STRIP):
-            h = homes[s : s + STRIP]
-            d2 = sq[h][:, None] + sr[None, :] - 2 * (x[h] @ xr)
-            p, q = np.nonzero(d2 <= rot.budget[b] + 1e-5)
-            for t in range(0, len(p), 32_768):
-                i, j = h[p[t : t + 32_768]], reps[q[t : t + 32_768]]
-                other = ids[i] != ids[j]
-                i, j = i[other], j[other]
-                keep = np.ones(len(i), bool)
-                for k in range(b + 1):
-                    near = _squared(z[i], z[j], *rot.blocks[k]) <= rot.budget[k] * (1 + SLACK)
-                    keep &= near if k == b else ~near
-                i, j = i[keep], j[keep]
-                a, c = v[i].astype(np.float64), v[j].astype(np.float64)
-                link = (a * c).sum(axis=1) / (norm[i] * norm[j]) >= cosine
-                i, j = i[link], j[link]
-                count += np.bincount(number[i], weights=mult[j], minlength=len(every)).astype(np.int64)
-                _unite(root, number[i], number[j])
+        # one product gives |a|^2 + |b|^2 - 2ab
+        a_side, b_side = np.hstack((-2 * x, sq, one))[left], np.ascontiguousarray(np.hstack((x, one, sq))[right].T)
+        limit = np.float32(rot.budget[b] + 1e-5)
+        for s in range(0, len(left), STRIP):
+            strip = left[s : s + STRIP]
+            first = int(np.searchsorted(ids[own], ids[strip[0]], side="right"))  # homes below meet it as left ones
+            for u in range(first, len(right), SPAN):
+                p, q = np.nonzero(a_side[s : s + STRIP] @ b_side[:, u : u + SPAN] <= limit)
+                for t in range(0, len(p), 32_768):
+                    i, j = strip[p[t : t + 32_768]], right[u + q[t : t + 32_768]]
+                    once = (ids[i] < ids[j]) | (role[j] == VISITOR)
+                    i, j = i[once], j[once]
+                    keep = np.ones(len(i), bool)
+                    for k in range(b + 1):
+                        near = _squared(z[i], z[j], *rot.blocks[k]) <= rot.budget[k] * (1 + SLACK)
+                        keep &= near if k == b else ~near
+                    i, j = i[keep], j[keep]
+                    v_i, v_j = v[i].astype(np.float64), v[j].astype(np.float64)
+                    link = (v_i * v_j).sum(axis=1) / (norm[i] * norm[j]) >= cosine
+                    i, j = i[link], j[link]
+                    for here, there in ((i, j), (j, i)):
+                        count += np.bincount(number[here], weights=mult[there], minlength=len(every)).astype(np.int64)
+                    _unite(root, number[i], number[j])
         said = np.flatnonzero((count > 0) | (root != np.arange(len(every))))
         return pa.Table.from_arrays([pa.array(every[said], pa.int64()), pa.array(count[said], pa.int64()), pa.array(every[root[said]], pa.int64())], schema=schema)
 
