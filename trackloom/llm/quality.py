@@ -91,29 +91,31 @@ class Condition:
 def fit(rows: list[dict], min_precision: float = 0.99, min_cover: int = 5, max_conditions: int = 4, max_rules: int = 12, cuts: int = 48) -> list[list[Condition]]:
     """Ordered conjunctions that find rows with ``bad`` set. ``rows`` hold the
     features, ``bad`` and ``fold`` (0, 1: grow; 2: prune)."""
-    grow, prune, rules = [r for r in rows if r["fold"] < 2], [r for r in rows if r["fold"] == 2], []
-    while len(rules) < max_rules:
-        rule = _grow(grow, max_conditions, cuts)
-        while len(rule) > 1 and _worth(rule[:-1], prune) >= _worth(rule, prune):
-            rule = rule[:-1]
-        if not rule:
-            break
-        hit = [r for r in grow if all(c.holds(r) for c in rule)]
-        test = [r for r in prune if all(c.holds(r) for c in rule)]
-        every = hit + test
+    grow, prune, rules, tries = [r for r in rows if r["fold"] < 2], [r for r in rows if r["fold"] == 2], [], 0
+    hits = lambda rule, some: [r for r in some if all(c.holds(r) for c in rule)]
+
+    def precise(rule: list[Condition]) -> bool:
+        test = hits(rule, prune)
+        every = hits(rule, grow) + test
         bad = sum(r["bad"] for r in every)
-        if bad < min_cover or bad < min_precision * len(every) or sum(r["bad"] for r in test) < min_precision * len(test):
+        return bad >= min_cover and bad >= min_precision * len(every) and sum(r["bad"] for r in test) >= min_precision * len(test)
+
+    while len(rules) < max_rules and tries < 2 * max_rules:
+        tries += 1
+        full = _grow(grow, max_conditions, cuts)
+        if not full:
             break
-        rules.append(rule)
-        grow, prune = [r for r in grow if not all(c.holds(r) for c in rule)], [r for r in prune if not all(c.holds(r) for c in rule)]
+        # prune: of its precise beginnings the one that is worth most on the held-out third, the shorter on ties
+        kept = [full[:k] for k in range(1, len(full) + 1) if precise(full[:k])]
+        if kept:
+            rule = max(kept, key=lambda p: (sum(r["bad"] for r in hits(p, prune)), -len(p)))
+            rules.append(rule)
+            grow, prune = [r for r in grow if not all(c.holds(r) for c in rule)], [r for r in prune if not all(c.holds(r) for c in rule)]
+        else:  # these can't be told apart this way: look for others
+            grow = [r for r in grow if not (r["bad"] and all(c.holds(r) for c in full))]
     return rules
 
 
-def _worth(rule: list[Condition], rows: list[dict]) -> float:
-    hit = [r["bad"] for r in rows if all(c.holds(r) for c in rule)]
-    return (2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0
-
-
 def _grow(rows: list[dict], most: int, cuts: int) -> list[Condition]:
     rule: list[Condition] = []
     while len(rule) < most:
