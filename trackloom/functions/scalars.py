@@ -68,7 +68,7 @@ def iso_seconds(x) -> Column:
 
 def last_meaningful_line(x) -> Column:
     """The last line with text; '' without one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c(x), F.lit("")), "\n"), trimmed), lambda v: v != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(c(x), F.lit("")), "\n"), lambda v: trimmed(v)), lambda v: v != "")
     return F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
 
 

@@ -69,7 +69,7 @@ def balance_sides(df: DataFrame, group: list[str], side: str, confidence: str, a
 
 def range_list(df: DataFrame, spec: str, name: str = "item") -> DataFrame:
     """Expand 'qm1-qm3, sf2' to qm1, qm2, qm3, sf2; what isn't a range stays."""
-    d = df.withColumn("_p", F.explode(F.filter(F.transform(F.split(F.col(spec), ","), F.trim), lambda x: x != "")))
+    d = df.withColumn("_p", F.explode(F.filter(F.transform(F.split(F.col(spec), ","), lambda x: F.trim(x)), lambda x: x != "")))
     pat = "^([a-z]+)(\\d+)-([a-z]*)(\\d+)$"
     lo, hi, head = F.regexp_extract("_p", pat, 2).try_cast("int"), F.regexp_extract("_p", pat, 4).try_cast("int"), F.regexp_extract("_p", pat, 1)
     many = F.when(F.col("_p").rlike(pat) & (lo <= hi), F.transform(F.sequence(lo, hi), lambda i: F.concat(head, i.cast("string"))))
