@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly per-row work: one that is scanned in fewer parts than there
+    are cores (a small file, so little data) is dealt out."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    scan = df._jdf.queryExecution().toRdd()  # plans the scan, runs nothing
+    return df.repartition(cores) if scan.getNumPartitions() < cores else df
+
+
 _fallback: dict[str, str] = {}
 
 
