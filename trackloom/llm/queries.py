@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm import bpe_tree, debruijn_dedup, line_templates, packing, quality, secrets, simhash, suffix_dedup, token_files, vectors
-from trackloom.plans.runtime import table
+from trackloom.plans.runtime import spread_table, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,11 +17,11 @@ def vocabulary(name: str) -> str:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread_table(spark, sf_dir, "documents"))
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.deduplicate(table(spark, sf_dir, "documents"), mode="digest")
+    return line_templates.deduplicate(spread_table(spark, sf_dir, "documents"), mode="digest")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,34 +29,34 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return packing.digest(packing.pack_documents(spread_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe_tree.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_tree.digests(spread_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return secrets.scan_documents(spread_table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+    return suffix_dedup.deduplicate(spread_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debruijn_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+    return debruijn_dedup.deduplicate(spread_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_files.round_trip(spread_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
