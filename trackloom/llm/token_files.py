@@ -185,6 +185,8 @@ class _Writer:
         with self.fs.open_output_stream(self.tmp + ".mph") as f:
             f.write(HEAD.pack(MAGIC, n, len(move), self.width, self.first[-1]) + move.astype("<i8").tobytes() + prints.tobytes() + np.array(self.first, "<u8").tobytes() + record.tobytes())
         for end in (".ids", ".mph"):
+            if self.fs.get_file_info(self.path + end).is_file:  # of an earlier attempt; not all stores rename over files
+                self.fs.delete_file(self.path + end)
             self.fs.move(self.tmp + end, self.path + end)
         row = {"shard": self.shard, "docs": n, "ids": self.first[-1], "low": self.low, "high": self.high}
         return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
