@@ -124,8 +124,10 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> Da
 
 def folds(df: DataFrame, order: str, k: int) -> DataFrame:
     """Holdout fold of each different value of ``order``: its rank modulo k."""
-    ids = df.select(order).distinct().withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(k)))
-    return df.join(ids, order)
+    from trackloom.operators.windows import numbered
+
+    ids = numbered(df.select(order).distinct(), [order], "_n")
+    return df.join(ids.select(order, F.pmod(F.col("_n") - 1, F.lit(k)).alias("fold")), order)
 
 
 def robust_location(df: DataFrame, key: str, x: str, y: str, least: int = 6, max_error: float = 2.0) -> DataFrame:

@@ -61,10 +61,12 @@ def absent(roster: DataFrame, seen: DataFrame, named: DataFrame, key: str, answe
 def clip_split(df: DataFrame, clip: str, share: float) -> DataFrame:
     """Split by source clip, whole clips together: in order of a clip's hash, valid
     until ``share`` of the clips is reached."""
-    ids = df.select(clip).distinct()
-    n = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy(F.lit(1))) * share))
-    r = F.row_number().over(Window.orderBy(F.xxhash64(clip), clip))
-    return df.join(ids.withColumn("split", F.when(r <= n, "valid").otherwise("train")), clip)
+    from trackloom.operators.windows import numbered
+
+    ids = numbered(df.select(clip, F.xxhash64(clip).alias("_h")).distinct(), ["_h", clip], "_r")
+    n = df.select(clip).distinct().agg(F.greatest(F.lit(1), F.bround(F.count("*") * share)).alias("_n"))  # one row
+    split = ids.crossJoin(n).select(clip, F.when(F.col("_r") <= F.col("_n"), "valid").otherwise("train").alias("split"))
+    return df.join(split, clip)
 
 
 def retire_rounds(labels: DataFrame, bundle: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
