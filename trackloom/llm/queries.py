@@ -71,4 +71,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_debruijn_dedup": op9_debruijn_dedup,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.95),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id""",
+    "op8_suffix_dedup": """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, t[s + 1 : s + 50] AS k FROM b, unnest(range(0, n - 49)) u(s)),
+m AS (SELECT k, min(doc_id) AS f FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+d AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM w JOIN m ON w.k = m.k WHERE f < doc_id),
+i AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s - p > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM d),
+g AS (SELECT doc_id, run, min(s) AS lo, max(s) + 50 AS hi FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM g),
+a AS (SELECT k.doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS last FROM k JOIN b ON k.doc_id = b.doc_id GROUP BY k.doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN a ON a.doc_id = b.doc_id""",
+    "op9_debruijn_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s : s + 34], ' ') AS k FROM w, unnest(range(1, len(ws) - 33)) u(s)),
+d AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM d, unnest(range(s, s + 35)) u(p)),
+left_ AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w) x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_ ON left_.doc_id = w.doc_id""",
+}
