@@ -31,7 +31,7 @@ def deduplicate(docs: DataFrame, digest: bool = False, window: int = WINDOW, kme
     words. Repeated rows are occurrences of their own; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "debruijn")
-    store = Store(docs, scratch)
+    store = Store(docs.select("doc_id", "text"), scratch)
     covered = repeats.decide(store, repeats.word_tokens, window, kmer, earlier=False)
 
     def make():

@@ -36,7 +36,7 @@ def deduplicate(docs: DataFrame, digest: bool = False, threshold: int = THRESHOL
     other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    store = Store(docs, scratch)
+    store = Store(docs.select("doc_id", "text"), scratch)
     covered = repeats.decide(store, repeats.byte_tokens, threshold, prefix, earlier=True)
 
     def make():
