@@ -126,7 +126,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_docs:
     bounds = _bounds(docs, shard_docs)
     n = len(bounds) + 1
     tokens = encode_documents(docs, tokenizer, end_id, bounds)
-    dealt = tokens.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = tokens.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
 
     def run(batches):
         writer = None
