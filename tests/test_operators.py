@@ -277,3 +277,12 @@ def test_robust_location(spark):
     rows = [("a", 1 + i % 3 * 0.1, 2.0) for i in range(9)] + [("a", 90.0, 90.0), ("b", 0.0, 0.0)]
     r = A.robust_location(spark.createDataFrame(rows, "k string, x double, y double"), "k", "x", "y").collect()
     assert len(r) == 1 and r[0].x == pytest.approx(1.1) and r[0].n == 9
+
+
+def test_votes_by_matrix_and_by_join(spark):
+    rng = np.random.default_rng(2)
+    q = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(30)] + [(99, None)], "qid long, vector array<double>")
+    g = spark.createDataFrame([(f"L{i % 4}", [float(x) for x in rng.normal(size=6)]) for i in range(14)], "label string, vector array<double>")
+    a, b = ({r.qid: (r.label, round(r.score, 7), round(r.margin, 7)) for r in M.prototype_votes(q, g, bound=n).collect()} for n in (100, 5))
+    assert a == b and len(a) == 30
+    assert M.prototype_votes(q, g.where("label = 'none'")).collect() == []

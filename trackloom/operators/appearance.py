@@ -3,22 +3,57 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
 from trackloom.operators import aggregates, selection
+from trackloom.plans.runtime import ship
 
 
-def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, digits: int = 9) -> DataFrame:
+#: Prototypes that are handed to every task; a larger gallery is joined instead.
+GALLERY = 50_000
+
+
+def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, digits: int = 9, bound: int = GALLERY) -> DataFrame:
     """Each query (qid, vector) with the label whose ``top`` nearest prototypes
     (label, vector) are closest on average by cosine; ties by label.
 
-    The prototypes are a curated gallery (a few per label), so each query block
-    meets the whole gallery; similarities are rounded before they are compared.
+    A gallery is curated, so it is small: up to ``bound`` rows go to every task as one
+    matrix and queries meet it a batch at a time. Similarities and scores are rounded
+    before they are compared. Null vectors are left out.
     """
-    p = prototypes.select("label", S.unit("vector").alias("_p"))
-    q = queries.select("qid", S.unit("vector").alias("_q"))
+    rows = prototypes.where("vector is not null").select("label", S.unit("vector").alias("v")).limit(bound + 1).collect()
+    if len(rows) > bound:
+        return _votes_by_join(queries, prototypes, top, digits)
+    rows.sort(key=lambda r: r["label"])
+    labels = sorted({r["label"] for r in rows})
+    matrix = np.array([r["v"] for r in rows], float)
+    edges = np.searchsorted([labels.index(r["label"]) for r in rows], np.arange(len(labels) + 1)) if rows else np.zeros(1, int)
+    kinds = {k: d.schema[k].dataType.simpleString() for k, d in (("qid", queries), ("label", prototypes))}
+    ship(queries.sparkSession)
+
+    def run(batches):
+        for p in batches:
+            if not labels or not len(p):
+                continue
+            q = np.array(p["vector"].tolist(), float)
+            sim = np.round(q @ matrix.T / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), digits)
+            best = [-np.sort(-sim[:, a:b], axis=1)[:, :top].mean(axis=1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            score = np.round(np.stack(best, axis=1), digits)
+            order = np.argsort(-score, axis=1, kind="stable")
+            at = np.arange(len(q))
+            first = score[at, order[:, 0]]
+            margin = np.round(first - score[at, order[:, 1]], digits) if len(labels) > 1 else np.full(len(q), np.nan)
+            yield pd.DataFrame({"qid": p["qid"], "label": [labels[i] for i in order[:, 0]], "score": first, "margin": margin})
+
+    return queries.where("vector is not null").select("qid", "vector").mapInPandas(run, f"qid {kinds['qid']}, label {kinds['label']}, score double, margin double")
+
+
+def _votes_by_join(queries: DataFrame, prototypes: DataFrame, top: int, digits: int) -> DataFrame:
+    p = prototypes.where("vector is not null").select("label", S.unit("vector").alias("_p"))
+    q = queries.where("vector is not null").select("qid", S.unit("vector").alias("_q"))
     sim = q.crossJoin(p).select("qid", "label", F.round(S.dot("_q", "_p"), digits).alias("sim"))
     best = selection.top_mean(sim, ["qid", "label"], "sim", top).withColumn("score", F.round("top_mean", digits))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")
