@@ -236,7 +236,10 @@ def test_sequences():
     assert np.allclose(x, np.arange(20) * 0.2, atol=0.02) and (sd < 0.1).all()
     v = np.array([[1.0, 0]] * 15 + [[0, 1.0]] * 15)
     assert W.change_points(v, 12, 0.5, 12) == [15]
-    assert W.valid_intervals(np.arange(8.0), [True, True, False, True, False, False, True, True]) == [(0.0, 3.0), (6.0, 7.0)]
+    ok, mv = "ok", "moved"
+    assert W.valid_intervals(list(range(8)), [ok, ok, mv, ok, mv, mv, ok, ok], sample=1.0) == [(0, 3), (6, 7)]
+    assert W.valid_intervals([0, 2, 4, 6, 8], ["ok", "blank", None, "blank", "ok"]) == [(0, 8)]
+    assert W.valid_intervals([0, 2, 4, 6, 8], ["ok", "cut", None, "cut", None]) == [] and W.valid_intervals([], []) == []
     assert sorted(O.shuffled(7, 5)) == list(range(7))
     assert O.cover([{1, 2}, {2, 3, 4}, {1}], {}, np.array([0.0, 10.0, 20.0]), 2, 1.0) == [1, 0]
 
@@ -286,3 +289,17 @@ def test_votes_by_matrix_and_by_join(spark):
     a, b = ({r.qid: (r.label, round(r.score, 7), round(r.margin, 7)) for r in M.prototype_votes(q, g, bound=n).collect()} for n in (100, 5))
     assert a == b and len(a) == 30
     assert M.prototype_votes(q, g.where("label = 'none'")).collect() == []
+
+
+def test_corrections_bands_and_second_best(spark):
+    x, y = S.corrected(F.lit(3.0), F.lit(4.0), [{"op": "radialShift", "fromXY": [0, 0], "meters": 5}, {"op": "similarity", "scale": 2, "translationM": [1, 0]}])
+    r = one(spark, x=x, y=y)
+    assert (r.x, r.y) == (pytest.approx(13.0), pytest.approx(16.0))
+    with pytest.raises(ValueError):
+        S.corrected(F.lit(1.0), F.lit(1.0), [{"op": "twist"}])
+    b = spark.createDataFrame([(1, 2.0, 5), (2, 14.3, 3), (3, 8.0, 99)], "band int, centre double, ends int")
+    assert [(r.band, r.mirrored) for r in O.mirrored_bands(b, 16.541).collect()] == [(1, True), (2, True), (3, False)]
+    c = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.3), (2, "a", 0.2), (2, "b", 0.21), (3, "a", 0.9)], "k int, v string, s double")
+    assert [(r.k, r.v) for r in O.clear_winner(c, ["k"], "s", ["v"], 0.70, 1.25).collect()] == [(1, "a")]
+    score = np.array([[5.0, 4.9], [0.0, 9.0]])
+    assert G.assign(score, {(0, 1)}, must=False)[0] == [0, 1] and G.unstable(score, set(), 0.2, must=False) == [0] and G.unstable(score, set(), 0.01, must=False) == []

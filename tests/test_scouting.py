@@ -112,9 +112,10 @@ def test_hub_fusion(spark):
 
 
 def test_foreign_sheet(spark):
-    raw = spark.createDataFrame([("7", "88", "Y", "1", "12", "Very Effective", "1")], "`m (MatchScouting1)` string, `Team Number` string, DidEndRung2 string, AutoCollectDepot string, CalculatedAuto string, PostDefenseRating string, AutoCollectOutpost string")
+    raw = spark.createDataFrame([("7", "88", "Y", "1", "12", "Very Effective", "1", "1", "b", "d", "1", "[20]")], "`m (MatchScouting1)` string, `Team Number` string, DidEndRung2 string, AutoCollectDepot string, CalculatedAuto string, PostDefenseRating string, AutoCollectOutpost string, Period1RoleNeutral string, PeriodOnePerformance string, PeriodTwoPerformance string, Period2RolePassing string, PrematchAutoStart string")
     r = P.foreign_sheet(raw).first()
     assert (r["Climbed"], r["Auto Action 2"], r["Defense Skill"], r["Auto Action 1"], r["No Show"]) == ("L2", "Collect Depot+Outpost", "8", "Scored", "FALSE")
+    assert (r["TS1 Scorer?"], r["S2 Scorer?"], r["S2 Shuttler?"], r["Scoring Effectiveness"], r["Starting Position"]) == ("TRUE", "FALSE", "TRUE", "9.0", "Hub")
     native = spark.createDataFrame([("1",)], "`Match Number` string")
     assert P.foreign_sheet(native) is native
     assert [x.g for x in spark.createDataFrame([("a",), ("J ",), ("z",)], "v string").select(P.letter_grade("v").alias("g")).collect()] == [10, 1, None]

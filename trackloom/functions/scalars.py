@@ -232,6 +232,25 @@ def metres_to_pixels(x, y, x0: float, y1: float, per_metre: float) -> tuple[Colu
     return c(x) * per_metre + x0, F.lit(y1) - c(y) * per_metre
 
 
+def corrected(x, y, steps: Sequence[dict]) -> tuple[Column, Column]:
+    """A position through ordered steps: ``radialShift`` moves it away from a point by
+    so many metres, ``similarity`` scales about the origin and translates. Other
+    steps are refused, so that nothing is half applied."""
+    x, y = c(x), c(y)
+    for step in steps:
+        if step["op"] == "radialShift":
+            cx, cy = map(float, step["fromXY"])
+            n = F.hypot(x - cx, y - cy)
+            far = F.when(n > 1e-9, float(step["meters"]) / n).otherwise(0.0)
+            x, y = x + (x - cx) * far, y + (y - cy) * far
+        elif step["op"] == "similarity" and step.get("about", "origin") == "origin":
+            k, (tx, ty) = float(step["scale"]), map(float, step["translationM"])
+            x, y = x * k + tx, y * k + ty
+        else:
+            raise ValueError(f"unknown step {step!r}")
+    return x, y
+
+
 def fold_radius(k1: float, k2: float) -> float:
     """The radius past which r (1 + k1 r^2 + k2 r^4) turns back; inf if nowhere."""
     if abs(5 * k2) < 1e-12:

@@ -30,13 +30,14 @@ def best_permutation(cost: np.ndarray) -> list[int]:
     return perms[int(cost[np.arange(n), perms].sum(axis=1).argmin())].tolist()
 
 
-def assign(score: np.ndarray, forbidden: set, pinned: dict[int, int] | None = None, must: bool = True, budget: int = 200_000) -> tuple[list[int], float, bool]:
+def assign(score: np.ndarray, forbidden: set, pinned: dict[int, int] | None = None, must: bool = True, budget: int = 200_000, other_than: list[int] | None = None) -> tuple[list[int], float, bool]:
     """Items to labels (or -1), maximising the score sum.
 
     ``score[i, k]``; pairs in ``forbidden`` can't share a label; ``must``: each label
     is used. Depth-first branch and bound on items by how much they can gain, with
     the sum of best remaining scores as bound. Returns (labels, value, proven): past
-    ``budget`` nodes the best found so far comes back, not proven.
+    ``budget`` nodes the best found so far comes back, not proven. ``other_than``:
+    this answer is forbidden, which gives the second best.
     """
     n, m = score.shape
     pinned = pinned or {}
@@ -53,6 +54,8 @@ def assign(score: np.ndarray, forbidden: set, pinned: dict[int, int] | None = No
         if must and unused > n - d:
             return
         if d == n:
+            if labels == other_than:
+                return
             state["value"], state["labels"] = value, labels.copy()
             return
         i = order[d]
@@ -96,3 +99,11 @@ def link_fragments(birth: np.ndarray, death: np.ndarray, cost: dict[tuple[int, i
             taken.add(options[0][1])
             out.append((options[0][1], b))
     return out
+
+
+def unstable(score: np.ndarray, forbidden: set, close: float, **more) -> list[int]:
+    """Items whose label differs in the second-best answer, if that one is within
+    ``close`` of the best."""
+    first, value, _ = assign(score, forbidden, **more)
+    second, other, _ = assign(score, forbidden, other_than=first, **more)
+    return [i for i in range(len(score)) if first[i] != second[i]] if value - other <= close else []

@@ -82,6 +82,25 @@ def hot_cells(cells: DataFrame, rate: Column, p: float) -> DataFrame:
     return d.crossJoin(d.agg(F.percentile("rate", p).alias("_cut"))).where("rate >= _cut").drop("_cut")  # one row
 
 
+def mirrored_bands(bands: DataFrame, width: float, within: float = 0.40) -> DataFrame:
+    """Bands ``(band, centre, ends)`` with whether another one lies at the mirrored
+    place; mirrored first, then by ``ends``."""
+    from trackloom.operators.joins import within_window
+
+    a, b = bands.select(F.col("band").alias("a"), (F.lit(width) - F.col("centre")).alias("want")), bands.select(F.col("band").alias("b"), F.col("centre").alias("at"))
+    twin = within_window(a, b, [], "want", "at", within).where("a != b").select(F.col("a").alias("band")).distinct().withColumn("_m", F.lit(True))
+    d = bands.join(twin, "band", "left").withColumn("mirrored", F.coalesce("_m", F.lit(False))).drop("_m")
+    return d.orderBy(F.desc("mirrored"), F.desc("ends"), "band")
+
+
+def clear_winner(df: DataFrame, key: list[str], score: str, order: list, most: float, margin: float) -> DataFrame:
+    """The lowest-scoring row per key, if its score is at most ``most`` and the
+    runner-up's at least ``margin`` times as large."""
+    w = Window.partitionBy(*key).orderBy(score, *order)
+    d = df.withColumns({"_r": F.row_number().over(w), "_second": F.lead(score).over(w)}).where("_r = 1")
+    return d.where((F.col(score) <= most) & (F.col("_second").isNull() | (F.col("_second") >= F.col(score) * margin))).drop("_r", "_second")
+
+
 def agreeing_row(df: DataFrame, ident: str, x: str, within: float) -> DataFrame:
     """Each row with how many rows lie within ``within`` of it (bucketed)."""
     from trackloom.operators.joins import within_window

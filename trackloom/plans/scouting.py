@@ -497,14 +497,25 @@ def foreign_sheet(raw: DataFrame) -> DataFrame:
     tf = lambda b: F.when(b, "TRUE").otherwise("FALSE")
     zones = F.array_join(F.array_compact(F.array(*[F.when(yes(f"AutoCollect{z}"), z) for z in ("Depot", "Neutral", "Outpost")])), "+")
     defense = F.when(g("PostDefenseRating") == "Not Effective", "2").when(g("PostDefenseRating") == "Average", "5").when(g("PostDefenseRating") == "Very Effective", "8").otherwise("0")
+    role = lambda i, r: g(f"Period{i}Role{r}") == "1"
+    # Start codes, and the columns of the four period grades.
+    where = {"[4]": "Trench", "[36]": "Trench", "[20]": "Hub", "[12]": "Bump", "[28]": "Bump"}
+    periods = ("PeriodOnePerformance", "PeriodTwoPerformance", "PeriodThreePerformance", "PeriodFourPerformance")
+    start = F.coalesce(*[F.when(g("PrematchAutoStart") == k, v) for k, v in where.items()], F.lit(""))
+    grades = F.array_compact(F.array(*[F.when(role(i, "Alliance") | role(i, "Neutral"), letter_grade(g(c))) for i, c in enumerate(periods, 1)]))
+    mean = F.aggregate(grades, F.lit(0.0), lambda a, v: a + v) / F.greatest(F.size(grades), F.lit(1))
+    effect = S.half_up(mean * 10) / 10
     out = {
         "Match Number": g("m (MatchScouting1)"), "Team Number": g("Team Number"), "No Show": tf(yes("PostNoShow")), "Auto Action 1": F.when(S.leading_number(g("CalculatedAuto")) > 0, "Scored").otherwise("NoAction"),
         "Auto Action 2": F.when(zones != "", F.concat(F.lit("Collect "), zones)).otherwise(""), "Climbed Auto": tf(yes("AutoClimbYes")), "Successful Climb": tf(yes("AutoClimbYes")),
         "Fuel Scored in Auto?": F.when(g("CalculatedAuto") != "", g("CalculatedAuto")).otherwise("0"),
         "Climbed": F.when(yes("DidEndRung3"), "L3").when(yes("DidEndRung2"), "L2").when(yes("DidEndRung1"), "L1").otherwise("No"),
         "Scored Fuel in Endgame?": tf(yes("EndgameRoleAlliance") | yes("EndgameRoleNeutral")), "Passing Skill": F.when(g("PassingRolePerformance") != "", g("PassingRolePerformance")).otherwise("0"),
-        "Defense Skill": defense, "Shuttle Style?": F.lit(""), "Comments": g("PostNote"),
+        "Defense Skill": defense, "Shuttle Style?": F.lit(""), "Comments": g("PostNote"), "Starting Position": start, "Scoring Effectiveness": effect.cast("string"),
     }
+    for i, s in enumerate(("TS1", "S2", "S3", "S4"), 1):
+        held = {"Scorer": role(i, "Alliance") | role(i, "Neutral"), "Shuttler": role(i, "Passing"), "Defender": role(i, "Defending"), "Died": role(i, "NonFunctioning")}
+        out |= {f"{s} {k}?": tf(v) for k, v in held.items()}
     return raw.select(*([ORDER] if ORDER in have else []), *[v.alias(k) for k, v in out.items()])
 
 
