@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.plans.runtime import Scratch
+from trackloom.plans.runtime import Scratch, ship
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -15,9 +17,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     different vertices; ``component`` is the smallest id reachable. Self loops,
     nulls and repeated edges are ignored; an empty table gives an empty result.
 
-    Alternating large-star and small-star rounds: every step is a minimum per
-    vertex (combined map-side, so a hub costs one row per task) and an
-    equi-join that AQE may split. Each round is written to the shared folder.
+    Each round first joins what meets within one scan partition (bounded by the
+    split size), then takes a large-star and a small-star step: minima per vertex
+    (combined map-side, so a hub costs one row per task) and equi-joins that AQE may
+    split. Each round is written to the shared folder.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     e = scratch.keep(e.where("u != v").distinct(), f"{name}-0")
@@ -25,6 +28,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     if size[0] == 0:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for k in range(1, max_rounds + 1):
+        e = _contract(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -45,6 +49,39 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     raise RuntimeError("components did not settle")
 
 
+def join_roots(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the pairs (u, v) in ``root``, the smallest known partner of each item."""
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            nxt = root[root]
+            if (nxt == root).all():
+                break
+            root[:] = nxt
+
+
+def _contract(e: DataFrame) -> DataFrame:
+    """Edges of each partition as stars around its components' smallest vertices."""
+    ship(e.sparkSession)
+
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+            root = np.arange(len(ids))
+            join_roots(root, at[: len(u)], at[len(u) :])
+            low = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low], pa.int64()), pa.array(ids[root[low]], pa.int64())], names=["u", "v"])
+
+    return e.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def _mark(e: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     r = e.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("s")).first()
