@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.graph import connected_components
+from trackloom.operators.graph import connected_components, join_roots
 from trackloom.plans.runtime import Scratch, ship
 
 BLOCKS, CELL_DIMS, TILE, STRIP, SPAN = 4, 3, 32_768, 128, 4096
@@ -164,7 +164,7 @@ def _compare(cosine: float):
                     i, j = i[link], j[link]
                     for here, there in ((i, j), (j, i)):
                         count += np.bincount(number[here], weights=mult[there], minlength=len(every)).astype(np.int64)
-                    _unite(root, number[i], number[j])
+                    join_roots(root, number[i], number[j])
         said = np.flatnonzero((count > 0) | (root != np.arange(len(every))))
         return pa.Table.from_arrays([pa.array(every[said], pa.int64()), pa.array(count[said], pa.int64()), pa.array(every[root[said]], pa.int64())], schema=schema)
 
@@ -180,22 +180,6 @@ def _squared(a: np.ndarray, b: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return out
 
 
-def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Join u and v in ``root`` (index of each item's smallest known partner)."""
-    while len(u):
-        a, b = root[u], root[v]
-        apart = a != b
-        if not apart.any():
-            return
-        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            nxt = root[root]
-            if (nxt == root).all():
-                break
-            root[:] = nxt
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
