@@ -65,9 +65,14 @@ class Hashes:
     def at(self, i: np.ndarray, length: int) -> np.ndarray:
         return mix((self.sum[i + length] - self.sum[i]) * self.down[i] + np.uint64(length))
 
-    def all(self, length: int) -> np.ndarray:
+    def order(self, length: int) -> np.ndarray:
+        """A cheap scrambled order of all stretches of one length."""
         n = len(self.sum) - length
-        return mix((self.sum[length:] - self.sum[:n]) * self.down[:n] + np.uint64(length))
+        v = self.sum[length:] - self.sum[:n]
+        v *= self.down[:n]
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xFF51AFD7ED558CCD)
+        return v
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -98,16 +103,23 @@ def find_runs(x: np.ndarray, ends: np.ndarray, length: int, k: int, h: Hashes) -
     if n < length:
         return Runs(none, none, none, none)
     bits = np.uint64(max(1, n.bit_length()))
-    key = (h.all(t) >> bits << bits) | np.arange(n - t + 1, dtype=np.uint64)
-    least = (sliding_min(key, length - t + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    start = np.arange(n - length + 1)
-    anchor = start + (least - start) % w
-    doc = np.searchsorted(ends, start, side="right")
-    inside = ends[doc] >= start + length
+    key = h.order(t)
+    key >>= bits
+    key <<= bits
+    key |= np.arange(n - t + 1, dtype=np.uint64)
+    least = sliding_min(key, length - t + 1)
+    least &= (np.uint64(1) << bits) - np.uint64(1)
+    start, anchor = np.arange(n - length + 1), least.view(np.int64)
+    ahead = anchor - start
+    anchor -= w * (ahead >= w) if length - t < 2 * w else ahead - ahead % w
+    sizes = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), sizes)[: len(start)]
+    inside = np.repeat(ends - length, sizes)[: len(start)] >= start
     start, anchor, doc = start[inside], anchor[inside], doc[inside]
     if not len(start):
         return Runs(none, none, none, none)
-    first = np.concatenate(([True], (np.diff(anchor) != 0) | (np.diff(start) != 1) | (np.diff(doc) != 0)))
+    first = np.ones(len(start), bool)
+    first[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
     last = np.concatenate((at[1:], [len(start)])) - 1
     return Runs(start[at], start[last], anchor[at], doc[at])
