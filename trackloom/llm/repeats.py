@@ -189,6 +189,11 @@ class Question:
         send = np.flatnonzero(branch[g] & named[g] & lead)
         lo, n = r.lo[c[send]], r.hi[c[send]] - r.lo[c[send]] + 1
         self.start = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(send) else np.zeros(0, np.int64)
+        # its answers hold for the runs of the group that are no later than it
+        self.after = np.flatnonzero(branch[g] & named[g] & ~lead & ~self.whole)
+        slot = np.zeros(len(self.first2), np.int64)
+        slot[g[send]] = np.arange(len(send))
+        self.after_from, self.after_n = (np.cumsum(n) - n)[slot[g[self.after]]], n[slot[g[self.after]]]
         self.start_doc = np.repeat(self.doc[c[send]], n)
         self.start_many = np.repeat(self.whole[send], n)
         self.w1, self.w2 = self.h.at(self.start, self.length), self.h2.at(self.start, self.length)
@@ -209,6 +214,10 @@ class Question:
         np.add.at(edge, r.hi[c] + self.length, -1)
         np.add.at(edge, self.start[hit], 1)
         np.add.at(edge, self.start[hit] + self.length, -1)
+        within = np.arange(self.after_n.sum()) - np.repeat(np.cumsum(self.after_n) - self.after_n, self.after_n)
+        same = (np.repeat(r.lo[self.cand[self.after]], self.after_n) + within)[hit[np.repeat(self.after_from, self.after_n) + within]]
+        np.add.at(edge, same, 1)
+        np.add.at(edge, same + self.length, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -262,9 +271,12 @@ def _reply2(earlier: bool):
         least = _least(low, number, len(first))
         _, branch_of, kinds = grouped(key[first])  # different surroundings of each anchor
         branch = (kinds[branch_of] > 1)[number]
-        named = np.zeros(len(key), bool)
-        order = np.lexsort((np.arange(len(key)), low, number))
-        named[order[np.concatenate(([True], np.diff(number[order]) != 0))]] = True
+        if earlier:
+            named = low == least[number]  # every batch with a row of the first document
+        else:
+            named = np.zeros(len(key), bool)
+            order = np.lexsort((np.arange(len(key)), low, number))
+            named[order[np.concatenate(([True], np.diff(number[order]) != 0))]] = True
         elsewhere = (low > least[number]) if earlier else (n[number] > 1)
         return _per_blob((elsewhere * 1 + branch * 2 + named * 4).astype(np.uint8), sizes)
 
