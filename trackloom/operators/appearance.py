@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trackloom.functions import scalars as S
 from trackloom.operators import aggregates, selection
@@ -61,6 +63,48 @@ def _votes_by_join(queries: DataFrame, prototypes: DataFrame, top: int, digits:
     return r.select("qid", "label", "score", F.round(F.col("score") - F.col("_second"), digits).alias("margin"))
 
 
+def block_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, digits: int = 9, block: tuple[int, int] = (1024, 16_384)) -> DataFrame:
+    """``prototype_votes`` for a gallery of any size, without the margin: blocks of
+    queries meet blocks of prototypes as matrices, and each pair of blocks passes on
+    the ``top`` best per query and label. The work is the product of both tables."""
+    q, p = queries.where("vector is not null"), prototypes.where("vector is not null")
+    kinds = {k: d.schema[k].dataType.simpleString() for k, d in (("qid", q), ("label", p))}
+
+    def blocks(d: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        n = max(1, -(-d.count() // size))
+        d = d.select(F.struct(F.col(key).alias("k"), S.unit("vector").alias("v")).alias("row"), (F.monotonically_increasing_id() % n).alias("_b"))
+        return d.groupBy("_b").agg(F.collect_list("row").alias(name)).select(name).coalesce(n)
+
+    def matrix(rows: list) -> tuple[list, np.ndarray]:
+        return [r["k"] for r in rows], np.array([r["v"] for r in rows], float)
+
+    def run(batches):
+        for batch in batches:
+            for qs, ps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, v = matrix(qs)
+                labels, w = matrix(ps)
+                kinds_here = list(dict.fromkeys(labels))
+                number = {k: i for i, k in enumerate(kinds_here)}
+                of = np.array([number[k] for k in labels])
+                for i in range(0, len(ids), 128):
+                    sim = np.round(v[i : i + 128] @ w.T, digits)
+                    part = ids[i : i + 128]
+                    for k, label in enumerate(kinds_here):
+                        x = -sim[:, of == k]
+                        best = -np.partition(x, top - 1, axis=1)[:, :top] if x.shape[1] > top else -x
+                        yield pa.RecordBatch.from_arrays([pa.array(part, types[0]), pa.array([label] * len(part), types[1]), pa.array(best.tolist(), pa.list_(pa.float64()))], names=["qid", "label", "sims"])
+
+    types = [to_arrow_type(q.schema["qid"].dataType), to_arrow_type(p.schema["label"].dataType)]
+    ship(queries.sparkSession)
+    pairs = blocks(q, "qid", block[0], "qs").crossJoin(blocks(p, "label", block[1], "ps"))
+    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    found = pairs.mapInArrow(run, f"qid {kinds['qid']}, label {kinds['label']}, sims array<double>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, top)
+    score = found.groupBy("qid", "label").agg(best.alias("best")).select("qid", "label", F.round(F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best"), digits).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")
+    return score.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "label", "score")
+
+
 def tally(votes: DataFrame, track: str, label: str, order: list, cap: int) -> DataFrame:
     """Votes per track and label over at most ``cap`` evenly spaced votes."""
     return selection.evenly_spaced(votes, [track], order, cap, truncate=True).groupBy(track, label).agg(F.count("*").alias("n"))

@@ -648,3 +648,12 @@ def rts_smooth(spark: SparkSession, sf: str) -> DataFrame:
 def separated_best(spark: SparkSession, sf: str) -> DataFrame:
     """Three best rows per track, a day apart."""
     return O.greedy_apart(_events(spark, sf), ["user_id"], "t", ["value", "event_id"], [False, True], 3, 86_400.0)
+
+
+@query()
+def cosine_topk_vote_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector's label by the three nearest of all labelled vectors per label."""
+    e = table(spark, sf, "embeddings")
+    gallery = e.where("label is not null").select(F.col("label").cast("long").alias("label"), F.col("embedding").alias("vector"))
+    v = M.block_votes(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), gallery)
+    return v.select("qid", "label", F.round("score", 6).alias("score"))
