@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from trackloom.llm import debruijn_dedup, exchange, line_templates, simhash, suffix_dedup, vectors
+from trackloom.llm import batches, debruijn_dedup, line_templates, simhash, suffix_dedup, vectors
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -17,10 +17,10 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 @pytest.fixture(autouse=True, scope="module")
 def small_batches():
     """Several batches, so that answers cross them."""
-    kept = exchange.Store.__init__.__defaults__
-    exchange.Store.__init__.__defaults__ = (9000,)
+    kept = batches.Store.__init__.__defaults__
+    batches.Store.__init__.__defaults__ = (None, 9000)
     yield
-    exchange.Store.__init__.__defaults__ = kept
+    batches.Store.__init__.__defaults__ = kept
 
 
 def slow_fingerprint(text):
@@ -158,15 +158,87 @@ def test_lines(spark, documents, empty):
     assert line_templates.deduplicate(empty).collect() == []
 
 
-def test_templates_need_a_fixed_part():
-    rng = np.random.default_rng(0)
-    prose = rng.integers(0, 2**32, (50, 12)).astype("<u4")
-    prose[:, :3] = 7
-    assert list(line_templates.templates(prose, np.ones(50, int), 3)) == []
-    logs = np.tile(rng.integers(0, 2**32, 12).astype("<u4"), (5, 1))
-    logs[:, 6] = range(5)
-    (hit,) = line_templates.templates(np.vstack((prose, logs)), np.ones(55, int), 3)
-    assert sorted(hit.tolist()) == list(range(50, 55))
+def brute_lines(rows, min_docs=3, share=0.6):
+    """Templates by counting real tokens, and what each document keeps."""
+    lines = []
+    for k, (d, t) in enumerate(rows):
+        for i, line in enumerate((t or "").encode().split(b"\n")):
+            if w := [None if re.search(rb"[0-9@]|://", x) else x for x in WORD.findall(line)]:
+                lines.append((k, d, i, w, (len(w), *w[:3])))
+
+    def docs(keys):
+        found = defaultdict(set)
+        for key, k in keys:
+            found[key].add(k)
+        return {key for key, ks in found.items() if len(ks) >= min_docs}
+
+    words = docs(((leaf, p, x), k) for k, _, _, w, leaf in lines for p, x in enumerate(w) if x)
+    known = []
+    for k, d, i, w, leaf in lines:
+        t = tuple(x if x and (leaf, p, x) in words else None for p, x in enumerate(w))
+        if len(t) - t.count(None) >= share * len(t) and any(x and re.search(rb"[A-Za-z\x80-\xff]", x) for x in t):
+            known.append(((leaf, t), k, d, i))
+    often = docs((t, k) for t, k, _, _ in known)
+    first = {}
+    for t, _, d, _ in known:
+        first[t] = min(d, first.get(t, d))
+    gone = {(k, i) for t, k, d, i in known if t in often and d > first[t]}
+    return [(d, "\n".join(x for i, x in enumerate((t or "").split("\n")) if (k, i) not in gone)) for k, (d, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_lines_against_counting(spark, texts, parts):
+    rng = random.Random(4)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    names = ["mars", "venus", "pluto", "ceres", "juno", "vesta"]
+    for i in range(100, 160):
+        own = [f"the server {rng.choice(names)} went down {rng.choice(['today', 'again', str(i)])} said {rng.choice(names)} at last", "3.14 2.71", "}", "see https://a.b/c now please", f"{rng.choice(names)} {i}", "cut here", "a b c d e f g"]
+        rows.append((i, "\n".join(rng.sample(own, 4)) + "\n" + own[0]))
+    rows += [rows[-1], rows[-2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    want = Counter((d, t) for d, t in brute_lines(rows))
+    assert Counter((r.doc_id, r.text or "") for r in line_templates.deduplicate(df).collect()) == want
+    digests = Counter((r.doc_id, r.kept_sha256) for r in line_templates.deduplicate(df, mode="digest").collect())
+    assert digests == Counter({(d, hashlib.sha256(t.encode()).hexdigest()): n for (d, t), n in want.items()})
+    assert sum("3.14 2.71" in t and "}" in t for _, t in want) > 20  # lines without a fixed word stay
+
+
+def test_templates_count_documents(spark):
+    """Two fillings in one document are one document, and batches change nothing."""
+    line = "alpha beta gamma {} delta omega".format
+    rows = [(1, line("x") + "\n" + line("y")), (2, line("z")), (3, "alpha beta gamma other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_templates.deduplicate(df).collect()} == dict(rows)
+    some = [(i, line("q" * i)) for i in range(1, 11)]
+    for parts in (1, 8):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(parts)
+        assert sum(r.text == "" for r in line_templates.deduplicate(df).collect()) == 9
+
+
+def test_lines_with_odd_columns(spark):
+    df = spark.createDataFrame([(None, "a", 1, 2.5, "x"), (None, None, None, None, None), (5, "", 3, 4.5, "y")], "doc_id long, text string, _null int, `a.b` double, missing string")
+    got = line_templates.deduplicate(df)
+    assert got.columns == df.columns and sorted(map(repr, got.collect())) == sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("size", [120_000])
+def test_long_texts_are_cut_and_joined(spark, size):
+    """Texts of many batches, whose repeats lie across the cuts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    long = " ".join(word() for _ in range(size // 6))
+    rows = [(1, long), (2, "head " + long[30_000:60_000] + " tail " + long[40_000:45_000]), (3, " ".join(word() for _ in range(3000))), (4, long[10:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute_bytes([(d, t.encode()) for d, t in rows], 50)
+    got = suffix_dedup.deduplicate(df, digest=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    words = {d: WORD.findall(t.encode()) for d, t in rows}
+    c = Counter(tuple(w[s : s + 35]) for w in words.values() for s in range(len(w) - 34))
+    for r in debruijn_dedup.deduplicate(df, digest=True).collect():
+        w = words[r.doc_id]
+        g = {s + k for s in range(len(w) - 34) if c[tuple(w[s : s + 35])] > 1 for k in range(35)}
+        assert (r.n_words, r.n_removed) == (len(w), len(g))
+        assert r.kept_sha256 == hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in g)).hexdigest()
 
 
 def test_vectors(spark):

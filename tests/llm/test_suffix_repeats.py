@@ -5,15 +5,15 @@ import random
 
 import pytest
 
-from trackloom.llm import exchange, suffix_dedup
+from trackloom.llm import batches, suffix_dedup
 
 
 @pytest.fixture(autouse=True, scope="module")
 def small_batches():
-    kept = exchange.Store.__init__.__defaults__
-    exchange.Store.__init__.__defaults__ = (3000,)
+    kept = batches.Store.__init__.__defaults__
+    batches.Store.__init__.__defaults__ = (None, 3000)
     yield
-    exchange.Store.__init__.__defaults__ = kept
+    batches.Store.__init__.__defaults__ = kept
 
 
 def test_every_copy_of_a_partly_known_passage_goes(spark):

@@ -1,271 +1,197 @@
-"""Line dedup by a log-template tree.
+"""Line dedup by a log-template tree of fixed depth.
 
 A line's tokens are masked where they vary by nature (digits, addresses). The tree
-parses by token count and leading tokens to a leaf. Lines whose masked form recurs
-in enough documents are a template as they are. The others meet in their leaf,
-where positions that mostly agree stay and the rest become variable fields; a leaf
-is split by a further token until the fixed part is large enough. Lines of a
-template that recurs across documents are dropped from all documents but the first
-that has one, so that no content leaves the corpus altogether.
-
-Depth is fixed unless a leaf holds more different lines than ``LEAF``: its lines
-then take the next deeper level, so no leaf grows with the corpus. All counts go
-through :mod:`exchange`, a key once per batch.
+parses a line by its token count and its three leading tokens to a leaf. In a leaf, a
+token at a position is part of a template where it recurs across documents there; the
+other positions of a line are variable fields. So every line has one template, which
+depends on counts alone, not on the order or the batches in which lines are met, and
+no leaf has to fit anywhere. Lines of a template that recurs across documents, and has
+enough fixed tokens, are dropped from all documents but the first that has one.
+
+Three passes count: leaves, tokens by position of the leaves that recur, templates. A
+batch sends each of its keys once, with the number of its documents that hold it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.exchange import Batch, Store
+from trackloom.llm.batches import Batch, Store, numbers, per_batch
+from trackloom.llm.repeats import A, B, Hashes, mix, word_bounds, word_hashes
 from trackloom.plans.runtime import Scratch
 
 #: Other columns travel as JSON, times to the microsecond.
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-MIN_DOCS, SIMILAR, AGREE = 3, 0.6, 0.6
-DEPTHS, LEAF = (3, 6, 12, 24), 4096
-VARIES = re.compile(rb"[0-9@]")
-LARGEST = np.iinfo(np.int64).max
-
-
-def tokens(line: bytes) -> list[bytes]:
-    words = line.split()
-    if VARIES.search(line) or b"://" in line:
-        words = [b"<*>" if VARIES.search(w) or b"://" in w else w for w in words]
-    return words
-
-
-def _h(x: bytes, seed: int) -> int:
-    return xxhash.xxh64_intdigest(x, seed)
+#: Documents that a token or template recurs in; share of fixed tokens; leading tokens.
+MIN_DOCS, FIXED, DEPTH = 3, 0.6, 3
+MASKED, FIELD = np.uint64(1), np.uint64(2)
 
 
 class Lines:
-    """The lines of a batch that hold a word, with their keys end to end: a line's
-    own first, then those of its leaves by depth."""
+    """The lines of a batch that hold a word: first word, words, document, leaf."""
 
     def __init__(self, batch: Batch):
-        self.batch = batch
-        self.at: list[tuple[int, int]] = []  # (document, line)
-        self.raw: list[bytes] = []
-        known: dict[bytes, tuple] = {}
-        keys: list[int] = []
-        sizes: list[int] = []
-        for d in range(len(batch.ids)):
-            for i, line in enumerate(batch.text(d).split(b"\n")):
-                if line not in known:
-                    known[line] = _keys(tokens(line))
-                if hit := known[line]:
-                    self.at.append((d, i))
-                    self.raw.append(line)
-                    keys += hit
-                    sizes.append(len(hit))
-        self.sizes = np.array(sizes, np.int64)
-        self.start = np.cumsum(self.sizes) - self.sizes
-        self.every = np.array(keys, np.uint64)
-        self.key = self.every[self.start] if sizes else self.every
-        ids = np.array([LARGEST if x is None else x for x in batch.ids], np.int64)
-        self.where = np.array([d for d, _ in self.at], np.int64)
-        self.doc = ids[self.where] if sizes else ids[:0]
-
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys in order with documents, different lines and least doc_id."""
-        keys, self.number = np.unique(self.every, return_inverse=True)
-        _, form = np.unique(self.key, return_inverse=True)
-        counts = []
-        for what in (self.where, form):
-            pair = self.number * (what.max(initial=0) + 1) + np.repeat(what, self.sizes)
-            counts.append(np.bincount(np.unique(pair) // (what.max(initial=0) + 1), minlength=len(keys)).astype("<u4"))
-        low = np.full(len(keys), LARGEST, "<i8")
-        np.minimum.at(low, self.number, np.repeat(self.doc, self.sizes))
-        return keys, counts[0], counts[1], low
-
-
-def _keys(words: list[bytes]) -> list[int]:
-    n = len(words)
-    if not n:
-        return []
-    return [_h(b" ".join(words), 0), *[_h(b"%d " % n + b" ".join(words[:k]), 1 + k) for k in DEPTHS if k < n]]
-
-
-class Parsed:
-    def __init__(self, batch: Batch, buckets: int, rounds: int):
-        self.lines = x = Lines(batch)
-        self.first = keys, _, _, low = x.table()
-        self.gone: list = [False] * len(x.at)
-        if rounds > 1:
-            bits = batch.answer(1, keys, buckets)
-            own = x.number[x.start] if len(x.at) else x.number
-            recurs = (bits[own] & 1) > 0
-            self.gone = (recurs & (((bits[own] & 2) > 0) | (x.doc > low[own]))).tolist()
-            flat, every, open_ = bits[x.number].tolist(), x.every.tolist(), {}
-            for i in np.flatnonzero(~recurs).tolist():
-                a, n = int(x.start[i]), int(x.sizes[i])
-                leaf = next((k for k in range(a + 1, a + n) if flat[k] & 4), None)
-                if leaf is not None and flat[leaf] & 1:
-                    open_.setdefault((every[leaf], every[a]), []).append(i)
-            self.open = open_
-            self.forms = sorted(open_)
-            self.leaf_keys = np.array([f[0] for f in self.forms], np.uint64)
-        if rounds > 2:
-            told = batch.answer(2, self.leaf_keys, buckets).tolist()
-            for b, form in zip(told, self.forms, strict=True):
-                least = min(int(x.doc[i]) for i in self.open[form])
-                for i in self.open[form]:
-                    self.gone[i] = bool(b & 1) and (bool(b & 2) or int(x.doc[i]) > least)
-
-    def pack_forms(self, lo: int, hi: int) -> bytes:
-        x, out = self.lines, []
-        for k, form in enumerate(self.forms[lo:hi]):
-            at = self.open[form]
-            words = tokens(x.raw[at[0]])
-            head = np.array([len(words), len({int(x.where[i]) for i in at})], "<u4").tobytes()
-            out.append(self.leaf_keys[lo + k].tobytes() + np.array([min(int(x.doc[i]) for i in at)], "<i8").tobytes() + head + np.array([_h(w, 0) & 0xFFFFFFFF for w in words], "<u4").tobytes())
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _reply1(min_docs: int):
-    def reply(blobs):
-        from trackloom.llm.repeats import _least, _parts, _per_blob, grouped
-
-        key, docs, forms, low, sizes = _parts(blobs, "<u8", "<u4", "<u4", "<i8")
-        first, number, _ = grouped(key)
-        n, m = np.bincount(number, weights=docs), np.bincount(number, weights=forms)
-        least = _least(low, number, len(first))
-        return _per_blob(((n >= min_docs)[number] * 1 + (low > least[number]) * 2 + (m <= LEAF)[number] * 4).astype(np.uint8), sizes)
-
-    return reply
-
-
-def _reply2(min_docs: int):
-    def reply(blobs):
-        z = zstandard.ZstdDecompressor()
-        leaves: dict[bytes, list] = defaultdict(list)
-        out = []
-        for b in blobs:
-            raw, at, n = z.decompress(b), 0, 0
-            while at < len(raw):
-                size, docs = np.frombuffer(raw, "<u4", 2, at + 16).tolist()
-                leaves[raw[at : at + 8]].append((np.frombuffer(raw, "<u4", size, at + 24), docs, int(np.frombuffer(raw, "<i8", 1, at + 8)[0]), (len(out), n)))
-                at, n = at + 24 + 4 * size, n + 1
-            out.append(np.zeros(n, np.uint8))
-        for forms in leaves.values():
-            words, docs, low = np.stack([f[0] for f in forms]), np.array([f[1] for f in forms]), np.array([f[2] for f in forms])
-            for members in templates(words, docs, min_docs):
-                least = low[members].min()
-                for i in members.tolist():
-                    blob, k = forms[i][3]
-                    out[blob][k] = 1 + 2 * (low[i] > least)
-        return out
-
-    return reply
-
-
-def templates(words: np.ndarray, docs: np.ndarray, min_docs: int, similar: float = SIMILAR, agree: float = AGREE):
-    """Groups of rows (token hashes of one leaf's different lines) that follow one
-    recurring template. Deterministic in the set of rows."""
-    n = words.shape[1]
-    todo = [np.lexsort(words.T[::-1])]
-    while todo:
-        rows = todo.pop()
-        while len(rows) > 1 and docs[rows].sum() >= min_docs:
-            w, weight = words[rows], docs[rows]
-            mode, share = np.zeros(n, words.dtype), np.zeros(n)
-            for p in range(n):
-                values, number = np.unique(w[:, p], return_inverse=True)
-                counts = np.bincount(number, weights=weight)
-                mode[p], share[p] = values[counts.argmax()], counts.max() / weight.sum()
-            fixed = share >= agree
-            if fixed.sum() >= similar * n:
-                fits = (w[:, fixed] == mode[fixed]).all(axis=1)
-                if weight[fits].sum() >= min_docs and fits.sum() > 1:
-                    yield rows[fits]
-                    rows = rows[~fits]
-                    continue
-            split = int(np.where(share < 1, share, -1).argmax())
-            if share[split] >= 1:
-                break
-            values, number = np.unique(w[:, split], return_inverse=True)
-            if len(values) == 1:
-                break
-            order = np.argsort(number, kind="stable")
-            todo += [rows[part] for part in np.split(order, np.cumsum(np.bincount(number))[:-1]) if len(part) > 1]
-            break
-
-
-def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+        data, ends = batch.data, batch.ends
+        b = np.frombuffer(data, np.uint8)
+        start, end, doc = word_bounds(data, ends)
+        self.x = word_hashes(data, start, end)
+        digit = (b - 48 < 10) | (b == 64)
+        letter = (b > 127) | ((b | 32) - 97 < 26)
+        site = np.zeros(len(b), bool)
+        site[:-2] = (b[:-2] == 58) & (b[1:-1] == 47) & (b[2:] == 47) if len(b) > 2 else False
+        self.masked = _any(digit, start, end) | _any(site, start, np.maximum(end - 2, start + 1))
+        self.letter = _any(letter, start, end) & ~self.masked
+        self.x[self.masked] = MASKED
+        breaks = np.flatnonzero(b == 10)
+        at = np.searchsorted(breaks, start)  # line breaks before each word
+        self.first = np.flatnonzero(np.diff(at + doc, prepend=-1)) if len(start) else start
+        self.n = np.diff(self.first, append=len(start))
+        self.doc = doc[self.first]
+        self.number = at[self.first] - np.searchsorted(breaks, np.concatenate(([0], ends))[self.doc])
+        self.id = batch.order()[self.doc]
+        leaf = mix(self.n.astype(np.uint64) * A)
+        for k in range(DEPTH):
+            more = self.n > k
+            leaf[more] = mix(leaf[more] * B + self.x[self.first[more] + k])
+        self.leaf = leaf
+
+    def tokens(self) -> np.ndarray:
+        """A key per word: leaf, position and token."""
+        place = np.arange(len(self.x)) - np.repeat(self.first, self.n)
+        return mix(np.repeat(self.leaf, self.n) + place.astype(np.uint64) * A + self.x * B)
+
+    def templates(self, fixed: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """A key per line, and whether it has enough fixed tokens, one with a letter."""
+        if not len(self.first):
+            return self.leaf, np.zeros(0, bool)
+        h = Hashes(np.where(fixed, self.x, FIELD), A).at(self.first, self.n)
+        many = np.add.reduceat(fixed.astype(np.int64), self.first)
+        return mix(self.leaf + h * B), (many >= share * self.n) & np.maximum.reduceat(fixed & self.letter, self.first)
+
+
+def _any(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    if not len(start):
+        return np.zeros(0, bool)
+    return np.maximum.reduceat(np.append(flags, False), np.stack((start, end), 1).ravel())[::2]
+
+
+def _counted(batch: Batch, key: np.ndarray, doc: np.ndarray, ids: np.ndarray):
+    """Different keys, in how many of the batch's documents, and the least id."""
+    if len(key):
+        order = np.lexsort((doc, key))
+        key, doc, ids = key[order], doc[order], ids[order]
+        new = np.append(True, key[1:] != key[:-1])
+        head = np.flatnonzero(new)
+        docs = np.add.reduceat((new | np.append(True, doc[1:] != doc[:-1])).astype(np.int32), head)
+        yield key[head].view(np.int64), numbers(batch.number, len(head)), docs, np.minimum.reduceat(ids, head)
+
+
+COUNTED = "key long, batch long, docs int, low long"
+
+
+def _recurring(sent: DataFrame, min_docs: int, scratch: Scratch, name: str) -> DataFrame:
+    """``(batch, name, name_low)``: a batch's keys that enough documents hold, and the
+    least document that does. A key comes once a batch."""
+    every = Window.partitionBy("key")
+    found = sent.withColumns({"total": F.sum("docs").over(every), "least": F.min("low").over(every)}).where(F.col("total") >= min_docs)
+    return scratch.keep(per_batch(found.select("batch", F.col("key").alias(name), F.col("least").alias(f"{name}_low")), name, f"{name}_low"), name)
+
+
+def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, share: float = FIXED) -> DataFrame:
     """Drop lines of recurring templates from all but the first document.
 
     ``mode`` "text": the rows of ``docs`` with all their columns, ``text`` being the
     kept lines (``n_chars``, where present, follows it). "digest": ``(doc_id,
     n_lines, n_dropped, kept_sha256)``, lines without a word not counted.
 
-    First means the smallest ``doc_id``, null last; lines without a word stay. Null
-    text stays null and counts as empty. Repeated rows are documents of their own
-    with one id, and keep the same lines. An empty table gives no rows.
+    A template needs ``share`` of its tokens fixed, one of them with a letter, and
+    ``min_docs`` documents. First means the smallest ``doc_id``, null last; lines
+    without a word stay. Null text stays null and counts as empty. Repeated rows are
+    documents of their own with one id, and keep the same lines. An empty table gives
+    no rows. A document is handled whole, at about ten bytes per byte of its text.
     """
     spark, others = docs.sparkSession, [c for c in docs.columns if c not in ("doc_id", "text")]
     scratch = Scratch(spark, "lines")
     carried = docs.select("doc_id", "text")
     if mode == "text":
-        rest = docs.select(*others, F.col("text").isNull().alias("_null")).schema
-        carried = docs.select("doc_id", "text", F.to_json(F.struct(*others, F.col("text").isNull().alias("_null")), EXACT).alias("extra"))
+        named = lambda c: F.col(f"`{c}`")
+        rest = F.struct(F.col("text").isNull().alias("missing"), F.struct(*[named(c) for c in others], F.lit(0).alias("_")).alias("row"))
+        shape = docs.select(rest.alias("rest")).schema["rest"].dataType
+        carried = docs.select("doc_id", "text", F.to_json(rest, EXACT).alias("extra"))
     store = Store(carried, scratch)
-    buckets = store.buckets
 
-    def ask1():
+    def leaves():
+        def f(batch):
+            x = Lines(batch)
+            yield from _counted(batch, x.leaf, x.doc, x.id)
+
+        return f
+
+    def words():
         def f(batch):
-            keys, n, m, low = Parsed(batch, buckets, 1).first
-            z = zstandard.ZstdCompressor(level=1)
-            return keys, lambda lo, hi: z.compress(b"".join(a[lo:hi].tobytes() for a in (keys, n, m, low)))
+            x = Lines(batch)
+            on = np.repeat(np.isin(x.leaf.view(np.int64), batch.known["leaf"]), x.n) & ~x.masked
+            yield from _counted(batch, x.tokens()[on], np.repeat(x.doc, x.n)[on], np.repeat(x.id, x.n)[on])
 
         return f
 
-    def ask2():
+    def fixed(x: Lines, batch: Batch) -> np.ndarray:
+        return np.isin(x.tokens().view(np.int64), batch.known["word"]) & ~x.masked
+
+    def patterns():
         def f(batch):
-            p = Parsed(batch, buckets, 2)
-            return p.leaf_keys, p.pack_forms
+            x = Lines(batch)
+            key, enough = x.templates(fixed(x, batch), share)
+            yield from _counted(batch, key[enough], x.doc[enough], x.id[enough])
 
         return f
 
-    store.ask(ask1, _reply1(min_docs))
-    store.ask(ask2, _reply2(min_docs))
+    leaf = _recurring(store.map(leaves, COUNTED), min_docs, scratch, "leaf")
+    word = _recurring(store.map(words, COUNTED, leaf.select("batch", "leaf")), min_docs, scratch, "word").select("batch", "word")
+    template = _recurring(store.map(patterns, COUNTED, word), min_docs, scratch, "template")
 
     def make():
-        def rows(batch: Batch):
-            p = Parsed(batch, buckets, 3)
-            gone: dict[int, set] = defaultdict(set)
-            count: dict[int, int] = defaultdict(int)
-            for (d, i), g in zip(p.lines.at, p.gone, strict=True):
-                count[d] += 1
-                if g:
-                    gone[d].add(i)
-            for d, doc in enumerate(batch.ids):
+        def f(batch: Batch):
+            x = Lines(batch)
+            key, enough = x.templates(fixed(x, batch), share)
+            known, low = batch.known["template"], batch.known["template_low"]
+            order = np.argsort(known)
+            gone = np.zeros(len(key), bool)
+            if len(known):
+                at = order[np.minimum(np.searchsorted(known, key.view(np.int64), sorter=order), len(known) - 1)]
+                gone = enough & (known[at] == key.view(np.int64)) & (x.id > low[at])
+            edge = np.searchsorted(x.doc, np.arange(len(batch.ids) + 1))
+            drop = np.add.reduceat(np.append(gone, False).astype(np.int64), edge[:-1]) * (np.diff(edge) > 0)
+            texts = []
+            for d in range(len(batch.ids)):
                 text = batch.text(d)
-                if gone[d]:
-                    text = b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in gone[d])
-                if mode == "text":
-                    yield doc, text.decode(), batch.extra[d]
-                else:
-                    yield doc, count[d], len(gone[d]), hashlib.sha256(text).hexdigest()
+                if drop[d]:
+                    out = set(x.number[edge[d] : edge[d + 1]][gone[edge[d] : edge[d + 1]]].tolist())
+                    text = b"\n".join([line for i, line in enumerate(text.split(b"\n")) if i not in out])
+                texts.append(text)
+            ids = pa.array(batch.ids, pa.int64())
+            if mode == "text":
+                yield ids, pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string()), pa.array(batch.extra, pa.string())
+            else:
+                yield ids, np.diff(edge), drop, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
-        return rows
+        return f
 
     if mode == "text":
-        out = store.map(make, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("extra", pa.string())]), "doc_id long, text string, extra string")
-        out = out.withColumn("x", F.from_json("extra", rest, EXACT)).withColumn("text", F.when(F.col("x._null"), None).otherwise(F.col("text")))
-        value = {c: F.col(c) if c in ("doc_id", "text") else F.length("text").cast("long") if c == "n_chars" else F.col(f"x.`{c}`") for c in docs.columns}
-        out = out.select(*[value[c].alias(c) for c in docs.columns])
+        out = store.map(make, "doc_id long, text string, extra string", word, template)
+        out = out.select("doc_id", "text", F.from_json("extra", shape, EXACT).alias("x")).withColumn("text", F.when(~F.col("x.missing"), F.col("text")))
+
+        def value(c: str) -> Column:
+            return F.col(c) if c in ("doc_id", "text") else F.length("text").cast("long") if c == "n_chars" else F.col("x.row")[c]
+
+        out = out.select(*[value(c).alias(c) for c in docs.columns])
     else:
-        out = store.map(make, pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())]), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+        out = store.map(make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", word, template)
     out = scratch.keep(out, "result")
     store.drop()
     return out

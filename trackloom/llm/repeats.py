@@ -1,19 +1,12 @@
-"""Repeated windows of tokens, shared by the suffix and the De Bruijn operator.
+"""Positions sampled by content, and the first pass over repeated windows.
 
 A window is ``length`` consecutive tokens (bytes or words) of one document. Every
 window chooses an anchor, a ``k``-gram inside it, by its content alone
 (mod-minimizers: the position of the smallest ``t``-gram, modulo the number of
 k-grams in the window), so equal windows choose the same one. Consecutive windows
-with one anchor form a run, and a run is decided as a whole where it can be:
-
-1. Anchors: which k-grams occur more than once? Runs of the others are unique.
-2. Runs: those left are compared over all the tokens of their windows. A run
-   whose equal meets the condition is wholly repeated. Where all runs around a
-   k-gram are equal, nothing else can match (no branch).
-3. Windows: only of k-grams with different surroundings (branches), each different
-   run once.
-
-Each round is one exchange of :mod:`exchange`. Keys of 112 bits and more decide.
+with one anchor form a run. Where an anchor's k-gram occurs only once, no window
+of its run is repeated: :func:`recurring` finds the others, which are what the
+suffix and the De Bruijn operator go on with.
 """
 
 from __future__ import annotations
@@ -21,9 +14,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import zstandard
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from trackloom.llm.exchange import Batch, Store
+from trackloom.llm.batches import Batch, Store, numbers, per_batch
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,248 +119,98 @@ def find_runs(x: np.ndarray, ends: np.ndarray, length: int, k: int, h: Hashes) -
     return Runs(start[at], start[last], anchor[at], doc[at])
 
 
-def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the firsts in key order, number of each row's group, group sizes)."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for key in keys:
-            s = key[order]
-            new[1:] |= s[1:] != s[:-1]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number, np.bincount(number, minlength=int(new.sum()))
-
-
-class Question:
-    """What a batch knows and asks in each round. ``earlier``: a window counts as
-    repeated only if a document with a smaller id has it; else if it occurs twice."""
-
-    def __init__(self, batch: Batch, x: np.ndarray, ends: np.ndarray, length: int, k: int, buckets: int, earlier: bool):
-        self.batch, self.length, self.buckets, self.earlier = batch, length, buckets, earlier
-        self.h = Hashes(x, A)
-        self.runs = find_runs(x, ends, length, k, self.h)
-        key = self.h.at(self.runs.anchor, k)
-        self.key = key >> np.uint64(16) << np.uint64(16)  # 48 bits tell candidates apart
-        self.first1, self.number1, self.size1 = grouped(self.key)
-        self.x = x
-        ids = np.array([i if i is not None else np.iinfo(np.int64).max for i in batch.ids], np.int64)
-        self.doc = ids[self.runs.doc] if len(self.runs.doc) else np.zeros(0, np.int64)
-
-    def keys1(self) -> np.ndarray:
-        return self.key[self.first1]
-
-    def second(self) -> None:
-        """Runs whose anchor isn't unique, by surroundings."""
-        told = self.batch.answer(1, self.keys1(), self.buckets)
-        some = (told > 0) | (self.size1 > 1)
-        self.cand = np.flatnonzero(some[self.number1]) if len(some) else np.zeros(0, np.int64)
-        r, h2 = self.runs, Hashes(self.x, B)
-        self.h2 = h2
-        lo, hi, c = r.lo[self.cand], r.hi[self.cand], self.cand
-        h = self.h
-        self.around = mix(h.at(lo, self.length) + mix(h2.at(hi, self.length) + mix(h2.at(lo, self.length) ^ h.at(hi, self.length) + (hi - lo).astype(np.uint64) * B + (r.anchor[c] - lo).astype(np.uint64) * A)))
-        self.first2, self.number2, self.size2 = grouped(self.key[c], self.around)
-        self.low2 = _least(self.doc[c], self.number2, len(self.first2))
-
-    def keys2(self) -> np.ndarray:
-        return self.key[self.cand][self.first2]
-
-    def third(self) -> None:
-        """Windows of branching runs that this batch was named to send."""
-        told = self.batch.answer(2, self.keys2(), self.buckets)
-        elsewhere, branch, named = (told & 1) > 0, (told & 2) > 0, (told & 4) > 0
-        g, c, r = self.number2, self.cand, self.runs
-        if self.earlier:
-            self.whole = elsewhere[g] | (self.doc[c] > self.low2[g])
-        else:
-            self.whole = elsewhere[g] | (self.size2[g] > 1)
-        lead = np.zeros(len(c), bool)  # one run of each group stands for it
-        if len(g):
-            order = np.lexsort((np.arange(len(g)), self.doc[c], g))
-            lead[order[np.concatenate(([True], np.diff(g[order]) != 0))]] = True
-        send = np.flatnonzero(branch[g] & named[g] & lead)
-        lo, n = r.lo[c[send]], r.hi[c[send]] - r.lo[c[send]] + 1
-        self.start = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(send) else np.zeros(0, np.int64)
-        # its answers hold for the runs of the group that are no later than it
-        self.after = np.flatnonzero(branch[g] & named[g] & ~lead & ~self.whole)
-        slot = np.zeros(len(self.first2), np.int64)
-        slot[g[send]] = np.arange(len(send))
-        self.after_from, self.after_n = (np.cumsum(n) - n)[slot[g[self.after]]], n[slot[g[self.after]]]
-        self.start_doc = np.repeat(self.doc[c[send]], n)
-        self.start_many = np.repeat(self.whole[send], n)
-        self.w1, self.w2 = self.h.at(self.start, self.length), self.h2.at(self.start, self.length)
-        self.first3, self.number3, self.size3 = grouped(self.w1, self.w2)
-        self.low3 = _least(self.start_doc, self.number3, len(self.first3))
-        self.many3 = (self.size3 > 1) | (np.bincount(self.number3, weights=self.start_many, minlength=len(self.first3)) > 0)
-
-    def covered(self, n: int) -> np.ndarray:
-        """Which of the ``n`` tokens lie in a repeated window."""
-        told = self.batch.answer(3, self.w1[self.first3], self.buckets) > 0
-        if self.earlier:
-            hit = told[self.number3] | (self.start_doc > self.low3[self.number3]) if len(self.start) else np.zeros(0, bool)
-        else:
-            hit = (told | self.many3)[self.number3] if len(self.start) else np.zeros(0, bool)
-        edge = np.zeros(n + 1, np.int64)
-        c, r = self.cand[self.whole], self.runs
-        np.add.at(edge, r.lo[c], 1)
-        np.add.at(edge, r.hi[c] + self.length, -1)
-        np.add.at(edge, self.start[hit], 1)
-        np.add.at(edge, self.start[hit] + self.length, -1)
-        within = np.arange(self.after_n.sum()) - np.repeat(np.cumsum(self.after_n) - self.after_n, self.after_n)
-        same = (np.repeat(r.lo[self.cand[self.after]], self.after_n) + within)[hit[np.repeat(self.after_from, self.after_n) + within]]
-        np.add.at(edge, same, 1)
-        np.add.at(edge, same + self.length, -1)
-        return np.cumsum(edge[:-1]) > 0
-
-
-def _least(values: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(out, number, values)
+def word_bounds(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte, document) of every word ``[^\\x20\\x09-\\x0D]+``."""
+    b = np.frombuffer(data, np.uint8)
+    word = ~((b == 32) | ((b >= 9) & (b <= 13)))
+    if not len(b):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    before = np.concatenate(([False], word[:-1]))
+    cut = np.zeros(len(b) + 1, bool)
+    cut[ends] = True  # a document's end is a word's end
+    start = np.flatnonzero(word & (~before | cut[:-1]))
+    after = np.concatenate((word[1:], [False]))
+    end = np.flatnonzero(word & (~after | cut[1:])) + 1
+    return start, end, np.searchsorted(ends, start, side="right")
+
+
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray, block: int = 4 << 20) -> np.ndarray:
+    """A hash per word, a block of bytes at a time."""
+    b, out, i = np.frombuffer(data, np.uint8), np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + block, side="right")))
+        at = int(start[i])
+        h = Hashes(_BYTE[b[at : int(end[j - 1])]], B)
+        s, e = start[i:j] - at, end[i:j] - at
+        out[i:j] = mix((h.sum[e] - h.sum[s]) * h.down[s] + (e - s).astype(np.uint64) * A)
+        i = j
     return out
 
 
-def _pieces(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _parts(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    """The arrays of all blobs, one after the other, and each blob's size."""
-    z, width = zstandard.ZstdDecompressor(), sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list] = [[] for _ in kinds]
-    sizes = []
-    for b in blobs:
-        raw = z.decompress(b)
-        n, at = len(raw) // width, 0
-        sizes.append(n)
-        for i, k in enumerate(kinds):
-            out[i].append(np.frombuffer(raw, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [*map(np.concatenate, out), np.array(sizes)]
-
-
-def _per_blob(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    return np.split(values, np.cumsum(sizes)[:-1])
-
-
-def _six(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray((keys >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-
-
-def _reply1(blobs):
-    z = zstandard.ZstdDecompressor()
-    raw = [z.decompress(b) for b in blobs]
-    sizes = np.array([len(b) // 6 for b in raw])
-    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-    _, number, n = grouped(wide.view("<u8").ravel())
-    return _per_blob((n[number] > 1).astype(np.uint8), sizes)
-
-
-def _reply2(earlier: bool):
-    def reply(blobs):
-        key, around, low, sizes = _parts(blobs, "<u8", "<u8", "<i8")
-        first, number, n = grouped(key, around)
-        least = _least(low, number, len(first))
-        _, branch_of, kinds = grouped(key[first])  # different surroundings of each anchor
-        branch = (kinds[branch_of] > 1)[number]
-        if earlier:
-            named = low == least[number]  # every batch with a row of the first document
-        else:
-            named = np.zeros(len(key), bool)
-            order = np.lexsort((np.arange(len(key)), low, number))
-            named[order[np.concatenate(([True], np.diff(number[order]) != 0))]] = True
-        elsewhere = (low > least[number]) if earlier else (n[number] > 1)
-        return _per_blob((elsewhere * 1 + branch * 2 + named * 4).astype(np.uint8), sizes)
-
-    return reply
-
-
-def _reply3(earlier: bool):
-    def reply(blobs):
-        w1, w2, low, many, sizes = _parts(blobs, "<u8", "<u4", "<i8", "u1")
-        first, number, n = grouped(w1, w2)
-        if earlier:
-            hit = low > _least(low, number, len(first))[number]
-        else:
-            hit = ((n > 1) | (np.bincount(number, weights=many, minlength=len(first)) > 0))[number]
-        return _per_blob(hit.astype(np.uint8), sizes)
-
-    return reply
-
-
-def decide(store: Store, tokens, length: int, k: int, earlier: bool):
-    """Run the three rounds. ``tokens(batch)`` gives the token hashes and where each
-    document's tokens end. Returns a function that gives the covered tokens of a
-    batch once all rounds are answered."""
-    buckets = store.buckets
-
-    def ready(batch: Batch, rounds: int) -> tuple[Question, int]:
-        x, ends = tokens(batch)
-        q = Question(batch, x, ends, length, k, buckets, earlier)
-        if rounds > 1:
-            q.second()
-        if rounds > 2:
-            q.third()
-        return q, len(x)
-
-    def ask1():
-        def f(batch):
-            keys = ready(batch, 1)[0].keys1()
-            return keys, lambda lo, hi: _pieces(_six(keys[lo:hi]))
+def word_tokens(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, and where each document's words end."""
+    start, end, doc = word_bounds(data, ends)
+    return word_hashes(data, start, end), np.searchsorted(doc, np.arange(len(ends)), side="right")
 
-        return f
 
-    def ask2():
-        def f(batch):
-            q = ready(batch, 2)[0]
-            keys, around = q.keys2(), q.around[q.first2]
-            return keys, lambda lo, hi: _pieces(keys[lo:hi], around[lo:hi], q.low2[lo:hi])
+def byte_tokens(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _BYTE[np.frombuffer(data, np.uint8)], ends
 
-        return f
 
-    def ask3():
-        def f(batch):
-            q = ready(batch, 3)[0]
-            w1, w2 = q.w1[q.first3], (q.w2[q.first3] >> np.uint64(32)).astype("<u4")
-            return w1, lambda lo, hi: _pieces(w1[lo:hi], w2[lo:hi], q.low3[lo:hi], q.many3[lo:hi].astype(np.uint8))
+class Sampled:
+    """The runs of a batch, those with a recurring anchor where that is known."""
 
-        return f
+    def __init__(self, batch: Batch, tokens, length: int, k: int):
+        x, self.ends = tokens(batch.data, batch.ends)
+        self.x, self.h = x, Hashes(x, A)
+        self.runs = find_runs(x, self.ends, length, k, self.h)
+        self.key = self.h.at(self.runs.anchor, k).view(np.int64)
+        if "recurring" in batch.known:
+            some = np.isin(self.key, batch.known["recurring"])
+            r = self.runs
+            self.runs, self.key = Runs(r.lo[some], r.hi[some], r.anchor[some], r.doc[some]), self.key[some]
 
-    store.ask(ask1, _reply1)
-    store.ask(ask2, _reply2(earlier))
-    store.ask(ask3, _reply3(earlier))
 
-    def covered(batch: Batch) -> np.ndarray:
-        q, n = ready(batch, 3)
-        return q.covered(n)
+def recurring(store: Store, tokens, length: int, k: int) -> DataFrame:
+    """``(batch, recurring)``: the batch's anchor k-grams that occur more than once.
+    A batch sends a k-gram once, however often it holds it."""
 
-    return covered
+    def make():
+        def f(batch: Batch):
+            key, n = np.unique(Sampled(batch, tokens, length, k).key, return_counts=True)
+            if len(key):
+                yield key, numbers(batch.number, len(key)), n
 
+        return f
 
-def byte_tokens(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-    return _BYTE[np.frombuffer(batch.data, np.uint8)], batch.ends
+    sent = store.map(make, "recurring long, batch long, n int")
+    every = sent.withColumn("n", F.sum("n").over(Window.partitionBy("recurring"))).where("n > 1")
+    return store.scratch.keep(per_batch(every.select("batch", "recurring"), "recurring"), "recurring")
 
 
-def word_bounds(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end byte, document) of every word ``[^\\x20\\x09-\\x0D]+``."""
-    b = np.frombuffer(batch.data, np.uint8)
-    word = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    if not len(b):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    before = np.concatenate(([False], word[:-1]))
-    cut = np.zeros(len(b) + 1, bool)
-    cut[batch.ends] = True  # a document's end is a word's end
-    start = np.flatnonzero(word & (~before | cut[:-1]))
-    after = np.concatenate((word[1:], [False]))
-    end = np.flatnonzero(word & (~after | cut[1:])) + 1
-    return start, end, np.searchsorted(batch.ends, start, side="right")
+def cut_words(overlap: int):
+    """Pieces of about a limit of bytes at word bounds, ``overlap`` words in common."""
+
+    def cut(text: bytes, limit: int):
+        a, first, room = 0, 0, limit
+        while a + room < len(text):
+            start, end, _ = word_bounds(text[a : a + room], np.array([room]))
+            n = len(end) - int(len(end) > 0 and end[-1] == room)  # the last word may go on
+            if n <= overlap:
+                room += limit
+                continue
+            yield a, a + int(end[n - 1]), first
+            a, first, room = a + int(start[n - overlap]), first + n - overlap, limit
+        yield a, len(text), first
+
+    return cut
+
 
+def cut_bytes(overlap: int):
+    def cut(text: bytes, limit: int):
+        step = max(limit, 2 * overlap) - overlap
+        for a in range(0, max(1, len(text) - overlap), step):
+            yield a, min(len(text), a + step + overlap), a
 
-def word_tokens(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
-    start, end, doc = word_bounds(batch)
-    h = Hashes(_BYTE[np.frombuffer(batch.data, np.uint8)], B)
-    x = mix((h.sum[end] - h.sum[start]) * h.down[start] + (end - start).astype(np.uint64) * A) if len(start) else np.zeros(0, np.uint64)
-    return x, np.searchsorted(doc, np.arange(len(batch.ends)), side="right")
+    return cut
