@@ -29,6 +29,8 @@ from pyspark.sql.types import _parse_datatype_string
 from trackloom.plans.runtime import Scratch, ship
 
 BATCH = 2_000_000
+#: Bits of a place (a token of a batch) below the batch's number.
+PLACE = 22
 
 
 @dataclass
@@ -65,7 +67,10 @@ class Store:
 
         packed = docs.select("doc_id", "text", *[c for c in ("extra",) if c in docs.columns])
         packed = packed.mapInArrow(lambda b: _pack(b, batch_bytes, cut), "ids binary, missing binary, ends binary, data binary, extra binary, pieces binary")
-        packed = packed.withColumn("batch", F.monotonically_increasing_id()).repartition(parts, "batch")
+        # a task's number and its batches', so that a batch and a place in it fit a long
+        own = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        own = F.when(own < 1 << 16, own).otherwise(F.raise_error(F.lit("more than 65536 batches in one input partition: repartition the input")).cast("long"))
+        packed = packed.withColumn("batch", F.shiftleft(F.spark_partition_id().cast("long"), 16).bitwiseOR(own)).repartition(parts, "batch")
         packed.write.bucketBy(parts, "batch").option("path", scratch.path("batches")).option("compression", "uncompressed").saveAsTable(self.name)
         atexit.register(self.drop)
         self.table = spark.table(self.name)

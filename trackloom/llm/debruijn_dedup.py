@@ -8,7 +8,7 @@ out (:mod:`repeats`). The rest is a table with source coordinates:
 2. An edge is joined to its successor where every occurrence of either is followed
    or preceded by the other: these are the nonbranching stretches. The first
    occurrences of such edges lie next to each other, so that a path is a run of
-   source coordinates, and all its occurrences go its whole length.
+   source coordinates, and every occurrence of its first edge goes its whole length.
 3. Every occurrence of a path is read again at its coordinates, and counts only if
    another one has the very same words.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import repeats
-from trackloom.llm.batches import Batch, Store, numbers, per_batch, whole
-from trackloom.llm.repeats import A, B, Hashes, Sampled
+from trackloom.llm.batches import PLACE, Batch, Store, numbers, per_batch, whole
+from trackloom.llm.repeats import B, Hashes, Sampled
 from trackloom.llm.suffix_dedup import covered
 from trackloom.plans.runtime import Scratch
 
@@ -32,8 +32,9 @@ WINDOW, KMER = 35, 20
 
 
 def edges(store: Store, window: int, kmer: int, recur: DataFrame) -> DataFrame:
-    """``(edge, check, next, batch, at)``: every window of a recurring sampled k-mer;
-    ``next`` is the edge after it, null at a document's end and before unique ones."""
+    """``(edge, check, next, place)``: every window of a recurring sampled k-mer, told
+    by 96 bits; ``next`` is the edge after it, null at a document's end and before
+    unique ones; ``place`` is its source coordinate, a batch and a word there."""
 
     def make():
         def f(batch: Batch):
@@ -45,28 +46,27 @@ def edges(store: Store, window: int, kmer: int, recur: DataFrame) -> DataFrame:
                 edge = s.h.at(at, window).view(np.int64)
                 follows = np.zeros(len(at), bool)
                 follows[:-1] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
-                yield edge, Hashes(s.x, B).at(at, window).view(np.int64), pa.array(np.roll(edge, -1), mask=~follows), numbers(batch.number, len(at)), at.astype(np.int32)
+                check = Hashes(s.x, B).at(at, window).astype(np.uint32).view(np.int32)
+                yield edge, check, pa.array(np.roll(edge, -1), mask=~follows), (batch.number << PLACE) + at
 
         return f
 
-    return store.map(make, "edge long, check long, next long, batch long, at int", recur)
+    return store.map(make, "edge long, check int, next long, place long", recur)
 
 
 def paths(every: DataFrame, scratch: Scratch) -> DataFrame:
     """``(edge, check, path, length)``: the first edge of each compacted path of
-    repeated edges, a number for the path and how many edges it has."""
-    twice = every.groupBy("edge", "check").agg(
-        F.count("*").alias("n"), F.min(F.struct("batch", "at")).alias("source"), F.min("next").alias("a"), F.max("next").alias("b"), F.count("next").alias("followed")
-    )
+    repeated edges, the path's source coordinate and how many edges it has."""
+    end = F.coalesce("next", F.lit(0))
+    twice = every.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min("place").alias("source"), F.min(end).alias("a"), F.max(end).alias("b"))
     twice = scratch.keep(twice.where("n > 1"), "repeated-edges")
-    unary = twice.where("a = b and followed = n").select(F.col("a").alias("edge"), "n", F.col("source").alias("before"))
-    inner = twice.join(unary, ["edge", "n"]).where("source.batch = before.batch and source.at = before.at + 1").select("edge", "check", F.lit(True).alias("inner"))
-    marked = twice.join(inner, ["edge", "check"], "left").select("edge", "check", "source.batch", "source.at", F.col("inner").isNull().alias("head"))
-    order = Window.partitionBy("batch").orderBy("at")
-    stops = marked.withColumn("number", F.sum(F.col("head").cast("int")).over(order))
-    length = F.count("*").over(Window.partitionBy("batch", "number"))
-    heads = stops.withColumn("length", length).where("head")
-    return heads.select("edge", "check", F.xxhash64("batch", "number").alias("path"), F.col("length").cast("int").alias("length"))
+    unary = twice.where("a = b and a != 0").select(F.col("a").alias("edge"), "n", (F.col("source") + 1).alias("source"), F.lit(True).alias("inner"))
+    marked = twice.select("edge", "check", "n", "source").join(unary, ["edge", "n", "source"], "left")
+    order = Window.partitionBy(F.shiftright("source", PLACE)).orderBy("source")
+    stops = marked.withColumn("path", F.max(F.when(F.col("inner").isNull(), F.col("source"))).over(order))
+    length = F.count("*").over(Window.partitionBy(F.shiftright("source", PLACE), "path"))
+    heads = stops.withColumn("length", length).where("inner is null")
+    return heads.select("edge", "check", "path", "length")
 
 
 def verified(store: Store, spans: DataFrame, window: int) -> DataFrame:
@@ -88,8 +88,8 @@ def verified(store: Store, spans: DataFrame, window: int) -> DataFrame:
 
     known = per_batch(spans, "path", "at", "length")
     read = store.scratch.keep(store.map(make, "path long, batch long, at long, length long, words binary", known), "read")
-    same = read.groupBy("path", "words").agg(F.count("*").alias("n")).where("n > 1")
-    return read.join(same, ["path", "words"], "left_semi").select("batch", "at", "length")
+    alone = store.scratch.keep(read.groupBy("path", "words").agg(F.count("*").alias("n")).where("n = 1"), "alone")  # but for hash collisions none
+    return read.join(alone, ["path", "words"], "left_anti").select("batch", "at", "length")
 
 
 def deduplicate(docs: DataFrame, digest: bool = False, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -107,7 +107,8 @@ def deduplicate(docs: DataFrame, digest: bool = False, window: int = WINDOW, kme
     recur = repeats.recurring(store, repeats.word_tokens, window, kmer)
     every = scratch.keep(edges(store, window, kmer, recur), "edges")
     heads = scratch.keep(paths(every, scratch), "paths")
-    spans = every.join(heads, ["edge", "check"]).select("path", "batch", F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))
+    at = F.col("place").bitwiseAND((1 << PLACE) - 1)
+    spans = every.join(heads, ["edge", "check"]).select("path", F.shiftright("place", PLACE).alias("batch"), at.alias("at"), "length")
     gone = per_batch(verified(store, spans, window), "at", "length")
 
     last = "kept_sha256" if digest else "kept"

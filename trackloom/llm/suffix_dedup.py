@@ -32,12 +32,14 @@ from trackloom.llm.repeats import A, B, Sampled, mix
 from trackloom.plans.runtime import Scratch
 
 THRESHOLD = 50
-PAIRS = "one long, two long, low long, batch long, at array<long>"
+PAIRS = "one long, two int, low long, batch long, at array<long>"
 
 
 def pair_rows(batch: Batch, doc: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray):
     """A row per different pair with its places in the least document that has it
-    here, and one without a pair: the places in later ones, which surely go."""
+    here, and one without a pair: the places in later ones, which surely go. The
+    pair's second name is cut to 32 bits (96 in all)."""
+    two = two.astype(np.uint32)
     order = np.lexsort((at, doc, two, one))
     doc, one, two, at = doc[order], one[order], two[order], at[order]
     new = np.ones(len(at), bool)
@@ -46,18 +48,19 @@ def pair_rows(batch: Batch, doc: np.ndarray, one: np.ndarray, two: np.ndarray, a
     first = doc == doc[head][group]
     if len(head):
         n = len(head)
-        yield one[head].view(np.int64), two[head].view(np.int64), doc[head], numbers(batch.number, n), lists(at[first], np.bincount(group[first], minlength=n))
+        yield one[head].view(np.int64), two[head].view(np.int32), doc[head], numbers(batch.number, n), lists(at[first], np.bincount(group[first], minlength=n))
     if (~first).any():
         none = pa.nulls(1, pa.int64())
-        yield none, none, none, numbers(batch.number, 1), lists(at[~first], np.array([(~first).sum()]))
+        yield none, pa.nulls(1, pa.int32()), none, numbers(batch.number, 1), lists(at[~first], np.array([(~first).sum()]))
 
 
-def rank(pairs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Sort pairs: the places that an earlier document has too, and the rows that hold
-    the first occurrence of their pair."""
+def rank(pairs: DataFrame) -> DataFrame:
+    """Sort pairs. ``gone``: an earlier document has the pair too; else the row holds
+    the first occurrence, and keeps its names."""
     low = F.min("low").over(Window.partitionBy("one", "two"))
-    known = scratch.keep(pairs.where("one is not null").withColumn("gone", F.col("low") > low).unionByName(pairs.where("one is null").withColumn("gone", F.lit(True))), name)
-    return known.where("gone").select("batch", "at"), known.where("not gone").select("one", "two", "batch", "at")
+    known = pairs.where("one is not null").withColumn("gone", F.col("low") > low)
+    known = known.unionByName(pairs.where("one is null").withColumn("gone", F.lit(True)))
+    return known.select(*[F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("one", "two")], "batch", "at", "gone")
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def _singles(store: Store, threshold: int, half: int, open_: DataFrame) -> DataF
 
         return f
 
-    return store.map(make, PAIRS, _places(open_))
+    return store.map(make, PAIRS, open_)
 
 
 def spread(places: np.ndarray) -> np.ndarray:
@@ -128,10 +131,16 @@ def deduplicate(docs: DataFrame, digest: bool = False, threshold: int = THRESHOL
     store = Store(docs.select("doc_id", "text"), scratch, repeats.cut_bytes(threshold - 1))
     half = -(-threshold // 2)
     recur = repeats.recurring(store, repeats.byte_tokens, threshold, half)
-    gone, left = rank(_pairs(store, threshold, half, recur), scratch, "around")
+    pairs = scratch.keep(_pairs(store, threshold, half, recur), "pairs")  # two readers
+    around = scratch.keep(rank(pairs), "around")
+    scratch.drop("pairs")
+    left = around.where("not gone")
     apart = left.groupBy("one").agg(F.min("two").alias("a"), F.max("two").alias("b")).where("a != b").select("one")
-    open_ = scratch.keep(left.join(apart, "one", "left_semi").select("batch", "at"), "open")
-    more, _ = rank(_singles(store, threshold, half, open_), scratch, "single")
+    open_ = scratch.keep(_places(left.join(apart, "one", "left_semi")), "open")
+    pairs = scratch.keep(_singles(store, threshold, half, open_), "pairs")
+    gone = around.where("gone").select("batch", "at").unionByName(rank(pairs).where("gone").select("batch", "at"))
+    gone = scratch.keep(_places(gone), "gone")
+    scratch.drop("pairs")
 
     last = "kept_sha256" if digest else "kept"
 
@@ -167,6 +176,6 @@ def deduplicate(docs: DataFrame, digest: bool = False, threshold: int = THRESHOL
     kinds = [pa.int64()] * 4 + [pa.string() if digest else pa.binary(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
     schema = pa.schema(list(zip([*names, "piece_of", "piece_first", "piece_data", "piece_gone"], kinds, strict=True)))
     ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}, piece_of string, piece_first long, piece_data binary, piece_gone binary"
-    out = scratch.keep(store.map(make, ddl, _places(gone.unionByName(more))), "result")
+    out = scratch.keep(store.map(make, ddl, gone), "result")
     store.drop()
     return whole(out, join, names)
