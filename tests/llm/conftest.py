@@ -16,7 +16,7 @@ def texts():
     rng = random.Random(5)
     base = prose(rng, 300)
     shared = prose(rng, 60)
-    out = [None, "", " \t\n ", "x", "Ab\x00c\x1c d　e", "日本語 ✓ " * 30, base, base, base.upper().lower(), base + " tail", base.replace("th", "zz", 1)]
+    out = [None, "", " \t\n ", "x", "Ab\x00c\x1c d　e", "a<|endoftext|>b <|StartOfText|> c", "日本語 ✓ " * 30, base, base, base.upper().lower(), base + " tail", base.replace("th", "zz", 1)]
     out += [f"{prose(rng, 50)} {shared} {prose(rng, 40)}\nnotice {i} for page {i * 7}\nAll rights reserved here now.\n{prose(rng, 9)}" for i in range(6)]
     out += [shared, " ".join([prose(rng, 12)] * 20), "a" * 3000, prose(rng, 20_000), "\n\n".join(prose(rng, 8) for _ in range(40))]
     return out

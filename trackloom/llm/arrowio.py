@@ -11,8 +11,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from trackloom.plans.runtime import ship
 
-#: Rows handed to a Python worker at once; with whole long texts this bounds its memory.
-ROWS, BYTES = 2000, "16m"
+#: Rows unpacked at once. Arrow batches themselves are bounded in bytes by Spark
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set otherwise).
+ROWS = 500
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list], Iterator[tuple] | list]]) -> DataFrame:
@@ -20,16 +21,12 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list], Ite
     columns (lists) to output rows (tuples in schema order)."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
     out: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 
     def run(batches):
         f = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in sliced(batches):
             rows = f([c.to_pylist() for c in batch.columns])
             part: list = []
             for r in rows:
@@ -43,6 +40,12 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list], Ite
     return df.mapInArrow(run, out)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _pack(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

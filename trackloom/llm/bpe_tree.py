@@ -136,7 +136,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, leaf: int =
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = LEAF) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: :func:`encode_documents`
-    with the sums taken in the worker, so that ids needn't travel."""
+    with the sums taken in the worker, so that ids needn't travel. An empty table
+    gives no rows."""
 
     def make():
         bpe = TreeBPE(load_ranks(ranks_path), pattern, leaf)

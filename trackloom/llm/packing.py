@@ -23,7 +23,8 @@ from trackloom.llm.arrowio import map_rows
 from trackloom.llm.tokens import encode_documents, unpack
 from trackloom.plans.runtime import Scratch
 
-SALT = 256
+#: Rows whose ranks one task counts.
+RANKED = 200_000
 
 
 def combinations_filling(window: int, present: np.ndarray) -> np.ndarray:
@@ -128,28 +129,25 @@ def pack(tokens: DataFrame, scratch: Scratch, window: int = 1024) -> DataFrame:
     Every id lies in exactly one piece; sequences are gapless. Rows with n = 0
     give no piece; an empty table gives no rows.
     """
-    light = tokens.select("rid", "n").withColumns({"salt": F.pmod(F.xxhash64("rid"), F.lit(SALT)).cast("int"), "q": F.floor(F.col("n") / window).cast("long"), "rem": (F.col("n") % window).cast("int")})
+    salts = max(16, -(-tokens.count() // RANKED))
+    light = tokens.select("rid", "n").withColumns({"salt": F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int"), "q": F.floor(F.col("n") / window).cast("long"), "rem": (F.col("n") % window).cast("int")})
     counts = scratch.keep(light.groupBy("rem", "salt").agg(F.count("*").alias("c"), F.sum("q").alias("qs")), "counts")
     hist = np.zeros(window, np.int64)
     for r in counts.groupBy("rem").agg(F.sum("c").alias("c")).collect():  # at most one row per length
         hist[r["rem"]] = r["c"]
     hist[0] = 0
     plan = Plan(hist, window)
-    by_salt = {r["salt"]: r["qs"] for r in counts.groupBy("salt").agg(F.sum("qs").alias("qs")).collect()}  # SALT rows
-    first, at = [], plan.sequences
-    for s in range(SALT):
-        first.append(at)
-        at += by_salt.get(s, 0)
+    start = counts.groupBy("salt").agg(F.sum("qs").alias("qs"))  # a row per salt
+    ahead = F.coalesce(F.sum("qs").over(Window.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = start.select("salt", (ahead + plan.sequences).alias("first"))
 
     before = Window.partitionBy("rem").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("rem", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
+    offsets = counts.select("rem", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead")).join(start, "salt")
     ranked = light.withColumns({
         "rank": F.row_number().over(Window.partitionBy("salt", "rem").orderBy("rid")) - 1,
         "whole": F.sum("q").over(Window.partitionBy("salt").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q"),
     })
-    placed = ranked.join(offsets, ["rem", "salt"]).select(
-        "rid", "rem", (F.col("rank") + F.col("ahead")).alias("rank"), (F.element_at(F.lit(first), F.col("salt") + 1) + F.col("whole")).alias("whole")
-    )
+    placed = ranked.join(offsets, ["rem", "salt"]).select("rid", "rem", (F.col("rank") + F.col("ahead")).alias("rank"), (F.col("first") + F.col("whole")).alias("whole"))
     placed = scratch.keep(placed, "placed")
 
     def make():

@@ -166,7 +166,12 @@ def accepted(rules: list[list[Condition]]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, the base statistics, ``base_failed`` and ``kept``."""
+    """``keep``, the base statistics, ``base_failed`` and ``kept``, per row of ``docs``.
+
+    Null, empty and blank texts have no words and fail the base rules. Repeated rows
+    and null ids stay; columns other than ``keep`` are ignored; an empty table gives
+    no rows.
+    """
     d = features(statistics(docs, keep))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
@@ -179,6 +184,7 @@ def judge(docs: DataFrame, rules: list[list[Condition]], keep: tuple[str, ...] =
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     """The rows of ``docs`` (all columns, unchanged) that the base and the learned
-    rules keep."""
+    rules keep. Null and blank texts go; null ids and repeated rows stay; an empty
+    table gives no rows."""
     rules = learn(docs, labels, bound)
     return judge(docs.select(F.struct("*").alias("_row"), "text"), rules, ("_row",)).where("kept").select("_row.*")

@@ -17,45 +17,55 @@ def vocabulary(name: str) -> str:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and components of all documents; nulls, ties and repeated rows as :func:`simhash.near_duplicates` says."""
     return simhash.near_duplicates(spread_table(spark, sf_dir, "documents"))
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped per document; cases as :func:`line_templates.deduplicate` says."""
     return line_templates.deduplicate(spread_table(spark, sf_dir, "documents"), mode="digest")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; cases as :func:`vectors.near_duplicates` says."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents; cases as :func:`packing.pack_documents` says."""
     return packing.digest(packing.pack_documents(spread_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op5_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; cases as :func:`quality.judge` says."""
     docs = spread_table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of ids and decoded bytes; cases as :func:`bpe_tree.digests` says."""
     import public_tokenizers
 
     return bpe_tree.digests(spread_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents; cases as :func:`secrets.scan_documents` says."""
     return secrets.scan_documents(spread_table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed per document; cases as :func:`suffix_dedup.deduplicate` says."""
     return suffix_dedup.deduplicate(spread_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed per document; cases as :func:`debruijn_dedup.deduplicate` says."""
     return debruijn_dedup.deduplicate(spread_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of all ids, read from files; cases as :func:`token_files.round_trip` says."""
     return token_files.round_trip(spread_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 

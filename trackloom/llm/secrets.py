@@ -4,8 +4,10 @@ Base kinds are strong on their own: an assignment to a secret-like name, an acce
 key id and a long run of hex digits. Weak candidates are parts of a credential: an
 identifier (``id``), a secret-looking string (``part``) and an ``endpoint``. A part
 alone proves nothing, so an interval join links parts of one document that share a
-scope (a reach of characters around each); a weak candidate is reported only where
-a secret-like part, weak or strong, meets an identifier or an endpoint.
+scope (a reach of characters around each) and don't overlap; a weak candidate is
+reported only where a secret-like part, weak or strong, meets an identifier or an
+endpoint. Words joined by slashes or hyphens (paths, slugs) and what lies in an
+endpoint are no parts.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trackloom.llm.arrowio import BYTES, ROWS, map_rows
+from trackloom.llm.arrowio import map_rows, sliced
 from trackloom.plans.runtime import ship
 
 KINDS = ("assign", "access", "hex", "id", "part", "endpoint")
@@ -42,42 +45,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _random_looking(s: str) -> bool:
+    """Enough bits a character, letters and digits, and kinds of character (upper,
+    lower, digit) that change as often as in random strings, unlike in words."""
     n = len(s)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
-    return bits >= 3.5 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "" for c in s]
+    turns = sum(bool(a and b and a != b) for a, b in pairwise(kinds))
+    return bits >= 3.5 and "d" in kinds and ("u" in kinds or "l" in kinds) and turns >= 0.3 * (n - 1)
 
 
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = [(m.start(1), m.end(1), "id") for m in _ID.finditer(text)] if ("=" in text or ":" in text) else []
-    if "://" in text:
-        out += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    out += [(m.start(), m.end(), "part") for m in _PART.finditer(text) if _random_looking(m.group())]
-    ends, starts = [b[1] for b in base], [b[0] for b in base]
-    top = 0
-    reach = [top := max(top, e) for e in ends]
-    return [p for p in out if not _overlaps(p, starts, reach)]
+    ends = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)] if "://" in text else []
+    parts = [(m.start(), m.end(), "part") for m in _PART.finditer(text) if _random_looking(m.group())]
+    return [p for p in out + ends + _apart(parts, ends) if _apart([p], base)]
 
 
-def _overlaps(p: tuple[int, int, str], starts: list[int], reach: list[int]) -> bool:
-    i = bisect.bisect_left(starts, p[1])
-    return i > 0 and reach[i - 1] > p[0]
+def _apart(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of ``others`` (in order of their starts)."""
+    starts, top = [o[0] for o in others], 0
+    reach = [top := max(top, o[1]) for o in others]
+    return [p for p in spans if not ((i := bisect.bisect_left(starts, p[1])) and reach[i - 1] > p[0])]
 
 
 def link(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
-    """Interval join by a sweep: the weak spans that have a complementary span at
-    most ``scope`` characters away."""
+    """Interval join by sorted bounds: the weak spans that have a complementary span
+    before or after them, not overlapping, at most ``scope`` characters away."""
     if not weak:
         return []
-    every = sorted([*base, *weak])
     found = []
     for kinds, others in ((SECRETS, NAMES), (NAMES, SECRETS)):
-        facing = [s for s in every if s[2] in others]
-        starts, top = [s[0] for s in facing], -1
-        reach = [top := max(top, s[1]) for s in facing]
+        facing = [s for s in [*base, *weak] if s[2] in others]
+        starts, ends = sorted(s[0] for s in facing), sorted(s[1] for s in facing)
         for w in weak:
             if w[2] in kinds:
-                i = bisect.bisect_right(starts, w[1] + scope)
-                if i and reach[i - 1] >= w[0] - scope:
+                i, j = bisect.bisect_left(starts, w[1]), bisect.bisect_right(ends, w[0])
+                if (i < len(starts) and starts[i] <= w[1] + scope) or (j and ends[j - 1] >= w[0] - scope):
                     found.append(w)
     return found
 
@@ -98,7 +101,8 @@ def scan_documents(docs: DataFrame, scope: int = 200) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` per row.
 
     Offsets are code points, ends exclusive. Null text counts as empty; repeated
-    rows and null ``doc_id`` stay; other columns are ignored.
+    rows and null ``doc_id`` stay; other columns are ignored; an empty table gives
+    no rows.
     """
 
     def make():
@@ -129,14 +133,13 @@ def redact(text: str | None, scope: int = 200) -> str | None:
 
 def redact_documents(docs: DataFrame, scope: int = 200) -> DataFrame:
     """The rows of ``docs`` with reported secrets replaced in ``text``; ``n_chars``,
-    where present, follows. Other columns pass through; null text stays null."""
+    where present, follows. Other columns pass through; null text and null ids stay
+    null; repeated rows are treated alike; an empty table gives no rows."""
     spark, names = docs.sparkSession, docs.columns
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = list(batch.columns)
             texts = [redact(t, scope) for t in batch.column(names.index("text")).to_pylist()]
             for name, values in (("text", texts), ("n_chars", [None if t is None else len(t) for t in texts])):

@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3) -> Data
 
 def first_of_each_group(docs: DataFrame, threshold: int = 2, width: int = 3) -> DataFrame:
     """The rows of ``docs`` (all columns, unchanged) whose document is the smallest
-    of its near-duplicate group. Rows with a null ``doc_id`` stay."""
+    of its near-duplicate group. Rows with a null ``doc_id`` stay, and so do
+    all rows of a kept id; an empty table gives no rows."""
     found = near_duplicates(docs, threshold, width)
     later = found.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

@@ -28,13 +28,15 @@ import zlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.arrowio import map_rows
 from trackloom.llm.tokens import encode_documents, unpack
 from trackloom.plans.runtime import Scratch, ship
 
+#: Bytes of text in a shard, about; all records of one id lie in one shard.
+SHARD = 32_000_000
 MAGIC, HEAD, PER_BUCKET = b"MPH1", struct.Struct("<4s4Q"), 4
 
 
@@ -114,7 +116,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_docs: int = 8192) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_bytes: int = SHARD) -> list[dict]:
     """Encode whole ``docs`` and write them in ascending ``doc_id`` order (nulls
     first; equal ids by their ids' bytes). Returns the manifest, a row per shard
     in order: shard, docs, ids, low and high (its smallest and largest doc_id).
@@ -123,7 +125,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_docs:
     """
     spark = docs.sparkSession
     ship(spark)
-    bounds = _bounds(docs, shard_docs)
+    bounds = _bounds(docs, shard_bytes)
     n = len(bounds) + 1
     tokens = encode_documents(docs, tokenizer, end_id, bounds)
     dealt = tokens.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
@@ -144,13 +146,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_docs:
     return sorted((r.asDict() for r in out.collect()), key=lambda r: r["shard"])  # a row per shard
 
 
-def _bounds(docs: DataFrame, shard_docs: int) -> list[int]:
-    keys = docs.select("doc_id").where("doc_id is not null")
-    n = keys.count()
-    shards = max(1, min(-(-n // shard_docs), 20_000))
-    if shards == 1:
+def _bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
+    """The least doc_id of each shard but the first: a row per shard."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+    shards = -(-size // shard_bytes)
+    if shards < 2:
         return []
-    return sorted({int(x) for x in keys.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards).alias("p")).first()["p"]})
+    dealt = docs.select("doc_id").where("doc_id is not null").repartitionByRange(shards, "doc_id")
+    low = dealt.groupBy(F.spark_partition_id().alias("shard")).agg(F.min("doc_id").alias("low"))
+    return sorted({r["low"] for r in low.collect()})[1:]
 
 
 class _Writer:
@@ -200,29 +204,30 @@ def read(keys: DataFrame, folder: str, manifest: list[dict]) -> DataFrame:
     lows = [m["low"] if m["low"] is not None else -(1 << 63) for m in manifest]
     shards = [m["shard"] for m in manifest]
     before = np.concatenate(([0], np.cumsum([m["ids"] for m in manifest]))).tolist()
-    numbered = keys.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))) - 1).alias("k"))
 
     def place():
         def rows(cols):
-            for d, k in zip(*cols, strict=True):
+            for (d,) in zip(*cols, strict=True):
                 if shards:
-                    yield (0 if d is None else max(0, bisect.bisect_right(lows, d) - 1)), d, k
+                    yield (0 if d is None else max(0, bisect.bisect_right(lows, d) - 1)), d
 
         return rows
 
-    dealt = map_rows(numbered, "at int, doc_id long, k int", place).repartition("at").sortWithinPartitions("at", "doc_id", "k")
+    # one task a shard; a repeated key counts its occurrences there
+    dealt = map_rows(keys.select("doc_id"), "at int, doc_id long", place).repartitionById(max(1, len(shards)), "at").sortWithinPartitions("at", "doc_id")
 
     def look():
         fs, base = _filesystem(folder)
-        now: list = [None, None]
+        now: list = [None, None, object(), 0]
 
         def rows(cols):
-            for at, d, k in zip(*cols, strict=True):
+            for at, d in zip(*cols, strict=True):
                 if now[0] != at:
                     if now[1]:
                         now[1].close()
-                    now[:] = [at, Shard(fs, f"{base}/shard-{shards[at]:05d}")]
-                found = now[1].find(_key(d, k))
+                    now[:2] = [at, Shard(fs, f"{base}/shard-{shards[at]:05d}")]
+                now[2:] = [d, now[3] + 1 if d == now[2] else 0]
+                found = now[1].find(_key(d, now[3]))
                 if found:
                     yield d, before[at] + found[0], found[1], now[1].ids(*found).tobytes()
 
@@ -231,7 +236,7 @@ def read(keys: DataFrame, folder: str, manifest: list[dict]) -> DataFrame:
     return map_rows(dealt, "doc_id long, start long, n_tokens long, ids binary", look)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_docs: int = 8192) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_bytes: int = SHARD) -> DataFrame:
     """Write ``docs`` to files under the shared folder and read every document
     back by key: ``(doc_id, start, n_tokens, ids_crc32)``.
 
@@ -240,7 +245,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, shard_docs: int
     """
     scratch = Scratch(docs.sparkSession, "token-files")
     folder = scratch.path("store")
-    manifest = write(docs, folder, tokenizer, end_id, shard_docs=shard_docs)
+    manifest = write(docs, folder, tokenizer, end_id, shard_bytes)
 
     def sums():
         return lambda cols: [(d, s, n, zlib.crc32(i)) for d, s, n, i in zip(*cols, strict=True)]

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.arrowio import sliced
 from trackloom.operators.graph import connected_components, join_roots
 from trackloom.plans.runtime import Scratch, ship
 
@@ -83,7 +84,7 @@ def _place(classes: DataFrame, cosine: float, tiles: dict | None) -> DataFrame:
     the vectors dealt to the tiles of their cells."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             ids, mult, emb = batch.column("id").to_numpy(), batch.column("mult").to_numpy(), batch.column("embedding")
             for dim, (rows, v) in _decode(emb).items():
                 rot = Rotation(dim, cosine)
@@ -185,12 +186,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do rows without ``vec_id`` (their component stays null and
-    they are kept). Repeated rows count as vectors of their own. Vectors of
+    they are kept). Repeated rows count as vectors of their own, also where one
+    ``vec_id`` comes with different vectors: each row has its own links, and classes
+    that share their smallest ``vec_id`` show the same component. Vectors of
     different length don't link. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     scratch = Scratch(spark, "vectors")
     size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (size > 0) & (size < float("inf"))
