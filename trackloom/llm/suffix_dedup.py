@@ -37,8 +37,8 @@ PAIRS = "one long, two int, low long, batch long, at array<long>"
 
 def pair_rows(batch: Batch, doc: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray):
     """A row per different pair with its places in the least document that has it
-    here, and one without a pair: the places in later ones, which surely go. The
-    pair's second name is cut to 32 bits (96 in all)."""
+    here, and one without a document (under a key of its own): the places in later
+    ones, which surely go. The pair's second name is cut to 32 bits (96 in all)."""
     two = two.astype(np.uint32)
     order = np.lexsort((at, doc, two, one))
     doc, one, two, at = doc[order], one[order], two[order], at[order]
@@ -50,16 +50,14 @@ def pair_rows(batch: Batch, doc: np.ndarray, one: np.ndarray, two: np.ndarray, a
         n = len(head)
         yield one[head].view(np.int64), two[head].view(np.int32), doc[head], numbers(batch.number, n), lists(at[first], np.bincount(group[first], minlength=n))
     if (~first).any():
-        none = pa.nulls(1, pa.int64())
-        yield none, pa.nulls(1, pa.int32()), none, numbers(batch.number, 1), lists(at[~first], np.array([(~first).sum()]))
+        yield mix(np.array([batch.number], np.uint64)).view(np.int64), numbers(0, 1).cast(pa.int32()), pa.nulls(1, pa.int64()), numbers(batch.number, 1), lists(at[~first], np.array([(~first).sum()]))
 
 
 def rank(pairs: DataFrame) -> DataFrame:
     """Sort pairs. ``gone``: an earlier document has the pair too; else the row holds
-    the first occurrence, and keeps its names."""
+    the first occurrence, and keeps its names. A batch has a row per pair."""
     low = F.min("low").over(Window.partitionBy("one", "two"))
-    known = pairs.where("one is not null").withColumn("gone", F.col("low") > low)
-    known = known.unionByName(pairs.where("one is null").withColumn("gone", F.lit(True)))
+    known = pairs.withColumn("gone", F.coalesce(F.col("low") > low, F.lit(True)))
     return known.select(*[F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("one", "two")], "batch", "at", "gone")
 
 
@@ -131,16 +129,12 @@ def deduplicate(docs: DataFrame, digest: bool = False, threshold: int = THRESHOL
     store = Store(docs.select("doc_id", "text"), scratch, repeats.cut_bytes(threshold - 1))
     half = -(-threshold // 2)
     recur = repeats.recurring(store, repeats.byte_tokens, threshold, half)
-    pairs = scratch.keep(_pairs(store, threshold, half, recur), "pairs")  # two readers
-    around = scratch.keep(rank(pairs), "around")
-    scratch.drop("pairs")
+    around = scratch.keep(rank(_pairs(store, threshold, half, recur)), "around")
     left = around.where("not gone")
     apart = left.groupBy("one").agg(F.min("two").alias("a"), F.max("two").alias("b")).where("a != b").select("one")
     open_ = scratch.keep(_places(left.join(apart, "one", "left_semi")), "open")
-    pairs = scratch.keep(_singles(store, threshold, half, open_), "pairs")
-    gone = around.where("gone").select("batch", "at").unionByName(rank(pairs).where("gone").select("batch", "at"))
-    gone = scratch.keep(_places(gone), "gone")
-    scratch.drop("pairs")
+    single = scratch.keep(_places(rank(_singles(store, threshold, half, open_)).where("gone")), "single")
+    gone = _places(around.where("gone")).withColumnRenamed("places", "around")
 
     last = "kept_sha256" if digest else "kept"
 
@@ -150,7 +144,8 @@ def deduplicate(docs: DataFrame, digest: bool = False, threshold: int = THRESHOL
 
     def make():
         def f(batch: Batch):
-            lo, n = batch.known["places"] >> 8, batch.known["places"] & 255
+            gone = np.concatenate((batch.known["places"], batch.known["around"]))
+            lo, n = gone >> 8, gone & 255
             g, at, out = covered(len(batch.data), lo, lo + n + threshold), 0, []
             for k, end in enumerate(batch.ends.tolist()):
                 text, cut = batch.data[at:end], batch.pieces.get(k)
@@ -176,6 +171,6 @@ def deduplicate(docs: DataFrame, digest: bool = False, threshold: int = THRESHOL
     kinds = [pa.int64()] * 4 + [pa.string() if digest else pa.binary(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
     schema = pa.schema(list(zip([*names, "piece_of", "piece_first", "piece_data", "piece_gone"], kinds, strict=True)))
     ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}, piece_of string, piece_first long, piece_data binary, piece_gone binary"
-    out = scratch.keep(store.map(make, ddl, gone), "result")
+    out = scratch.keep(store.map(make, ddl, single, gone), "result")
     store.drop()
     return whole(out, join, names)
