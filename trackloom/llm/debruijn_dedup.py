@@ -33,7 +33,7 @@ WINDOW, KMER = 35, 20
 
 def edges(store: Store, window: int, kmer: int, recur: DataFrame) -> DataFrame:
     """``(edge, check, next, place)``: every window of a recurring sampled k-mer, told
-    by 96 bits; ``next`` is the edge after it, null at a document's end and before
+    by 96 bits; ``next`` names the edge after it, 0 at a document's end and before
     unique ones; ``place`` is its source coordinate, a batch and a word there."""
 
     def make():
@@ -47,21 +47,20 @@ def edges(store: Store, window: int, kmer: int, recur: DataFrame) -> DataFrame:
                 follows = np.zeros(len(at), bool)
                 follows[:-1] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
                 check = Hashes(s.x, B).at(at, window).astype(np.uint32).view(np.int32)
-                yield edge, check, pa.array(np.roll(edge, -1), mask=~follows), (batch.number << PLACE) + at
+                yield edge, check, np.where(follows, np.roll(edge, -1).astype(np.int32), np.int32(0)), (batch.number << PLACE) + at
 
         return f
 
-    return store.map(make, "edge long, check int, next long, place long", recur)
+    return store.map(make, "edge long, check int, next int, place long", recur)
 
 
 def paths(every: DataFrame, scratch: Scratch) -> DataFrame:
     """``(edge, check, path, length)``: the first edge of each compacted path of
     repeated edges, the path's source coordinate and how many edges it has."""
-    end = F.coalesce("next", F.lit(0))
-    twice = every.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min("place").alias("source"), F.min(end).alias("a"), F.max(end).alias("b"))
-    twice = scratch.keep(twice.where("n > 1"), "repeated-edges")
-    unary = twice.where("a = b and a != 0").select(F.col("a").alias("edge"), "n", (F.col("source") + 1).alias("source"), F.lit(True).alias("inner"))
-    marked = twice.select("edge", "check", "n", "source").join(unary, ["edge", "n", "source"], "left")
+    twice = every.groupBy("edge", "check").agg(F.count("*").alias("n"), F.min("place").alias("source"), F.min("next").alias("a"), F.max("next").alias("b"))
+    twice = scratch.keep(twice.where("n > 1").withColumn("name", F.shiftright(F.shiftleft("edge", 32), 32).cast("int")), "repeated-edges")
+    unary = twice.where("a = b and a != 0").select(F.col("a").alias("name"), "n", (F.col("source") + 1).alias("source"), F.lit(True).alias("inner"))
+    marked = twice.select("edge", "check", "name", "n", "source").join(unary, ["name", "n", "source"], "left")
     order = Window.partitionBy(F.shiftright("source", PLACE)).orderBy("source")
     stops = marked.withColumn("path", F.max(F.when(F.col("inner").isNull(), F.col("source"))).over(order))
     length = F.count("*").over(Window.partitionBy(F.shiftright("source", PLACE), "path"))
