@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from trackloom.plans import catalog
+from trackloom.plans import families as catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

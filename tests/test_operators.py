@@ -232,15 +232,12 @@ def test_sequences():
     xy = np.array([[0, 0], [0.1, 0], [0.2, 0], [0.3, 0], [9, 0]], float)
     parts = W.split_path(t, xy, 1.0, lambda d, dt, v: d <= min(v * dt + 4 * dt * dt, 5.5 * dt) * 1.25 + 0.35)
     assert [p.tolist() for p in parts] == [[0, 1, 2]]
-    x, sd = W.rts_smooth(np.arange(20) * 0.1, np.arange(20) * 0.2)
-    assert np.allclose(x, np.arange(20) * 0.2, atol=0.02) and (sd < 0.1).all()
     v = np.array([[1.0, 0]] * 15 + [[0, 1.0]] * 15)
     assert W.change_points(v, 12, 0.5, 12) == [15]
     ok, mv = "ok", "moved"
     assert W.valid_intervals(list(range(8)), [ok, ok, mv, ok, mv, mv, ok, ok], sample=1.0) == [(0, 3), (6, 7)]
     assert W.valid_intervals([0, 2, 4, 6, 8], ["ok", "blank", None, "blank", "ok"]) == [(0, 8)]
     assert W.valid_intervals([0, 2, 4, 6, 8], ["ok", "cut", None, "cut", None]) == [] and W.valid_intervals([], []) == []
-    assert sorted(O.shuffled(7, 5)) == list(range(7))
     assert O.cover([{1, 2}, {2, 3, 4}, {1}], {}, np.array([0.0, 10.0, 20.0]), 2, 1.0) == [1, 0]
 
 
@@ -303,3 +300,34 @@ def test_corrections_bands_and_second_best(spark):
     assert [(r.k, r.v) for r in O.clear_winner(c, ["k"], "s", ["v"], 0.70, 1.25).collect()] == [(1, "a")]
     score = np.array([[5.0, 4.9], [0.0, 9.0]])
     assert G.assign(score, {(0, 1)}, must=False)[0] == [0, 1] and G.unstable(score, set(), 0.2, must=False) == [0] and G.unstable(score, set(), 0.01, must=False) == []
+
+
+def test_smoothing_is_the_posterior(spark):
+    """Against the joint Gaussian of first place, first speed and all accelerations."""
+    rng = np.random.default_rng(3)
+    t = np.cumsum(rng.uniform(0.05, 0.4, 25))
+    z = np.stack((np.sin(t), t * 0.7), 1) + rng.normal(size=(25, 2)) * 0.1
+    n = len(t)
+    to_x, to_v = np.zeros((n, n + 1)), np.zeros((n, n + 1))
+    to_x[0, 0] = to_v[0, 1] = 1
+    for k in range(1, n):
+        d = t[k] - t[k - 1]
+        to_x[k], to_v[k] = to_x[k - 1] + d * to_v[k - 1], to_v[k - 1]
+        to_x[k, k + 1] += d * d / 2
+        to_v[k, k + 1] += d
+    prior = np.diag([0.01, 4.0] + [9.0] * (n - 1))
+    gain = prior @ to_x.T @ np.linalg.inv(to_x @ prior @ to_x.T + 0.01 * np.eye(n))
+    mean = np.zeros((n + 1, 2))
+    mean[0] = z[0]
+    want, var = to_x @ (mean + gain @ (z - to_x @ mean)), np.diag(to_x @ (prior - gain @ to_x @ prior) @ to_x.T)
+    x, got = W.smooth_stretch(t, z)
+    assert np.allclose(x, want) and np.allclose(got, var)
+    rows = [(1, float(a), float(b), float(c)) for a, (b, c) in zip(t, z, strict=True)] + [(1, float(t[-1]) + 0.2, 50.0, 50.0), (2, 0.0, 1.0, 2.0)]
+    out = W.smooth_tracks(spark.createDataFrame(rows, "tid int, t double, x double, y double"), ["tid"]).orderBy("tid", "t").collect()
+    assert np.allclose([(r.x, r.y) for r in out[:n]], want) and np.allclose([r.sd for r in out[:n]], np.sqrt(var))
+    assert [(r.x, r.y, r.sd) for r in out[n:]] == [(50.0, 50.0, 0.1), (1.0, 2.0, 0.1)]  # a step too far starts anew
+
+
+def test_known_orders(spark):
+    r = one(spark, a=O.shuffled(F.lit(5), F.lit(1)), b=O.shuffled(F.lit(5), F.lit(0)), c=O.shuffled(F.lit(1), F.lit(7)), d=O.shuffled(F.lit(0), F.lit(7)))
+    assert (r.a, r.b, r.c, r.d) == ([0, 1, 2, 4, 3], [4, 0, 1, 2, 3], [0], [])

@@ -179,11 +179,22 @@ def greedy_apart(df: DataFrame, key: list[str], t: str, order: list[str], ascend
     return grouped(df, key, [t, *order], df.schema, f)
 
 
-def shuffled(length: int, seed: int) -> list[int]:
-    """Fisher-Yates driven by a 32-bit linear congruential generator."""
-    state, out = seed & 0xFFFFFFFF, list(range(length))
-    for i in range(length - 1, 0, -1):
-        state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-        j = state % (i + 1)
-        out[i], out[j] = out[j], out[i]
-    return out
+# Multiplier, increment and modulus of the generator behind a shuffle.
+GENERATOR = (1664525, 1013904223, 1 << 32)
+
+
+def shuffled(length, seed) -> Column:
+    """The numbers below ``length`` in the order that ``seed`` gives them: from the last
+    place down, each is exchanged with the place that the next random number names."""
+    times, plus, modulus = GENERATOR
+    n = F.col(length) if isinstance(length, str) else length
+    begin = F.struct(((F.col(seed) if isinstance(seed, str) else seed).cast("long") % modulus).alias("random"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("order"))
+
+    def exchange(a: Column, place: Column) -> Column:
+        random = (a["random"] * times + plus) % modulus
+        other = (random % (place + 1)).cast("int")
+        order = F.transform(a["order"], lambda x, k: F.when(k == place, F.get(a["order"], other)).when(k == other, F.get(a["order"], place)).otherwise(x))
+        return F.struct(random.alias("random"), order.alias("order"))
+
+    places = F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, begin, exchange)["order"]
