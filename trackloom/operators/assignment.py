@@ -5,6 +5,8 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def interval_colours(start: np.ndarray, end: np.ndarray, conflict: set, colours: int, cost) -> list[int]:
@@ -23,6 +25,22 @@ def interval_colours(start: np.ndarray, end: np.ndarray, conflict: set, colours:
     return out
 
 
+def best_permutations(cost: Column, n: int) -> Column:
+    """The exact assignment of ``n`` rows to columns (7 at most) of ``cost``, an array of
+    arrays: a struct of its cost and each row's column, the first in order on ties."""
+    if not 0 < n <= 7:
+        raise ValueError("an order of 1 to 7 rows")
+    orders = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(n))])
+
+    def priced(order: Column) -> Column:
+        total = F.lit(0.0)
+        for i in range(n):
+            total = total + F.get(F.get(cost, F.lit(i)), F.get(order, F.lit(i)))
+        return F.struct(total.alias("cost"), order.alias("columns"))
+
+    return F.array_min(F.transform(orders, priced))
+
+
 def best_permutation(cost: np.ndarray) -> list[int]:
     """Exact assignment of n <= 8 rows to columns (first in order on ties)."""
     n = len(cost)

@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators import aggregates as A
+from trackloom.operators import assignment as G
 from trackloom.operators import filters as P
+from trackloom.operators import joins as J
 from trackloom.operators import selection as O
 from trackloom.operators import tracks as T
 from trackloom.operators import upserts as U
 from trackloom.operators import windows as W
 from trackloom.plans.catalog import _E, ORACLES, QUERIES, _events, query
 from trackloom.plans.runtime import table
+from trackloom.sources import documents as D
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -355,3 +359,182 @@ def short_excursions(spark: SparkSession, sf: str) -> DataFrame:
     """Short stretches that leave and come back."""
     d = _events(spark, sf).withColumn("run", F.floor(F.col("t") / 43200))
     return W.excursions(d, ["user_id"], ["t"], "t", "value", "run", 20_000.0, 200_000.0, 20.0).select("user_id", "run", F.round("mid", 6).alias("mid"))
+
+
+# -- documents ----------------------------------------------------------------
+def _orders_of_lines(spark: SparkSession, sf: str, *fields) -> DataFrame:
+    """A document per order, with an array of its lines in order."""
+    d = _lines(spark, sf, "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return d.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("line", *fields))).alias("many"))
+
+
+@query("""
+SELECT l_orderkey AS f, l_linenumber::BIGINT AS tid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS ord, printf('%.1f,%.1f,%.1f,%.1f', l_quantity, l_linenumber::DOUBLE, l_quantity + 20, l_linenumber + 4::DOUBLE) AS box_key FROM lineitem""")
+def frame_detections(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per detection of a frame, with a key of its box."""
+    y = F.col("line").cast("double")
+    frames = _orders_of_lines(spark, sf, F.col("line").alias("tid"), F.array("l_quantity", y, F.col("l_quantity") + 20, y + 4).alias("xyxy"))
+    return D.detections(frames.select(F.col("l_orderkey").alias("f"), F.lit(0.0).alias("t"), F.col("many").alias("dets"))).select("f", "tid", F.col("ord").cast("long").alias("ord"), "box_key")
+
+
+def _curated(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("line")
+    label = [
+        (F.col("l_returnflag") == "A").alias("mixed"), (F.col("l_returnflag") == "R").alias("notrobot"), (F.col("l_linestatus") == "O").alias("unknown"), F.when(k % 2 == 0, "human").otherwise("auto").alias("src"),
+        F.col("l_returnflag").alias("team"), F.when(k % 3 != 0, F.when(F.col("l_quantity") > 25, "N").otherwise("A")).alias("was"), F.when(k % 4 != 0, F.col("l_partkey") * 10 + 1).alias("ms"),
+    ]
+    d = _orders_of_lines(spark, sf, *label)
+    return d.select(F.col("l_orderkey").alias("stem"), F.col("many").alias("labels"), F.struct(F.lit(5).cast("long").alias("activeSec"), F.lit(9).cast("long").alias("wallSec")).alias("session"))
+
+
+@query("""
+SELECT l_orderkey AS stem, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag = 'A', l_returnflag = 'R', l_linestatus = 'O') - 1 AS ord, CASE l_returnflag WHEN 'A' THEN 'mixed' WHEN 'R' THEN 'notrobot' ELSE CASE WHEN l_linestatus = 'O' THEN 'unknown' END END AS flag FROM lineitem""")
+def curator_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per label of a document, in order, with its strongest flag."""
+    return D.labels(_curated(spark, sf)).select("stem", F.col("ord").cast("long").alias("ord"), "flag")
+
+
+@query("""
+SELECT l_orderkey AS match, count(*) AS labels, count(*) FILTER (l_linenumber % 2 = 0) AS human, round(sum(l_partkey * 10 + 1) FILTER (l_linenumber % 2 = 0 AND l_linenumber % 4 <> 0) / 1000.0::DOUBLE, 1) AS seconds FROM lineitem GROUP BY 1""")
+def label_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels, human ones and seconds on boxes per document."""
+    return D.label_timing(_curated(spark, sf)).select("match", F.col("labels").cast("long").alias("labels"), F.col("human").cast("long").alias("human"), F.col("onBoxSec").alias("seconds"))
+
+
+@query("""
+WITH d AS (SELECT l_orderkey, l_returnflag AS team, CASE WHEN l_linenumber % 3 <> 0 THEN CASE WHEN l_quantity > 25 THEN 'N' ELSE 'A' END END AS was FROM lineitem WHERE l_linenumber % 2 = 0),
+g AS (SELECT l_orderkey AS stem, count(*) AS human, count(was) AS guessed, count(*) FILTER (was = team) AS agree FROM d GROUP BY 1)
+SELECT stem, human, guessed, agree, CASE WHEN guessed > 0 THEN round(agree * 100.0::DOUBLE / guessed, 1) END AS pct FROM g""")
+def guess_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the guess shown was confirmed."""
+    return D.agreement(_curated(spark, sf)).withColumnRenamed("hadGuess", "guessed")
+
+
+def _shots(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "static").when(F.col("o_orderstatus") == "O", "pan").otherwise("zoom")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("shotId"), kind.alias("motionClass"), (F.col("o_orderkey") % 61).alias("durationSec"))
+
+
+@query("""
+WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'static' WHEN 'O' THEN 'pan' ELSE 'zoom' END AS kind, o_orderkey % 61 AS d FROM orders)
+SELECT kind, sum(d)::BIGINT AS seconds, count(*) AS shots, count(*) FILTER (d > 20) AS over20, max(d) AS longest, quantile_cont(d::DOUBLE, 0.5) AS median, round(sum(d) * 100.0::DOUBLE / (SELECT sum(d) FROM s), 1) AS pct FROM s GROUP BY 1""")
+def shot_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Durations by motion class."""
+    return D.shot_summary(_shots(spark, sf)).withColumnRenamed("motionClass", "kind")
+
+
+@query("SELECT o_orderkey AS shotId, o_orderkey % 61 AS durationSec FROM orders WHERE o_orderstatus = 'F' ORDER BY 2 DESC, 1 LIMIT 1")
+def longest_static_shot(spark: SparkSession, sf: str) -> DataFrame:
+    """The longest static shot."""
+    return D.longest_static(_shots(spark, sf)).select("shotId", "durationSec")
+
+
+@query("SELECT o_orderkey, o_custkey * 10 AS at FROM orders WHERE o_orderkey % 3 = 2 OR (o_orderkey % 4) * 700 > 1000")
+def waiting_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers newer than what was processed."""
+    o, at = table(spark, sf, "orders"), F.col("o_custkey") * 10
+    done = o.where("o_orderkey % 3 < 2").select("o_orderkey", (at - F.col("o_orderkey") % 4 * 700).alias("at"))
+    return D.waiting(o.select("o_orderkey", at.alias("at")), done, "o_orderkey")
+
+
+@query("""
+SELECT l_orderkey AS match, l_orderkey % 7 AS event, count(*) AS teams, count(*) FILTER (l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) AS known FROM lineitem GROUP BY ALL""")
+def route_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Teams per route document, and how many the gallery knows."""
+    d = _orders_of_lines(spark, sf, F.col("l_suppkey").alias("team"))
+    routes = d.select(F.col("l_orderkey").alias("match"), (F.col("l_orderkey") % 7).alias("event"), F.transform("many", lambda x: x["team"]).alias("teams"))
+    return D.manifest(routes, table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("team")))
+
+
+@query("""
+SELECT 'm' || o_orderkey AS key, o_custkey % 9 AS number, (o_orderkey % 50) || ',' || (o_orderkey % 60) AS red, (o_custkey % 50)::VARCHAR AS blue, o_orderkey % 99 AS redScore, o_custkey % 99 AS blueScore FROM orders""")
+def api_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed matches with alliances flattened and team keys without prefix."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    key = lambda x: F.concat(F.lit("frc"), x.cast("string"))
+    side = lambda teams, score: F.struct(F.array(*teams).alias("team_keys"), score.alias("score"))
+    raw = table(spark, sf, "orders").select(
+        F.concat(F.lit("m"), o.cast("string")).alias("key"), F.lit("e").alias("event_key"), F.lit("qm").alias("comp_level"), F.lit(1).alias("set_number"), (c % 9).alias("match_number"), F.lit(0).alias("actual_time"),
+        F.struct(side([key(o % 50), key(o % 60)], o % 99).alias("red"), side([key(c % 50)], c % 99).alias("blue")).alias("alliances"),
+    )
+    m = D.shape_matches(raw)
+    return m.select("key", F.col("matchNumber").alias("number"), F.array_join("red", ",").alias("red"), F.array_join("blue", ",").alias("blue"), "redScore", "blueScore")
+
+
+@query("SELECT page_id, 'clip' || page_id AS stem FROM pages")
+def source_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """File names without augmentation suffix and extension."""
+    name = F.concat(F.lit("clip"), F.col("page_id").cast("string"), F.lit("_jpg.rf."), F.md5("url"), F.lit(".jpg"))
+    return table(spark, sf, "pages").select("page_id", D.source_stem(name).alias("stem"))
+
+
+# -- measures and matching ----------------------------------------------------
+@query("""
+WITH s AS (SELECT l_orderkey AS match, sum(greatest(0, least(l_linenumber * 10 + l_quantity, 50) - greatest(l_linenumber * 10, 15))) AS seconds FROM lineitem GROUP BY 1)
+SELECT match, seconds, round(seconds * 100 / 35, 1) AS pct FROM s""")
+def clipped_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds of spans inside a window, and their share of it."""
+    d = _lines(spark, sf, "l_quantity").select(F.col("l_orderkey").alias("match"), (F.col("line") * 10).cast("double").alias("lo"), (F.col("line") * 10 + F.col("l_quantity")).alias("hi"))
+    return T.interval_seconds(d, 15.0, 50.0)
+
+
+@query("SELECT a.s_suppkey, count(*) - 1 AS agree FROM supplier a JOIN supplier b ON abs(a.s_acctbal - b.s_acctbal) <= 50 GROUP BY 1")
+def agreeing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows lie near each row."""
+    return O.agreeing_row(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", 50.0)
+
+
+@query("""
+WITH m AS (SELECT l_suppkey AS team, quantile_cont(l_quantity, 0.5) AS mx, CASE WHEN l_suppkey % 2 = 0 THEN 'red' ELSE 'blue' END AS side FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+s AS (SELECT quantile_cont(mx, 0.5) FILTER (side = 'red') AS r, quantile_cont(mx, 0.5) FILTER (side = 'blue') AS b FROM m)
+SELECT team, side, mx, abs(r - b) > 0.1 AND abs(mx - CASE side WHEN 'red' THEN b ELSE r END) < abs(mx - CASE side WHEN 'red' THEN r ELSE b END) AS wrong_end FROM m, s""")
+def wrong_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Teams that start at the other side's end."""
+    d = _lines(spark, sf, F.col("l_suppkey").alias("team"), F.col("l_quantity").alias("x")).withColumn("t", F.col("line") - 1)
+    sides = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("team"), F.when(F.col("s_suppkey") % 2 == 0, "red").otherwise("blue").alias("side"))
+    return T.start_sides(d, sides, 1.0, 0.1)
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS f, l_suppkey % 10 AS i, l_quantity AS x, l_linenumber::DOUBLE AS y FROM lineitem),
+j AS (SELECT a.i AS a, b.i AS b, abs(a.x - b.x) / 40 AS dx, greatest(0, 4 - abs(a.y - b.y)) AS h, greatest(0, 40 - abs(a.x - b.x)) AS w, a.y - b.y AS low FROM b a JOIN b ON a.f = b.f AND a.i < b.i),
+g AS (SELECT a, b, count(*) AS frames, quantile_cont(dx, 0.5) AS dx, quantile_cont(h / 4, 0.5) AS v, quantile_cont(w * h / (320 - w * h), 0.5) AS iou, quantile_cont(low, 0.5) AS low FROM j GROUP BY ALL)
+SELECT a, b, frames, round(dx, 6) AS dx, CASE WHEN low >= 0 THEN a ELSE b END AS keeper FROM g WHERE frames >= 5 AND dx < 0.9 AND v > 0.1 AND iou > 0.01""")
+def overlap_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks whose boxes mostly coincide, and which of a pair stays."""
+    y = F.col("line").cast("double")
+    boxes = _lines(spark, sf, F.col("l_suppkey"), "l_quantity").select(F.col("l_orderkey").alias("f"), (F.col("l_suppkey") % 10).alias("i"), F.col("l_quantity").alias("x1"), y.alias("y1"), (F.col("l_quantity") + 40).alias("x2"), (y + 4).alias("y2"))
+    return J.duplicates_by_overlap(boxes, ["f"], "i", 0.9, 0.1, 0.01).select("a", "b", "frames", F.round("dx", 6).alias("dx"), "keeper")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS f, l_orderkey * 10 + l_linenumber AS lid, l_suppkey % 3 AS team, l_returnflag = 'N' AS hidden, l_quantity AS x, l_linenumber::DOUBLE AS y FROM lineitem)
+SELECT l.lid, min(o.team) AS team FROM b l JOIN b o ON l.f = o.f AND l.hidden AND NOT o.hidden AND greatest(0, 20 - abs(l.x - o.x)) * greatest(0, 4 - abs(l.y - o.y)) / 80 >= 0.45 GROUP BY 1 HAVING min(o.team) = max(o.team)""")
+def hidden_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels whose box lies in the boxes of exactly one team."""
+    y = F.col("line").cast("double")
+    d = _lines(spark, sf, "l_suppkey", "l_quantity", "l_returnflag").select(F.col("l_orderkey").alias("f"), (F.col("l_orderkey") * 10 + F.col("line")).alias("lid"), (F.col("l_suppkey") % 3).alias("team"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("x1"), y.alias("y1"), (F.col("l_quantity") + 20).alias("x2"), (y + 4).alias("y2"))
+    return T.reteam_hidden(d.where("flag = 'N'").drop("team", "flag"), d.where("flag != 'N'").drop("lid", "flag")).select("lid", "team")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1 HAVING count(*) = 3),
+o AS (SELECT unnest([[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]) AS o), x AS (SELECT l_orderkey, o, list_sum(list_transform(range(3), lambda i: (p[i + 1] * (o[i + 1] + 2)) % 17)) AS cost FROM c, o)
+SELECT l_orderkey, arg_min(array_to_string(o, ','), (cost, o)) AS columns_, min(cost)::DOUBLE AS cost FROM x GROUP BY 1""")
+def best_naming(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rows to three columns at least cost, by all orders of a small matrix."""
+    d = _lines(spark, sf, "l_partkey").where("line <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("line", "l_partkey"))).alias("p")).where(F.size("p") == 3)
+    cost = F.transform("p", lambda x: F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda w: (x["l_partkey"] * w % 17).cast("double")))
+    best = G.best_permutations(cost, 3)
+    return d.select("l_orderkey", F.array_join(best["columns"].cast("array<string>"), ",").alias("columns_"), best["cost"].alias("cost"))
+
+
+@query(f"""
+WITH m AS (SELECT user_id, quantile_cont(value, 0.5) AS mx, quantile_cont(t / 86400, 0.5) AS my FROM {_E} GROUP BY 1 HAVING count(*) >= 6),
+d AS (SELECT user_id, value AS x, t / 86400 AS y, sqrt((value - mx) * (value - mx) + (t / 86400 - my) * (t / 86400 - my)) AS d FROM {_E} JOIN m USING (user_id)),
+q AS (SELECT user_id, quantile_cont(d, 0.25) AS a, quantile_cont(d, 0.5) AS b, quantile_cont(d, 0.75) AS c FROM d GROUP BY 1)
+SELECT user_id, round(quantile_cont(x, 0.5), 6) AS x, round(quantile_cont(y, 0.5), 6) AS y, count(*) AS n, round(stddev_pop(d) / sqrt(count(*)), 6) AS error FROM d JOIN q USING (user_id) WHERE d <= b + 2.5 * (c - a) GROUP BY 1 HAVING stddev_pop(d) / sqrt(count(*)) < 20""")
+def robust_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Median places without what lies far off, where they are sure enough."""
+    d = _events(spark, sf).withColumn("day", F.col("t") / 86400)
+    return A.robust_location(d, "user_id", "value", "day", 6, 20.0).select("user_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", F.round("error", 6).alias("error"))
