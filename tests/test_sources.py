@@ -74,6 +74,19 @@ def test_job_ledger(spark, tmp_path):
     assert {r.job: (r.state, r.attempts) for r in T.job_states_batch(batch).collect()} == got
 
 
+def test_job_ledger_forgets_ended_jobs(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    stream = spark.readStream.schema(T.EVENTS).json(str(src))
+    q = T.job_states(stream, delay="1 second", keep_ms=60_000).writeStream.outputMode("update").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for i, (job, hour, event) in enumerate([("j1", 0, "done"), ("j2", 1, "started"), ("j3", 2, "started"), ("j4", 3, "started")]):
+        (src / f"{i}.json").write_text(json.dumps({"job": job, "at": f"2024-01-01T0{hour}:00:00Z", "event": event, "reason": None}))
+        q.processAllAvailable()
+    total = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert total == 3 and spark.table("kept").count() == 4  # j1 is gone, open jobs stay
+
+
 def test_mailbox_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

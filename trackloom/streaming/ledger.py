@@ -19,6 +19,8 @@ ENTRIES = "kind string, id string, at bigint, bytes bigint, payload string"
 EVENTS = "job string, at timestamp, event string, reason string"
 JOBS = "job string, state string, attempts int, reason string, at timestamp"
 STRIKES = 3
+ENDS = ("done", "cancelled", "benched")
+DAY_MS = 86_400_000
 
 
 def read_mailbox(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -50,16 +52,23 @@ def latest_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], No
     return write
 
 
-def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def job_states(events: DataFrame, delay: str = "1 hour", keep_ms: int = DAY_MS) -> DataFrame:
     """The job ledger: requested, started, progressed, done, failed, cancelled events
-    to a state per job. Three failures bench a job; progress clears its strikes."""
+    to a state per job. Three failures bench a job; progress clears its strikes.
+
+    A job at its end is forgotten once the watermark has passed its last event by
+    ``keep_ms``; an event that comes later begins a job of its own. So the state holds
+    open jobs and those ended lately. Events without a time are left out."""
     ship(events.sparkSession)
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, attempts, reason, at = state.get if state.exists else ("queued", 0, None, None)
         rows = pd.concat(list(frames)).sort_values(["at", "event"], kind="mergesort")
         for r in rows.itertuples():
-            if now in ("done", "cancelled", "benched"):
+            if now in ENDS:
                 break
             if r.event == "started":
                 now = "running"
@@ -72,10 +81,12 @@ def job_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
                 now = r.event
             at = r.at
         state.update((now, int(attempts), reason, at))
+        if now in (*ENDS, "superseded", "dropped"):
+            state.setTimeoutTimestamp(max(int(rows["ms"].max()), state.getCurrentWatermarkMs()) + keep_ms)
         yield pd.DataFrame({"job": [key[0]], "state": [now], "attempts": pd.array([attempts], "int32"), "reason": [reason], "at": [at]})
 
-    timed = events.withWatermark("at", delay)
-    return timed.groupBy("job").applyInPandasWithState(step, JOBS, "state string, attempts int, reason string, at timestamp", "update", GroupStateTimeout.NoTimeout)
+    timed = events.where("at is not null").withColumn("ms", F.unix_millis("at")).withWatermark("at", delay)
+    return timed.groupBy("job").applyInPandasWithState(step, JOBS, "state string, attempts int, reason string, at timestamp", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_states_batch(events: DataFrame) -> DataFrame:
