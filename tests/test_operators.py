@@ -118,6 +118,23 @@ def test_interval_fallback(spark):
     assert {r.t: r.seg for r in J.in_intervals(p, s, "k", "t", 5.0, ["seg"], nearest=True).collect()} == {12.0: 1, 30.0: 2}
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("kl"), st.integers(0, 60), st.integers(0, 6)), max_size=8), st.lists(st.tuples(st.sampled_from("klm"), st.integers(-20, 80)), min_size=1, max_size=12))
+def test_nearest_span_against_all(spark, spans, points):
+    spans = [(k, float(a), float(a + n), i) for i, (k, a, n) in enumerate(spans)]
+    s = spark.createDataFrame(spans, "k string, lo double, hi double, seg int")
+    p = spark.createDataFrame([(*x, i) for i, x in enumerate(points)], "k string, t int, i int").withColumn("t", F.col("t").cast("double"))
+    for r in J.in_intervals(p, s, "k", "t", 5.0, ["seg"], nearest=True).collect():
+        own = [(max(lo - r.t, r.t - hi, 0.0), lo, hi) for k, lo, hi, _ in spans if k == r.k]
+        if not own:
+            assert r.span_lo is None
+        elif min(own)[0] == 0:
+            assert r.span_lo <= r.t <= r.span_hi
+        else:
+            assert (r.span_lo, r.span_hi) in {(lo, hi) for d, lo, hi in own if d == min(own)[0]}
+            assert r.span_lo == min(lo for d, lo, hi in own if d == min(own)[0])
+
+
 def test_largest_remainder(spark):
     d = spark.createDataFrame([("g", "A", 3), ("g", "B", 1)], "g string, k string, n int")
     assert {r.k: r.share for r in A.largest_remainder(d, ["g"], "k", "n", 24).collect()} == {"A": 18, "B": 6}

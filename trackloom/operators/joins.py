@@ -99,16 +99,21 @@ def interval_overlap(df: DataFrame, key: str, ident: str, lo: str, hi: str, buck
 
 def in_intervals(points: DataFrame, spans: DataFrame, by: str, on: str, bucket: float, take: list[str], nearest: bool = False) -> DataFrame:
     """Each point with the earliest span (lo, hi, both inclusive) of its key that
-    holds it; with ``nearest`` else the span with the nearest end."""
+    holds it; with ``nearest`` else the span with the nearest end, the earlier one on
+    ties."""
     spread = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
     p = points.withColumns({"_pid": F.monotonically_increasing_id(), "_b": F.floor(F.col(on) / bucket)})
     hit = p.join(spread, [by, "_b"]).where(F.col(on).between(F.col("lo"), F.col("hi")))
     best = hit.groupBy("_pid").agg(F.min_by(F.struct("lo", "hi", *take), F.struct("lo", "hi", *take)).alias("_m"))
     out = p.join(best, "_pid", "left")
     if nearest:
-        lost = out.where("_m is null").select("_pid", by, on)
-        far = F.least(F.abs(F.col(on) - F.col("lo")), F.abs(F.col(on) - F.col("hi")))
-        near = lost.join(spans, by).groupBy("_pid").agg(F.min_by(F.struct("lo", "hi", *take), F.struct(far, "lo")).alias("_n"))
+        # outside all spans: the last end before the point or the first start after it
+        lost, own = out.where(F.col("_m").isNull() & F.col(by).isNotNull()).select("_pid", by, on), F.struct("lo", "hi", *take).alias("_s")
+        back = asof(lost, spans.select(by, F.col("hi").alias(on), (-F.col("lo")).alias("_o"), own), by, on, ["_o", "_s"], bucket)
+        back = back.select("_pid", by, (-F.col(on)).alias(on), (F.col(on) - F.col("matched_at")).alias("_d0"), F.col("matched__s").alias("_s0"))
+        both = asof(back, spans.select(by, (-F.col("lo")).alias(on), (-F.col("hi")).alias("_o"), own), by, on, ["_o", "_s"], bucket)
+        d1 = F.col(on) - F.col("matched_at")
+        near = both.select("_pid", F.when(d1.isNull() | (F.col("_d0") <= d1), F.col("_s0")).otherwise(F.col("matched__s")).alias("_n"))
         out = out.join(near, "_pid", "left").withColumn("_m", F.coalesce("_m", "_n"))
     return out.select(*points.columns, F.col("_m.lo").alias("span_lo"), F.col("_m.hi").alias("span_hi"), *[F.col(f"_m.{t}").alias(t) for t in take])
 
