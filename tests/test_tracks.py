@@ -51,6 +51,12 @@ def test_play_windows(spark):
     big = d.withColumn("x", F.col("x") * 20)
     r = T.hot_span(big).first()
     assert r.lo <= 4 and 15 <= r.hi <= 22
+    # a second match that rests at another time changes nothing in the first
+    two = d.withColumn("match", F.lit("a")).unionByName(d.withColumn("match", F.lit("b")).withColumn("t", F.col("t") + 40))
+    got = {r.match: r for r in T.moving_window(two, by=["match"]).collect()}
+    assert (got["a"].start, got["a"].stop) == tuple(T.moving_window(d).first()) and got["b"].start == got["a"].start + 40
+    spans = {r.match: (r.lo, r.hi) for r in T.hot_span(two.withColumn("x", F.col("x") * 20), by=["match"]).collect()}
+    assert spans["a"] == tuple(T.hot_span(big).first()) and spans["b"][0] > spans["a"][1]
 
 
 def test_handovers_jumps_gaps(spark):
@@ -90,6 +96,10 @@ def test_conflicts_and_takers(spark):
     rows = [("A", tid, t * 0.2, 0.0 if tid == 1 else 50.0, 0.0, 2.0, 0.1) for tid in (1, 2) for t in range(20)]
     s = spark.createDataFrame(rows, "team string, tid long, t double, x double, y double, w double, v double")
     assert [(r.a, r.b) for r in T.custody_conflicts(s, s.select("t").distinct()).collect()] == [(1, 2)]
+    # two matches: conflicts within one, and none between them
+    many = s.withColumn("m", F.lit(1)).unionByName(s.where("tid = 1").withColumn("tid", F.col("tid") + 6).withColumn("x", F.lit(90.0)).withColumn("m", F.lit(2)))
+    got = T.custody_conflicts(many, many.select("m", "t").distinct(), match="m").collect()
+    assert [(r.m, r.team, r.a, r.b) for r in got] == [(1, "A", 1, 2)]
 
 
 def test_holds_and_measures(spark):

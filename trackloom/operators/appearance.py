@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,9 +32,10 @@ def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, dig
     if len(rows) > bound:
         return _votes_by_join(queries, prototypes, top, digits)
     rows.sort(key=lambda r: r["label"])
-    labels = sorted({r["label"] for r in rows})
+    many = Counter(r["label"] for r in rows)
+    labels = sorted(many)
     matrix = np.array([r["v"] for r in rows], float)
-    edges = np.searchsorted([labels.index(r["label"]) for r in rows], np.arange(len(labels) + 1)) if rows else np.zeros(1, int)
+    edges = np.cumsum([0, *(many[k] for k in labels)])
     kinds = {k: d.schema[k].dataType.simpleString() for k, d in (("qid", queries), ("label", prototypes))}
     ship(queries.sparkSession)
 

@@ -7,6 +7,8 @@ track in grouped batches.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,37 +107,42 @@ def crossing_cuts(samples: DataFrame, labels: DataFrame, widths: float = 1.5) ->
 
 
 # -- windows of play ----------------------------------------------------------
-def moving_window(samples: DataFrame, width: float = 0.5, moving: float = 0.35, hold: float = 2.0) -> DataFrame:
+def moving_window(samples: DataFrame, width: float = 0.5, moving: float = 0.35, hold: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
     """First sustained motion and the first sustained rest after it, by mean speed in
-    bins rounded half to even; bins count by position."""
-    w = Window.partitionBy("tid").orderBy("t")
+    bins rounded half to even; bins count by position. A row per ``by`` (a match), one
+    row without it."""
+    key = [*by, "g"]
+    w = Window.partitionBy(*by, "tid").orderBy("t")
     d = samples.withColumns({"_dt": F.col("t") - F.lag("t").over(w), "_d": F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))}).where("_dt > 0")
-    b = d.groupBy(F.lit(0).alias("g"), (F.bround(F.col("t") / width) * width).alias("bin")).agg(F.avg(F.col("_d") / F.col("_dt")).alias("speed"))
+    b = d.groupBy(*by, F.lit(0).alias("g"), (F.bround(F.col("t") / width) * width).alias("bin")).agg(F.avg(F.col("_d") / F.col("_dt")).alias("speed"))
     times = max(1, round(hold / width))
-    start = W.sustained(b, ["g"], "bin", F.col("speed") > moving, times).withColumnRenamed("onset", "start")
-    rest = b.join(start, "g").where(F.col("bin") > F.col("start"))
-    stop = W.sustained(rest, ["g"], "bin", F.col("speed") <= moving, times).withColumnRenamed("onset", "stop")
-    return start.join(stop, "g", "left").drop("g")
+    start = W.sustained(b, key, "bin", F.col("speed") > moving, times).withColumnRenamed("onset", "start")
+    rest = b.join(start, key).where(F.col("bin") > F.col("start"))
+    stop = W.sustained(rest, key, "bin", F.col("speed") <= moving, times).withColumnRenamed("onset", "stop")
+    return start.join(stop, key, "left").drop("g")
 
 
-def hot_span(samples: DataFrame, width: float = 2.0, least: float = 3.0, hold: float = 4.0, cap: float = 166.0, pad: float = 3.0) -> DataFrame:
+def hot_span(samples: DataFrame, width: float = 2.0, least: float = 3.0, hold: float = 4.0, cap: float = 166.0, pad: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
     """From the first to the last sustained run of bins whose 75th percentile travel
-    is large, padded and capped."""
-    w = Window.partitionBy("tid").orderBy("t")
+    is large, padded and capped. A row per ``by`` (a match), one row without it."""
+    w = Window.partitionBy(*by, "tid").orderBy("t")
     d = samples.withColumn("_d", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))).where("_d is not null")
-    b = d.groupBy(F.lit(0).alias("g"), F.floor(F.col("t") / width).alias("bin")).agg(F.percentile("_d", 0.75).alias("p"))
-    r = W.runs(b.withColumn("hot", F.col("p") >= least), ["g"], ["bin"], "hot").where("hot").groupBy("g", "run").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count("*").alias("n")).where(F.col("n") * width >= hold)
-    g = r.agg(F.min("b0").alias("b0"), F.max("b1").alias("b1")).where("b0 is not null")
+    b = d.groupBy(*by, F.lit(0).alias("g"), F.floor(F.col("t") / width).alias("bin")).agg(F.percentile("_d", 0.75).alias("p"))
+    r = W.runs(b.withColumn("hot", F.col("p") >= least), [*by, "g"], ["bin"], "hot").where("hot").groupBy(*by, "g", "run").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.count("*").alias("n")).where(F.col("n") * width >= hold)
+    g = r.groupBy(*by).agg(F.min("b0").alias("b0"), F.max("b1").alias("b1")).where("b0 is not null")
     lo, hi = F.col("b0") * width - pad, (F.col("b1") + 1) * width + pad
-    return g.select(F.greatest(F.lit(0.0), lo).alias("lo"), F.least(hi, lo + cap + 2 * pad).alias("hi"))
+    return g.select(*by, F.greatest(F.lit(0.0), lo).alias("lo"), F.least(hi, lo + cap + 2 * pad).alias("hi"))
 
 
 # -- conflicts ----------------------------------------------------------------
-def custody_conflicts(samples: DataFrame, frames: DataFrame, overlap: float = 1.0, share: float = 0.2, least: int = 5, within: float = 0.25, far: float = 0.5) -> DataFrame:
+def custody_conflicts(samples: DataFrame, frames: DataFrame, overlap: float = 1.0, share: float = 0.2, least: int = 5, within: float = 0.25, far: float = 0.5, match: str | None = None) -> DataFrame:
     """Two tracks of one team that are seen apart at the same time: spans overlap by
     ``overlap`` s, both are there in ``share`` of its frames, at least ``least``
     nearest pairs lie within ``within`` s, and over ``far`` of those are more than a
-    width plus what both could move apart. ``samples (team, tid, t, x, y, w, v)``."""
+    width plus what both could move apart. ``samples (team, tid, t, x, y, w, v)``;
+    ``match`` names a column of both tables where they hold many matches."""
+    if match:
+        samples = samples.withColumn("team", F.struct(match, "team"))
     spans = samples.groupBy("team", "tid").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     pairs = J.interval_overlap(spans, "team", "tid", "lo", "hi", 30.0, overlap)
     a = samples.select("team", F.col("tid").alias("a"), F.col("t").alias("at"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"), F.col("v").alias("av"))
@@ -145,9 +152,10 @@ def custody_conflicts(samples: DataFrame, frames: DataFrame, overlap: float = 1.
     reach = (F.col("aw") + F.col("bw")) / 2 + (F.col("av") + F.col("bv")) * F.abs(F.col("at") - F.col("bt"))
     apart = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) > reach
     g = best.groupBy("team", "a", "b", "overlap").agg(F.count("*").alias("pairs"), F.avg(apart.cast("double")).alias("apart"))
-    n = frames.agg(F.count("*").alias("_frames"), (F.max("t") - F.min("t")).alias("_span"))  # one row
-    g = g.crossJoin(n).withColumn("_need", F.greatest(F.lit(least), share * F.col("overlap") / F.col("_span") * F.col("_frames")))
-    return g.where((F.col("pairs") >= F.col("_need")) & (F.col("apart") >= far)).select("team", "a", "b", "overlap", "pairs", "apart")
+    n = frames.groupBy(*([match] if match else [])).agg(F.count("*").alias("_frames"), (F.max("t") - F.min("t")).alias("_span"))
+    g = g.withColumn(match, F.col("team")[match]).join(n, match) if match else g.crossJoin(n)  # one row
+    g = g.withColumn("_need", F.greatest(F.lit(least), share * F.col("overlap") / F.col("_span") * F.col("_frames")))
+    return g.where((F.col("pairs") >= F.col("_need")) & (F.col("apart") >= far)).select("team.*" if match else "team", "a", "b", "overlap", "pairs", "apart")
 
 
 def handover_conflicts(spans: DataFrame, gap: float = 1.5, speed: float = 7.15, distance: float = 1.5) -> DataFrame:
