@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ class Cells:
 def _matrices(batch: pa.RecordBatch):
     """(rows, matrix) of an array column, by dimension."""
     column = batch.column("embedding")
-    size = np.array(pa.compute.list_value_length(column), np.int64)
+    size = np.array(pc.list_value_length(column), np.int64)
     flat, end = np.asarray(column.flatten()), np.cumsum(size)
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
@@ -115,7 +116,7 @@ def _first(vectors: DataFrame, entries: int) -> dict[int, list]:
         best: dict[int, dict] = {}
         for batch in sliced(batches, ROWS):
             ids = batch.column("vec_id").to_pylist()
-            size = np.array(pa.compute.list_value_length(batch.column("embedding")), np.int64)
+            size = np.array(pc.list_value_length(batch.column("embedding")), np.int64)
             for d in np.unique(size):
                 mine = best.setdefault(int(d), {})
                 for i in np.flatnonzero(size == d).tolist():
