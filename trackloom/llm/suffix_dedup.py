@@ -32,14 +32,14 @@ from trackloom.llm.repeats import A, B, Sampled, mix
 from trackloom.plans.runtime import Scratch
 
 THRESHOLD = 50
-PAIRS = "one long, two int, low long, batch long, at array<long>"
+PAIRS = "one long, two long, low long, batch long, at array<long>"
 
 
 def pair_rows(batch: Batch, doc: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray):
     """A row per different pair with its places in the least document that has it
     here, and one without a document (under a key of its own): the places in later
-    ones, which surely go. The pair's second name is cut to 32 bits (96 in all)."""
-    two = two.astype(np.uint32)
+    ones, which surely go. Both names are whole: behind a first half that all strings
+    share, the second alone tells them apart."""
     order = np.lexsort((at, doc, two, one))
     doc, one, two, at = doc[order], one[order], two[order], at[order]
     new = np.ones(len(at), bool)
@@ -48,9 +48,9 @@ def pair_rows(batch: Batch, doc: np.ndarray, one: np.ndarray, two: np.ndarray, a
     first = doc == doc[head][group]
     if len(head):
         n = len(head)
-        yield one[head].view(np.int64), two[head].view(np.int32), doc[head], numbers(batch.number, n), lists(at[first], np.bincount(group[first], minlength=n))
+        yield one[head].view(np.int64), two[head].view(np.int64), doc[head], numbers(batch.number, n), lists(at[first], np.bincount(group[first], minlength=n))
     if (~first).any():
-        yield mix(np.array([batch.number], np.uint64)).view(np.int64), numbers(0, 1).cast(pa.int32()), pa.nulls(1, pa.int64()), numbers(batch.number, 1), lists(at[~first], np.array([(~first).sum()]))
+        yield mix(np.array([batch.number], np.uint64)).view(np.int64), numbers(0, 1), pa.nulls(1, pa.int64()), numbers(batch.number, 1), lists(at[~first], np.array([(~first).sum()]))
 
 
 def rank(pairs: DataFrame) -> DataFrame:
