@@ -39,6 +39,16 @@ def test_fast_tokens_on_random_text(x):
         assert t.encode(x).tolist() == t.tok.encode(x, add_special_tokens=False).ids
 
 
+def test_fast_tokens_on_marks():
+    """Marks that compose with letters, and with symbols to others beyond U+0530."""
+    rng = random.Random(6)
+    marks = "".join(map(chr, range(0x300, 0x346))) + "\u0338\u0338\u0338\u0327\u0301"
+    cases = ["a>\u0338", "x|=\u0338y", "->\u0338", "(=\u0338)", "<\u0338 A\u030a\u2126\u212a"] + ["".join(rng.choice("=<>~|!-( aAeoZ19'" + marks) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    for t in _both():
+        for x in cases:
+            assert t.encode(x).tolist() == t.tok.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
 _made: list = []
 
 

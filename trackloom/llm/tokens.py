@@ -103,9 +103,9 @@ class FileTokenizer:
 
     def _words(self, text: str, enc) -> np.ndarray | None:
         if not _latin(text):  # Latin-1 is always in composed form
-            if _OTHER_LOWER.search(text):
+            # marks may compose with symbols below U+0530 to one beyond: ask again
+            if _OTHER_LOWER.search(text) or _OTHER_LOWER.search(text := unicodedata.normalize("NFC", text)):
                 return None
-            text = unicodedata.normalize("NFC", text)
         elif any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None
         text = text.lower()
