@@ -44,7 +44,7 @@ class Rotation:
         self.budget = [(2 - 2 * cosine) * (b - a) / dim for a, b in self.blocks]
 
     def rotate(self, v: np.ndarray) -> np.ndarray:
-        v = v.astype(np.float64)
+        v = scaled(v)
         return (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ self.matrix
 
     def cells(self, z: np.ndarray, b: int):
@@ -67,6 +67,13 @@ class Rotation:
             yield near, code, not any(step)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows in doubles, by the power of two (so exactly) that brings the largest
+    component near 1: squares stay in range."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _decode(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Row numbers and matrix of an array column, by dimension."""
     size = np.array(pa.compute.list_value_length(column))
@@ -132,7 +139,8 @@ def _compare(cosine: float):
         v = np.asarray(emb.flatten()).reshape(-1, dim)
         rot = Rotation(dim, cosine)
         z = rot.rotate(v)
-        norm = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
+        v = scaled(v)
+        norm = np.sqrt((v * v).sum(axis=1))
         lo, hi = rot.blocks[b]
         x = z[:, lo:hi].astype(np.float32)
         sq = (x * x).sum(axis=1, keepdims=True)
@@ -160,8 +168,7 @@ def _compare(cosine: float):
                         near = _squared(z[i], z[j], *rot.blocks[k]) <= rot.budget[k] * (1 + SLACK)
                         keep &= near if k == b else ~near
                     i, j = i[keep], j[keep]
-                    v_i, v_j = v[i].astype(np.float64), v[j].astype(np.float64)
-                    link = (v_i * v_j).sum(axis=1) / (norm[i] * norm[j]) >= cosine
+                    link = (v[i] * v[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
                     i, j = i[link], j[link]
                     for here, there in ((i, j), (j, i)):
                         count += np.bincount(number[here], weights=mult[there], minlength=len(every)).astype(np.int64)
@@ -187,18 +194,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do rows without ``vec_id`` (their component stays null and
     they are kept). Repeated rows count as vectors of their own, also where one
-    ``vec_id`` comes with different vectors: each row has its own links, and classes
-    that share their smallest ``vec_id`` show the same component. Vectors of
+    ``vec_id`` comes with different vectors: each row has its own links, and one id may
+    show several components. Components of any finite size count. Vectors of
     different length don't link. Other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "vectors")
-    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (size > 0) & (size < float("inf"))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    usable = F.col("vec_id").isNotNull() & ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0)
     base = vectors.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), F.col("embedding")).alias("embedding"))
-    classes = base.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"))
-    classes = scratch.keep(classes.select("id", "mult", "embedding"), "classes")
+    classes = base.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    # a number of its own per class: several may share their smallest vec_id
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("id"), "least", "mult", "embedding"), "classes")
 
     cells = _place(classes, cosine, None).groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("all").alias("all"))
     # A row per grid cell: coordinates of unit vectors span few cells of fixed width.
@@ -207,8 +215,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     found = scratch.keep(found, "found")
     cc = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")), scratch)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    named = classes.join(counts, "id", "left").join(cc, "id", "left").select(
-        "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("c")
-    )
+    label = classes.join(cc, "id", "left").join(counts, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    least = label.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = label.join(least, "c").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.col("component_id").alias("c"))
     out = base.join(named, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
