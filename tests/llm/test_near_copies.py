@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from trackloom.llm import near_copies
+from trackloom.llm import line_templates, near_copies, secrets, simhash
 
 
 @pytest.mark.parametrize("tile", [near_copies.TILE, 400])
@@ -50,3 +50,15 @@ def test_bands_at_the_threshold():
         both = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
         a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, 10, dtype=np.uint64)))) for _ in range(2))
         assert near_copies.similar(a, b) and (near_copies.bands(a) == near_copies.bands(b)).any()
+
+
+def test_columns_with_dots_pass_all_stages(spark):
+    """Names that need quotes, and some that operators use themselves."""
+    text = "one line of words here that nobody else has written down before today\nand a second line so that it is long enough to stay"
+    rows = [(1, text, 5, "x", 1.5, 2), (2, text, 5, "y", 2.5, 3), (None, None, 0, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `a.b` string, `c``d.e` double, key int")
+    for stage in (near_copies.first_of_each_group, simhash.first_of_each_group, secrets.redact_documents, line_templates.deduplicate):
+        out = stage(df)
+        assert out.columns == df.columns
+        kept = {r.doc_id: (r["a.b"], r["c`d.e"], r.key) for r in out.collect()}
+        assert kept[1] == ("x", 1.5, 2) and kept[None] == (None, None, None)

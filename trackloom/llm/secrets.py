@@ -6,8 +6,10 @@ identifier (``id``), a secret-looking string (``part``) and an ``endpoint``. A p
 alone proves nothing, so an interval join links parts of one document that share a
 scope (a reach of characters around each) and don't overlap; a weak candidate is
 reported only where a secret-like part, weak or strong, meets an identifier or an
-endpoint. Words joined by slashes or hyphens (paths, slugs) and what lies in an
-endpoint are no parts.
+endpoint. Not every strong one vouches: a plain lower-case word isn't taken for an
+assigned secret, and hex digits (a checksum, a commit) say nothing about an address
+near them, unless it names a user. Words joined by slashes or hyphens (paths, slugs)
+and what lies in an endpoint are no parts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ finds them
 _ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 _PART = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+""", re.I | re.A)
-SECRETS, NAMES = {"assign", "hex", "part"}, {"access", "id", "endpoint"}
+_USER = re.compile(r"://[^/\s@]+@")
+_PLAIN = re.compile(r"[a-z]+[.,]?|[A-Z][a-z]+[.,]?")
+NAMES = {"access", "id", "endpoint"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,17 +72,29 @@ def _apart(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]]
     return [p for p in spans if not ((i := bisect.bisect_left(starts, p[1])) and reach[i - 1] > p[0])]
 
 
-def link(base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
+def vouching(text: str, base: list[tuple[int, int, str]], kind: str) -> list[tuple[int, int, str]]:
+    """The base spans that speak for a weak candidate of ``kind``: names for a part; for
+    an id or an endpoint what was assigned (unless a plain word), hex digits for an id
+    or (``user``) an endpoint that names its user."""
+    if kind == "part":
+        return [s for s in base if s[2] == "access"]
+    assigned = [s for s in base if s[2] == "assign" and not _PLAIN.fullmatch(_ASSIGN.match(text, s[0]).group(2))]
+    return assigned + ([s for s in base if s[2] == "hex"] if kind != "endpoint" else [])
+
+
+def link(text: str, base: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int) -> list[tuple[int, int, str]]:
     """Interval join by sorted bounds: the weak spans that have a complementary span
     before or after them, not overlapping, at most ``scope`` characters away."""
-    if not weak:
-        return []
     found = []
-    for kinds, others in ((SECRETS, NAMES), (NAMES, SECRETS)):
-        facing = [s for s in [*base, *weak] if s[2] in others]
-        starts, ends = sorted(s[0] for s in facing), sorted(s[1] for s in facing)
-        for w in weak:
-            if w[2] in kinds:
+    for kind in sorted({w[2] for w in weak}):
+        mine = [w for w in weak if w[2] == kind]
+        other = [w for w in weak if (w[2] == "part") != (kind == "part")]
+        named = [w for w in mine if kind == "endpoint" and _USER.search(text, w[0], w[1])]
+        plain = [w for w in mine if w not in named]
+        for group, rule in ((plain, kind), (named, "user")):
+            facing = [*vouching(text, base, rule), *other] if group else []
+            starts, ends = sorted(s[0] for s in facing), sorted(s[1] for s in facing)
+            for w in group:
                 i, j = bisect.bisect_left(starts, w[1]), bisect.bisect_right(ends, w[0])
                 if (i < len(starts) and starts[i] <= w[1] + scope) or (j and ends[j - 1] >= w[0] - scope):
                     found.append(w)
@@ -89,7 +105,7 @@ def scan(text: str | None, scope: int = 200) -> tuple[list[tuple[int, int, str]]
     """(base spans, all spans), ordered by start and kind."""
     text = text or ""
     base = base_spans(text)
-    extra = link(base, weak_parts(text, base), scope)
+    extra = link(text, base, weak_parts(text, base), scope)
     return base, sorted([*base, *extra], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -148,4 +164,5 @@ def redact_documents(docs: DataFrame, scope: int = 200) -> DataFrame:
                     cols[i] = pa.array(values, type=cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots don't go through
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.arrowio import map_rows, utf8
+from trackloom.llm.arrowio import column, map_rows, utf8
 from trackloom.operators.graph import connected_components
 from trackloom.plans.runtime import Scratch, ship
 
@@ -142,6 +142,9 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``(doc_id, fp)`` per row: zero for a null, empty or blank text. Repeated rows and
+    null ids stay, other columns are ignored."""
+
     def make():
         return lambda cols: [(d, _signed(fingerprint(t, width))) for d, t in zip(*cols, strict=True)]
 
@@ -176,4 +179,4 @@ def first_of_each_group(docs: DataFrame, threshold: int = 2, width: int = 3) ->
     all rows of a kept id; an empty table gives no rows."""
     found = near_duplicates(docs, threshold, width)
     later = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(later, "doc_id", "left_anti").select(*map(column, docs.columns))
