@@ -1,6 +1,7 @@
 """SimHash, lines, suffixes, substrings and vectors against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -159,33 +160,58 @@ def test_lines(spark, documents, empty):
 
 
 def brute_lines(rows, min_docs=3, share=0.6):
-    """Templates by counting real tokens, and what each document keeps."""
+    """Every line at every level of frequency, by its tokens as they stand, and what
+    each document keeps."""
     lines = []
     for k, (d, t) in enumerate(rows):
         for i, line in enumerate((t or "").encode().split(b"\n")):
             if w := [None if re.search(rb"[0-9@]|://", x) else x for x in WORD.findall(line)]:
-                lines.append((k, d, i, w, (len(w), *w[:3])))
-
-    def docs(keys):
-        found = defaultdict(set)
-        for key, k in keys:
-            found[key].add(k)
-        return {key for key, ks in found.items() if len(ks) >= min_docs}
-
-    words = docs(((leaf, p, x), k) for k, _, _, w, leaf in lines for p, x in enumerate(w) if x)
-    known = []
-    for k, d, i, w, leaf in lines:
-        t = tuple(x if x and (leaf, p, x) in words else None for p, x in enumerate(w))
-        if len(t) - t.count(None) >= share * len(t) and any(x and re.search(rb"[A-Za-z\x80-\xff]", x) for x in t):
-            known.append(((leaf, t), k, d, i))
-    often = docs((t, k) for t, k, _, _ in known)
-    first = {}
-    for t, _, d, _ in known:
-        first[t] = min(d, first.get(t, d))
-    gone = {(k, i) for t, k, d, i in known if t in often and d > first[t]}
+                lines.append((k, d, i, w))
+
+    def leaf(w):
+        return len(w), *w[:3]
+
+    held = defaultdict(set)  # documents by leaf, position and token
+    for k, _, _, w in lines:
+        for p, x in enumerate(w):
+            held[leaf(w), p, x].add(k)
+    level = {key: math.floor(math.log(len(ks) / min_docs) / math.log(1.1)) for key, ks in held.items() if len(ks) >= min_docs}
+    least, seen = defaultdict(dict), []
+    for k, d, i, w in lines:
+        for m in range(max(level.values(), default=-1) + 1):
+            fixed = {p for p, x in enumerate(w) if x and level.get((leaf(w), p, x), -1) >= m}
+            tail = len(fixed - {0, 1, 2})
+            letters = any(re.search(rb"[A-Za-z\x80-\xff]", w[p]) for p in fixed)
+            if len(fixed) >= share * len(w) and letters and (m == 0 or tail >= (len(w) - 3) / 2):
+                t = leaf(w), tuple((p, w[p]) for p in sorted(fixed))
+                least[t][k] = d
+                seen.append((t, k, d, i))
+    gone = {(k, i) for t, k, d, i in seen if len(least[t]) >= min_docs and d > min(least[t].values())}
     return [(d, "\n".join(x for i, x in enumerate((t or "").split("\n")) if (k, i) not in gone)) for k, (d, t) in enumerate(rows)]
 
 
+@pytest.mark.parametrize("values", [2, 3, 5, 20])
+def test_fields_stay_fields_as_data_grow(spark, values):
+    """A field's values recur the more the larger the corpus; its template still does."""
+    rng = random.Random(values)
+    names = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(2 * values)]
+    rows = [(i, f"the registered user named {names[i % values]} has just signed in from {names[values + i // values % values]} on this site") for i in range(values * values)]
+    got = {r.doc_id: r.text for r in line_templates.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: t if i == 0 else "" for i, t in rows}
+
+
+def test_growing_keeps_dropping(spark):
+    rng = random.Random(12)
+    line = lambda: f"a message from {rng.choice('ABCDE')}{rng.choice('xyz')} was left for {rng.choice('PQRS')}{rng.choice('uvw')} at the front desk"
+    rows, before = [(i, line()) for i in range(400)], set()
+    for n in (6, 12, 25, 50, 100, 200, 400):
+        got = line_templates.deduplicate(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(2)).collect()
+        gone = {r.doc_id for r in got if not r.text}
+        assert before <= gone
+        before = gone
+    assert len(before) == 399
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_lines_against_counting(spark, texts, parts):
     rng = random.Random(4)
@@ -260,3 +286,11 @@ def test_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert (got[1006].n_links, got[1006].component_id, got[None].component_id, got[None].kept) == (1, 1005, None, True)
     assert vectors.near_duplicates(df.where("vec_id < 0")).collect() == []
+
+
+def test_vectors_of_one_id_and_of_any_size(spark):
+    a, b = [1.0, 2.0, 3.0, 4.0], [-4.0, 3.0, -2.0, 1.0]
+    rows = [(1, a), (1, b), (2, [1.0, 2.0, 3.0, 4.1]), (3, b), (7, [x * 1e-170 for x in a]), (8, [x * 1e160 for x in a]), (9, [5e-324, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False), (7, 3, 1, False), (8, 3, 1, False), (9, 0, 9, True)]

@@ -1,12 +1,18 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's tokens are masked where they vary by nature (digits, addresses). The tree
-parses a line by its token count and its three leading tokens to a leaf. In a leaf, a
-token at a position is part of a template where it recurs across documents there; the
-other positions of a line are variable fields. So every line has one template, which
-depends on counts alone, not on the order or the batches in which lines are met, and
-no leaf has to fit anywhere. Lines of a template that recurs across documents, and has
-enough fixed tokens, are dropped from all documents but the first that has one.
+parses a line by its token count and its three leading tokens to a leaf. What is fixed
+in a leaf and what varies can't be told from one line, nor by one count: what is a rare
+word in a large corpus is a frequent value of a field in a larger one. So templates are
+looked for at all levels of frequency. At level k a token is fixed where 3 * 1.1**k
+documents hold it at its position of the leaf, the other positions are fields: the
+lowest level finds what is rare and exact, the higher ones what is common and varies.
+A template's own tokens come as often as the template, a field's values less often, so
+some level tells them apart. A line has a template at each level where enough of its tokens are fixed; above
+the lowest, also half of those behind the leading ones, which the leaf has fixed. That
+depends on counts alone, not on the order or the batches in which lines are met, and no
+leaf has to fit anywhere. Lines of a template that recurs across documents are dropped
+from all documents but the first that has one.
 
 Three passes count: leaves, tokens by position of the leaves that recur, templates. A
 batch sends each of its keys once, with the number of its documents that hold it.
@@ -21,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.llm.arrowio import column
 from trackloom.llm.batches import Batch, Store, numbers, per_batch
 from trackloom.llm.repeats import A, B, Hashes, mix, word_bounds, word_hashes
 from trackloom.plans.runtime import Scratch
@@ -29,6 +36,8 @@ from trackloom.plans.runtime import Scratch
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Documents that a token or template recurs in; share of fixed tokens; leading tokens.
 MIN_DOCS, FIXED, DEPTH = 3, 0.6, 3
+#: How much more documents a level asks for than the one below.
+STEP = 1.1
 MASKED, FIELD = np.uint64(1), np.uint64(2)
 
 
@@ -65,13 +74,29 @@ class Lines:
         place = np.arange(len(self.x)) - np.repeat(self.first, self.n)
         return mix(np.repeat(self.leaf, self.n) + place.astype(np.uint64) * A + self.x * B)
 
-    def templates(self, fixed: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """A key per line, and whether it has enough fixed tokens, one with a letter."""
-        if not len(self.first):
-            return self.leaf, np.zeros(0, bool)
-        h = Hashes(np.where(fixed, self.x, FIELD), A).at(self.first, self.n)
-        many = np.add.reduceat(fixed.astype(np.int64), self.first)
-        return mix(self.leaf + h * B), (many >= share * self.n) & np.maximum.reduceat(fixed & self.letter, self.first)
+    def templates(self, level: np.ndarray, share: float):
+        """``(lines, keys)`` for each level: the template of every line that has enough
+        fixed words there, one of them with a letter, where it differs from the level
+        below. ``level``: up to which one each word is fixed, -1 for none."""
+        line, x, n, letter = np.arange(len(self.first)), self.x, self.n, self.letter
+        tail = np.arange(len(x)) - np.repeat(self.first, n) >= DEPTH
+        before = n + 1
+        for k in np.unique(level[level >= 0]).tolist():
+            first, fixed = np.cumsum(n) - n, level >= k
+            many = np.add.reduceat(fixed.astype(np.int64), first)
+            enough = (many >= share * n) & np.maximum.reduceat(fixed & letter, first)
+            new = enough & (many < before)
+            if k:  # beyond the leading words, which the leaf has fixed, half at least
+                new &= 2 * np.add.reduceat((fixed & tail).astype(np.int64), first) >= n - DEPTH
+            if new.any():
+                words, size = np.repeat(new, n), n[new]
+                h = Hashes(np.where(fixed[words], x[words], FIELD), A).at(np.cumsum(size) - size, size)
+                yield line[new], mix(self.leaf[line[new]] + h * B)
+            if not enough.any():
+                return
+            words = np.repeat(enough, n)  # the others have none at higher levels
+            line, before, n = line[enough], many[enough], n[enough]
+            x, letter, tail, level = x[words], letter[words], tail[words], level[words]
 
 
 def _any(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -91,15 +116,26 @@ def _counted(batch: Batch, key: np.ndarray, doc: np.ndarray, ids: np.ndarray):
         yield key[head].view(np.int64), numbers(batch.number, len(head)), docs, np.minimum.reduceat(ids, head)
 
 
+def _lookup(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in ``known``, and whether it is there at all."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(len(keys), bool)
+    order = np.argsort(known)
+    at = order[np.minimum(np.searchsorted(known, keys, sorter=order), len(known) - 1)]
+    return at, known[at] == keys
+
+
 COUNTED = "key long, batch long, docs int, low long"
 
 
-def _recurring(sent: DataFrame, min_docs: int, scratch: Scratch, name: str) -> DataFrame:
-    """``(batch, name, name_low)``: a batch's keys that enough documents hold, and the
-    least document that does. A key comes once a batch."""
+def _recurring(sent: DataFrame, min_docs: int, scratch: Scratch, name: str, also: str) -> DataFrame:
+    """``(batch, name, name_also)``: a batch's keys that enough documents hold, and the
+    least document (``low``) or the number of documents (``docs``) that do. A key comes
+    once a batch."""
     every = Window.partitionBy("key")
-    found = sent.withColumns({"total": F.sum("docs").over(every), "least": F.min("low").over(every)}).where(F.col("total") >= min_docs)
-    return scratch.keep(per_batch(found.select("batch", F.col("key").alias(name), F.col("least").alias(f"{name}_low")), name, f"{name}_low"), name)
+    found = sent.withColumn("total", F.sum("docs").over(every))
+    found = found.withColumn("also", F.min("low").over(every) if also == "low" else F.col("total")).where(F.col("total") >= min_docs)
+    return scratch.keep(per_batch(found.select("batch", F.col("key").alias(name), F.col("also").alias(f"{name}_{also}")), name, f"{name}_{also}"), name)
 
 
 def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, share: float = FIXED) -> DataFrame:
@@ -110,7 +146,7 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
     n_lines, n_dropped, kept_sha256)``, lines without a word not counted.
 
     A template needs ``share`` of its tokens fixed, one of them with a letter, and
-    ``min_docs`` documents. First means the smallest ``doc_id``, null last; lines
+    ``min_docs`` documents, at any level. First means the smallest ``doc_id``, null last; lines
     without a word stay. Null text stays null and counts as empty. Repeated rows are
     documents of their own with one id, and keep the same lines. An empty table gives
     no rows. A document is handled whole, at about ten bytes per byte of its text.
@@ -119,8 +155,7 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
     scratch = Scratch(spark, "lines")
     carried = docs.select("doc_id", "text")
     if mode == "text":
-        named = lambda c: F.col(f"`{c}`")
-        rest = F.struct(F.col("text").isNull().alias("missing"), F.struct(*[named(c) for c in others], F.lit(0).alias("_")).alias("row"))
+        rest = F.struct(F.col("text").isNull().alias("missing"), F.struct(*map(column, others), F.lit(0).alias("_")).alias("row"))
         shape = docs.select(rest.alias("rest")).schema["rest"].dataType
         carried = docs.select("doc_id", "text", F.to_json(rest, EXACT).alias("extra"))
     store = Store(carried, scratch)
@@ -140,31 +175,33 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
 
         return f
 
-    def fixed(x: Lines, batch: Batch) -> np.ndarray:
-        return np.isin(x.tokens().view(np.int64), batch.known["word"]) & ~x.masked
+    def levels(x: Lines, batch: Batch) -> np.ndarray:
+        at, found = _lookup(batch.known["word"], x.tokens().view(np.int64))
+        many = batch.known["word_docs"][at] if len(at) else np.full(len(found), min_docs)
+        return np.where(found & ~x.masked, (np.log(many / min_docs) / np.log(STEP)).astype(np.int64), -1)
 
     def patterns():
         def f(batch):
             x = Lines(batch)
-            key, enough = x.templates(fixed(x, batch), share)
-            yield from _counted(batch, key[enough], x.doc[enough], x.id[enough])
+            found = list(x.templates(levels(x, batch), share))
+            if found:
+                line, key = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+                yield from _counted(batch, key, x.doc[line], x.id[line])
 
         return f
 
-    leaf = _recurring(store.map(leaves, COUNTED), min_docs, scratch, "leaf")
-    word = _recurring(store.map(words, COUNTED, leaf.select("batch", "leaf")), min_docs, scratch, "word").select("batch", "word")
-    template = _recurring(store.map(patterns, COUNTED, word), min_docs, scratch, "template")
+    leaf = _recurring(store.map(leaves, COUNTED), min_docs, scratch, "leaf", "low")
+    word = _recurring(store.map(words, COUNTED, leaf.select("batch", "leaf")), min_docs, scratch, "word", "docs")
+    template = _recurring(store.map(patterns, COUNTED, word), min_docs, scratch, "template", "low")
 
     def make():
         def f(batch: Batch):
             x = Lines(batch)
-            key, enough = x.templates(fixed(x, batch), share)
-            known, low = batch.known["template"], batch.known["template_low"]
-            order = np.argsort(known)
-            gone = np.zeros(len(key), bool)
-            if len(known):
-                at = order[np.minimum(np.searchsorted(known, key.view(np.int64), sorter=order), len(known) - 1)]
-                gone = enough & (known[at] == key.view(np.int64)) & (x.id > low[at])
+            gone = np.zeros(len(x.first), bool)
+            for line, key in x.templates(levels(x, batch), share):
+                at, found = _lookup(batch.known["template"], key.view(np.int64))
+                if len(at):
+                    gone[line] |= found & (x.id[line] > batch.known["template_low"][at])
             edge = np.searchsorted(x.doc, np.arange(len(batch.ids) + 1))
             drop = np.add.reduceat(np.append(gone, False).astype(np.int64), edge[:-1]) * (np.diff(edge) > 0)
             texts = []
