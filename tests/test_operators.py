@@ -263,16 +263,6 @@ def test_thin_keeps_from_last_kept(spark):
     assert sorted(r.t for r in W.thin(d, ["k"], "t", ["t"], 0.25).collect()) == pytest.approx([0, 0.3, 0.6, 0.9, 1.2, 1.5, 1.8])
 
 
-def test_head_whitens_within_labels():
-    rng = np.random.default_rng(0)
-    labels = np.repeat(np.arange(10), 30)
-    v = rng.normal(size=(10, 8))[labels] * 3 + rng.normal(size=(300, 8)) * np.linspace(0.2, 3, 8)
-    mean, m = M.fit_head(v, labels, ridge=1e-6)
-    z = (v - mean) @ m
-    within = sum((z[labels == g] - z[labels == g].mean(0)).T @ (z[labels == g] - z[labels == g].mean(0)) for g in range(10)) / 300
-    assert np.allclose(within, np.eye(8), atol=1e-2)
-
-
 def test_filters(spark):
     d = spark.createDataFrame([(0.0,), (5.0,), (9.0,)], "t double")
     spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0.0, 1.0), (8.0, 9.0))])

@@ -6,31 +6,32 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from trackloom.functions import scalars as S
-from trackloom.operators import aggregates, selection
-from trackloom.plans.runtime import ship
+from trackloom.operators import aggregates, gallery_index, selection
+from trackloom.plans.runtime import Scratch, ship
 
 
-#: Prototypes that are handed to every task; a larger gallery is joined instead.
-GALLERY = 50_000
+#: Prototypes, and bytes of them, that are handed to every task; a larger gallery is indexed.
+GALLERY, GALLERY_BYTES = 50_000, 64_000_000
 
 
 def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, digits: int = 9, bound: int = GALLERY) -> DataFrame:
     """Each query (qid, vector) with the label whose ``top`` nearest prototypes
     (label, vector) are closest on average by cosine; ties by label.
 
-    A gallery is curated, so it is small: up to ``bound`` rows go to every task as one
-    matrix and queries meet it a batch at a time. Similarities and scores are rounded
-    before they are compared. Null vectors are left out.
+    A curated gallery is small: up to ``bound`` rows and 64 MB go to every task as one
+    matrix and queries meet it a batch at a time. A larger one is indexed, with the
+    same rows. Similarities and scores are rounded before they are compared. Null
+    vectors are left out.
     """
-    rows = prototypes.where("vector is not null").select("label", S.unit("vector").alias("v")).limit(bound + 1).collect()
-    if len(rows) > bound:
-        return _votes_by_join(queries, prototypes, top, digits)
+    held = prototypes.where("vector is not null")
+    size = held.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if size["n"] > bound or size["n"] * (size["dim"] or 0) * 8 > GALLERY_BYTES:
+        return gallery_index.votes(queries, prototypes, Scratch(queries.sparkSession, "votes"), top, digits)
+    rows = held.select("label", S.unit("vector").alias("v")).collect()
     rows.sort(key=lambda r: r["label"])
     many = Counter(r["label"] for r in rows)
     labels = sorted(many)
@@ -56,58 +57,6 @@ def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, dig
     return queries.where("vector is not null").select("qid", "vector").mapInPandas(run, f"qid {kinds['qid']}, label {kinds['label']}, score double, margin double")
 
 
-def _votes_by_join(queries: DataFrame, prototypes: DataFrame, top: int, digits: int) -> DataFrame:
-    p = prototypes.where("vector is not null").select("label", S.unit("vector").alias("_p"))
-    q = queries.where("vector is not null").select("qid", S.unit("vector").alias("_q"))
-    sim = q.crossJoin(p).select("qid", "label", F.round(S.dot("_q", "_p"), digits).alias("sim"))
-    best = selection.top_mean(sim, ["qid", "label"], "sim", top).withColumn("score", F.round("top_mean", digits))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")
-    r = best.withColumns({"_r": F.row_number().over(w), "_second": F.lead("score").over(w)}).where("_r = 1")
-    return r.select("qid", "label", "score", F.round(F.col("score") - F.col("_second"), digits).alias("margin"))
-
-
-def block_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, digits: int = 9, block: tuple[int, int] = (1024, 16_384)) -> DataFrame:
-    """``prototype_votes`` for a gallery of any size, without the margin: blocks of
-    queries meet blocks of prototypes as matrices, and each pair of blocks passes on
-    the ``top`` best per query and label. The work is the product of both tables."""
-    q, p = queries.where("vector is not null"), prototypes.where("vector is not null")
-    kinds = {k: d.schema[k].dataType.simpleString() for k, d in (("qid", q), ("label", p))}
-
-    def blocks(d: DataFrame, key: str, size: int, name: str) -> DataFrame:
-        n = max(1, -(-d.count() // size))
-        d = d.select(F.struct(F.col(key).alias("k"), S.unit("vector").alias("v")).alias("row"), (F.monotonically_increasing_id() % n).alias("_b"))
-        return d.groupBy("_b").agg(F.collect_list("row").alias(name)).select(name).coalesce(n)
-
-    def matrix(rows: list) -> tuple[list, np.ndarray]:
-        return [r["k"] for r in rows], np.array([r["v"] for r in rows], float)
-
-    def run(batches):
-        for batch in batches:
-            for qs, ps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, v = matrix(qs)
-                labels, w = matrix(ps)
-                kinds_here = list(dict.fromkeys(labels))
-                number = {k: i for i, k in enumerate(kinds_here)}
-                of = np.array([number[k] for k in labels])
-                for i in range(0, len(ids), 128):
-                    sim = np.round(v[i : i + 128] @ w.T, digits)
-                    part = ids[i : i + 128]
-                    for k, label in enumerate(kinds_here):
-                        x = -sim[:, of == k]
-                        best = -np.partition(x, top - 1, axis=1)[:, :top] if x.shape[1] > top else -x
-                        yield pa.RecordBatch.from_arrays([pa.array(part, types[0]), pa.array([label] * len(part), types[1]), pa.array(best.tolist(), pa.list_(pa.float64()))], names=["qid", "label", "sims"])
-
-    types = [to_arrow_type(q.schema["qid"].dataType), to_arrow_type(p.schema["label"].dataType)]
-    ship(queries.sparkSession)
-    pairs = blocks(q, "qid", block[0], "qs").crossJoin(blocks(p, "label", block[1], "ps"))
-    queries.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = pairs.mapInArrow(run, f"qid {kinds['qid']}, label {kinds['label']}, sims array<double>")
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, top)
-    score = found.groupBy("qid", "label").agg(best.alias("best")).select("qid", "label", F.round(F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best"), digits).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")
-    return score.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "label", "score")
-
-
 def tally(votes: DataFrame, track: str, label: str, order: list, cap: int) -> DataFrame:
     """Votes per track and label over at most ``cap`` evenly spaced votes."""
     return selection.evenly_spaced(votes, [track], order, cap, truncate=True).groupBy(track, label).agg(F.count("*").alias("n"))
@@ -119,24 +68,6 @@ def pure_tracks(df: DataFrame, track: str, label: str, order: str, share: float
     return m.where((F.col("share") >= share) & (F.col("total") >= least))
 
 
-def fit_head(v: np.ndarray, labels: np.ndarray, dims: int = 256, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): PCA whitening, then whitening of the covariance within labels
-    that have two rows or more. ``v`` is a gallery, thousands of rows at most."""
-    mean = v.mean(axis=0)
-    _, s, vt = np.linalg.svd(v - mean, full_matrices=False)
-    k = min(dims, int((s > 1e-9).sum()))
-    first = vt[:k].T / (s[:k] / np.sqrt(max(1, len(v) - 1)))
-    z = (v - mean) @ first
-    within, n = np.zeros((k, k)), 0
-    for g in np.unique(labels):
-        rows = z[labels == g]
-        if len(rows) >= 2:
-            d = rows - rows.mean(axis=0)
-            within, n = within + d.T @ d, n + len(rows)
-    e, u = np.linalg.eigh(within / max(1, n) + ridge * np.eye(k))
-    return mean, first @ (u / np.sqrt(e)) @ u.T
-
-
 def apply_head(df: DataFrame, vector: str, mean: np.ndarray, matrix: np.ndarray) -> DataFrame:
     """(x - mean) M per row, as Columns over literal rows of the (small) head."""
     centred = F.zip_with(vector, F.lit(mean.tolist()), lambda x, m: x.cast("double") - m)

@@ -16,7 +16,7 @@ from trackloom.functions import scalars as S
 from trackloom.operators import aggregates as A
 from trackloom.operators import appearance as M
 from trackloom.operators import filters as P
-from trackloom.operators import graph
+from trackloom.operators import gallery_index, graph
 from trackloom.operators import joins as J
 from trackloom.operators import selection as O
 from trackloom.operators import upserts as U
@@ -418,14 +418,14 @@ def diff_full_outer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 25 = 0), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings),
+WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT qid, label, round(list_cosine_similarity(q.v, p.v), 9) AS sim FROM q, p), t AS (SELECT qid, label, sim, row_number() OVER (PARTITION BY qid, label ORDER BY sim DESC) AS r FROM s),
 m AS (SELECT qid, label, round(avg(sim), 9) AS score FROM t WHERE r <= 3 GROUP BY ALL)
 SELECT qid, arg_max(label, (score, -label))::BIGINT AS label, round(max(score), 6) AS score FROM m GROUP BY qid""")
 def cosine_topk_vote(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector's label by the three nearest gallery vectors per label."""
+    """Each vector's label by the three nearest labelled vectors per label."""
     e = table(spark, sf, "embeddings")
-    gallery = e.where("vec_id % 25 = 0").select("label", F.col("embedding").alias("vector"))  # the feature: a small curated gallery
+    gallery = e.where("label is not null").select("label", F.col("embedding").alias("vector"))
     v = M.prototype_votes(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), gallery)
     return v.select("qid", F.col("label").cast("long").alias("label"), F.round("score", 6).alias("score"))
 
@@ -650,10 +650,14 @@ def separated_best(spark: SparkSession, sf: str) -> DataFrame:
     return O.greedy_apart(_events(spark, sf), ["user_id"], "t", ["value", "event_id"], [False, True], 3, 86_400.0)
 
 
-@query()
+@query("""
+WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS qid, p.label, round(list_inner_product(q.v, p.v), 9) AS sim FROM u q, u p WHERE p.label IS NOT NULL), t AS (SELECT qid, label, sim, row_number() OVER (PARTITION BY qid, label ORDER BY sim DESC) AS r FROM s),
+m AS (SELECT qid, label, round(avg(sim), 9) AS score FROM t WHERE r <= 3 GROUP BY ALL), w AS (SELECT *, row_number() OVER o AS r, lead(score) OVER o AS next FROM m WINDOW o AS (PARTITION BY qid ORDER BY score DESC, label))
+SELECT qid, label::BIGINT AS label, round(score, 6) AS score, round(score - next, 6) AS margin FROM w WHERE r = 1""")
 def cosine_topk_vote_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector's label by the three nearest of all labelled vectors per label."""
+    """Each vector's label by all labelled vectors through an index, and its margin."""
     e = table(spark, sf, "embeddings")
     gallery = e.where("label is not null").select(F.col("label").cast("long").alias("label"), F.col("embedding").alias("vector"))
-    v = M.block_votes(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), gallery)
-    return v.select("qid", "label", F.round("score", 6).alias("score"))
+    v = gallery_index.votes(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), gallery, Scratch(spark, "votes"))
+    return v.select("qid", "label", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators import heads as H
 from trackloom.operators import naming as N
 from trackloom.operators import stitching as C
 from trackloom.operators import windows as W
@@ -171,3 +172,16 @@ WITH {_NAMED} SELECT b.match, i::INT AS i, CASE WHEN b.labels[i + 1] < 3 THEN b.
 def exact_naming(spark: SparkSession, sf: str) -> DataFrame:
     """Tracks to labels at the best value, and what the best differing answer changes."""
     return N.named(_naming(spark, sf), "match", _LABELS, Scratch(spark, "naming"), budget=300)
+
+
+# -- appearance ---------------------------------------------------------------
+@query("""
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
+x AS (SELECT vec_id, label, (generate_subscripts(v, 1) - 1)::INT AS i, unnest(v) AS x FROM e),
+c AS (SELECT vec_id, label, i, x - avg(x) OVER (PARTITION BY i) AS x, x - avg(x) OVER (PARTITION BY i, label) AS y FROM x),
+l AS (SELECT vec_id, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y FROM c GROUP BY vec_id)
+SELECT i::INT AS i, j::INT AS j, round(sum(x[i + 1] * x[j + 1]), 6) AS total, round(sum(y[i + 1] * y[j + 1]), 6) AS within FROM l, range(64) a(i), range(64) b(j) GROUP BY ALL""")
+def appearance_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    """Scatter of appearance vectors, in all and within labels: what a head is fitted from."""
+    cells, _, _, _ = H.scatter(table(spark, sf, "embeddings"), "label", "embedding", Scratch(spark, "scatter"))
+    return cells.select("i", "j", F.round("total", 6).alias("total"), F.round("within", 6).alias("within"))
