@@ -251,10 +251,6 @@ def test_sequences():
     assert [p.tolist() for p in parts] == [[0, 1, 2]]
     v = np.array([[1.0, 0]] * 15 + [[0, 1.0]] * 15)
     assert W.change_points(v, 12, 0.5, 12) == [15]
-    ok, mv = "ok", "moved"
-    assert W.valid_intervals(list(range(8)), [ok, ok, mv, ok, mv, mv, ok, ok], sample=1.0) == [(0, 3), (6, 7)]
-    assert W.valid_intervals([0, 2, 4, 6, 8], ["ok", "blank", None, "blank", "ok"]) == [(0, 8)]
-    assert W.valid_intervals([0, 2, 4, 6, 8], ["ok", "cut", None, "cut", None]) == [] and W.valid_intervals([], []) == []
     assert O.cover([{1, 2}, {2, 3, 4}, {1}], {}, np.array([0.0, 10.0, 20.0]), 2, 1.0) == [1, 0]
 
 

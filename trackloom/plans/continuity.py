@@ -10,6 +10,7 @@ from trackloom.functions import scalars as S
 from trackloom.operators import heads as H
 from trackloom.operators import naming as N
 from trackloom.operators import stitching as C
+from trackloom.operators import validity as V
 from trackloom.operators import windows as W
 from trackloom.plans.catalog import _ZERO, ORACLES, QUERIES, query
 from trackloom.plans.runtime import Scratch, table
@@ -185,3 +186,21 @@ def appearance_scatter(spark: SparkSession, sf: str) -> DataFrame:
     """Scatter of appearance vectors, in all and within labels: what a head is fitted from."""
     cells, _, _, _ = H.scatter(table(spark, sf, "embeddings"), "label", "embedding", Scratch(spark, "scatter"))
     return cells.select("i", "j", F.round("total", 6).alias("total"), F.round("within", 6).alias("within"))
+
+
+# -- validity -----------------------------------------------------------------
+_VERDICT = "CASE event_type WHEN 'signup' THEN NULL WHEN 'error' THEN 'cut' WHEN 'purchase' THEN 'moved' ELSE 'ok' END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id, t, {_VERDICT} AS v FROM {_P}), s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, v ORDER BY t) AS g FROM e WHERE v IS NOT NULL),
+r AS (SELECT user_id, v, count(*) AS n, min(t) AS first, v = 'ok' AS good FROM s GROUP BY user_id, v, g),
+m AS (SELECT user_id, good, first, 1 AS o FROM r WHERE n >= CASE v WHEN 'cut' THEN 3 ELSE 2 END UNION ALL SELECT user_id, true, min(t), 0 FROM e GROUP BY user_id UNION ALL SELECT user_id, false, max(t), 2 FROM e GROUP BY user_id),
+w AS (SELECT *, lag(good) OVER (PARTITION BY user_id ORDER BY o, first) AS was FROM m), u AS (SELECT * FROM w WHERE was IS NULL OR was <> good),
+p AS (SELECT *, lead(first) OVER z AS stop, lead(o) OVER z AS how FROM u WINDOW z AS (PARTITION BY user_id ORDER BY o, first)),
+q AS (SELECT user_id, first AS lo, CASE WHEN how = 2 THEN stop ELSE coalesce((SELECT max(e.t) FROM e WHERE e.user_id = p.user_id AND e.v = 'ok' AND e.t < p.stop), first) END AS hi FROM p WHERE good AND stop IS NOT NULL)
+SELECT user_id, lo, hi FROM q WHERE hi - lo >= 3600 AND hi > lo""")
+def trusted_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """When a view counts as good: verdicts that last change the state."""
+    e = places(spark, sf).withColumn("v", F.expr(_VERDICT))
+    return V.valid_spans(e, "user_id", "t", "v", sample=3600.0, lasting={"cut": 10_800.0}, bucket=500_000.0)
