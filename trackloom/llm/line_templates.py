@@ -74,12 +74,13 @@ class Lines:
         place = np.arange(len(self.x)) - np.repeat(self.first, self.n)
         return mix(np.repeat(self.leaf, self.n) + place.astype(np.uint64) * A + self.x * B)
 
-    def templates(self, level: np.ndarray, share: float):
-        """``(lines, keys)`` for each level: the template of every line that has enough
-        fixed words there, one of them with a letter, where it differs from the level
-        below. ``level``: up to which one each word is fixed, -1 for none."""
-        line, x, n, letter = np.arange(len(self.first)), self.x, self.n, self.letter
-        tail = np.arange(len(x)) - np.repeat(self.first, n) >= DEPTH
+    def templates(self, some: np.ndarray, level: np.ndarray, share: float):
+        """``(lines, keys)`` for each level: the template of every line of ``some`` that
+        has enough fixed words there, one of them with a letter, where it differs from
+        the level below. ``level``: up to which one their words are fixed, -1 for none."""
+        words = np.repeat(some, self.n)
+        line, x, n, letter = np.flatnonzero(some), self.x[words], self.n[some], self.letter[words]
+        tail = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) >= DEPTH
         before = n + 1
         for k in np.unique(level[level >= 0]).tolist():
             first, fixed = np.cumsum(n) - n, level >= k
@@ -121,7 +122,7 @@ def _lookup(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(known):
         return np.zeros(0, np.int64), np.zeros(len(keys), bool)
     order = np.argsort(known)
-    at = order[np.minimum(np.searchsorted(known, keys, sorter=order), len(known) - 1)]
+    at = order[np.minimum(np.searchsorted(known[order], keys), len(known) - 1)]
     return at, known[at] == keys
 
 
@@ -175,15 +176,18 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
 
         return f
 
-    def levels(x: Lines, batch: Batch) -> np.ndarray:
-        at, found = _lookup(batch.known["word"], x.tokens().view(np.int64))
+    def templates(x: Lines, batch: Batch):
+        some = np.isin(x.leaf.view(np.int64), batch.known["leaf"])
+        words = np.repeat(some, x.n)
+        at, found = _lookup(batch.known["word"], x.tokens()[words].view(np.int64))
         many = batch.known["word_docs"][at] if len(at) else np.full(len(found), min_docs)
-        return np.where(found & ~x.masked, (np.log(many / min_docs) / np.log(STEP)).astype(np.int64), -1)
+        level = np.where(found & ~x.masked[words], (np.log(many / min_docs) / np.log(STEP)).astype(np.int64), -1)
+        return x.templates(some, level, share)
 
     def patterns():
         def f(batch):
             x = Lines(batch)
-            found = list(x.templates(levels(x, batch), share))
+            found = list(templates(x, batch))
             if found:
                 line, key = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
                 yield from _counted(batch, key, x.doc[line], x.id[line])
@@ -191,14 +195,15 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
         return f
 
     leaf = _recurring(store.map(leaves, COUNTED), min_docs, scratch, "leaf", "low")
-    word = _recurring(store.map(words, COUNTED, leaf.select("batch", "leaf")), min_docs, scratch, "word", "docs")
-    template = _recurring(store.map(patterns, COUNTED, word), min_docs, scratch, "template", "low")
+    leaf = leaf.select("batch", "leaf")
+    word = _recurring(store.map(words, COUNTED, leaf), min_docs, scratch, "word", "docs")
+    template = _recurring(store.map(patterns, COUNTED, leaf, word), min_docs, scratch, "template", "low")
 
     def make():
         def f(batch: Batch):
             x = Lines(batch)
             gone = np.zeros(len(x.first), bool)
-            for line, key in x.templates(levels(x, batch), share):
+            for line, key in templates(x, batch):
                 at, found = _lookup(batch.known["template"], key.view(np.int64))
                 if len(at):
                     gone[line] |= found & (x.id[line] > batch.known["template_low"][at])
@@ -220,7 +225,7 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
         return f
 
     if mode == "text":
-        out = store.map(make, "doc_id long, text string, extra string", word, template)
+        out = store.map(make, "doc_id long, text string, extra string", leaf, word, template)
         out = out.select("doc_id", "text", F.from_json("extra", shape, EXACT).alias("x")).withColumn("text", F.when(~F.col("x.missing"), F.col("text")))
 
         def value(c: str) -> Column:
@@ -228,7 +233,7 @@ def deduplicate(docs: DataFrame, mode: str = "text", min_docs: int = MIN_DOCS, s
 
         out = out.select(*[value(c).alias(c) for c in docs.columns])
     else:
-        out = store.map(make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", word, template)
+        out = store.map(make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", leaf, word, template)
     out = scratch.keep(out, "result")
     store.drop()
     return out
