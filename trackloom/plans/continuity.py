@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators import folds as K
 from trackloom.operators import heads as H
 from trackloom.operators import naming as N
 from trackloom.operators import stitching as C
@@ -204,3 +205,18 @@ def trusted_spans(spark: SparkSession, sf: str) -> DataFrame:
     """When a view counts as good: verdicts that last change the state."""
     e = places(spark, sf).withColumn("v", F.expr(_VERDICT))
     return V.valid_spans(e, "user_id", "t", "v", sample=3600.0, lasting={"cut": 10_800.0}, bucket=500_000.0)
+
+
+# -- folds over what was accepted ---------------------------------------------
+@query(f"""
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM (SELECT event_id, user_id, t, x AS h, x + y AS b FROM {_P})),
+s AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BOOLEAN AS whole, []::STRUCT(t DOUBLE, h DOUBLE, b DOUBLE)[] AS past FROM e WHERE n = 1
+ UNION ALL SELECT user_id, n, event_id, ok, CASE WHEN ok THEN list_append(near, {{'t': t, 'h': h, 'b': b}}) ELSE near END FROM (
+  SELECT *, NOT (len(near) >= 3 AND h < 0.7 * tall AND low - b > 0.25 * tall) AS ok FROM (
+   SELECT *, list_aggregate(list_transform(near, lambda p: p.h), 'median') AS tall, list_aggregate(list_transform(near, lambda p: p.b), 'median') AS low FROM (
+    SELECT e.user_id, e.n, e.event_id, e.t, e.h, e.b, list_filter(s.past, lambda p: p.t >= e.t - 100000) AS near FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))))
+SELECT event_id, coalesce(whole, true) AS whole FROM s WHERE event_id IS NOT NULL""")
+def whole_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes that don't show a part only, by the accepted ones before them."""
+    e = places(spark, sf).select("event_id", "user_id", "t", F.col("x").alias("h"), (F.col("x") + F.col("y")).alias("b"))
+    return K.whole_boxes(e, ["user_id"], "t", ["event_id"], "h", "b", window=100_000, least=3).select("event_id", "whole")
