@@ -1,7 +1,6 @@
 """Pinned examples, and plain-Python counterparts of the order-dependent operators."""
 
 import math
-from itertools import permutations, product
 
 import numpy as np
 import pytest
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalars as S
 from trackloom.operators import aggregates as A
 from trackloom.operators import appearance as M
-from trackloom.operators import assignment as G
 from trackloom.operators import filters as P
 from trackloom.operators import graph
 from trackloom.operators import joins as J
@@ -221,29 +219,6 @@ def test_farthest_points_spread(ts, k):
     assert len(got) == min(k, len(t)) and (k < 2 or len(t) <= k or {0, len(t) - 1} <= set(got))
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(2, 5), st.integers(1, 3), st.integers(0, 10_000))
-def test_assignment_is_optimal(n, m, seed):
-    rng = np.random.default_rng(seed)
-    score = rng.integers(-5, 10, (n, m)).astype(float)
-    forbidden = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.3}
-    labels, value, proven = G.assign(score, forbidden, must=False)
-    best = -math.inf
-    for x in product(range(-1, m), repeat=n):
-        if all(x[i] != x[j] or x[i] < 0 for i, j in forbidden):
-            best = max(best, sum(score[i, k] for i, k in enumerate(x) if k >= 0))
-    assert proven and value == pytest.approx(best) and all(labels[i] != labels[j] or labels[i] < 0 for i, j in forbidden)
-
-
-def test_permutation_colours_boxes_links():
-    c = np.random.default_rng(1).random((6, 6))
-    assert sum(c[i, k] for i, k in enumerate(G.best_permutation(c))) == pytest.approx(min(sum(c[i, p[i]] for i in range(6)) for p in permutations(range(6))))
-    col = G.interval_colours(np.array([0, 1, 2]), np.array([5, 6, 7]), {(0, 1), (1, 2)}, 2, lambda i, j: 0)
-    assert col[0] != col[1] != col[2]
-    assert G.merge_boxes(np.array([[0, 0, 10, 10], [20, 1, 30, 11], [100, 0, 110, 10]], float)) == [[0, 1], [2]]
-    assert G.link_fragments(np.array([0, 5, 6]), np.array([4, 9, 9]), {(0, 1): 1.0, (0, 2): 1.0}) == [(0, 1)]
-
-
 def test_sequences():
     t = np.array([0.0, 0.1, 0.2, 2.0, 2.1])
     xy = np.array([[0, 0], [0.1, 0], [0.2, 0], [0.3, 0], [9, 0]], float)
@@ -301,8 +276,6 @@ def test_corrections_bands_and_second_best(spark):
     assert [(r.band, r.mirrored) for r in O.mirrored_bands(b, 16.541).collect()] == [(1, True), (2, True), (3, False)]
     c = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.3), (2, "a", 0.2), (2, "b", 0.21), (3, "a", 0.9)], "k int, v string, s double")
     assert [(r.k, r.v) for r in O.clear_winner(c, ["k"], "s", ["v"], 0.70, 1.25).collect()] == [(1, "a")]
-    score = np.array([[5.0, 4.9], [0.0, 9.0]])
-    assert G.assign(score, {(0, 1)}, must=False)[0] == [0, 1] and G.unstable(score, set(), 0.2, must=False) == [0] and G.unstable(score, set(), 0.01, must=False) == []
 
 
 def test_smoothing_is_the_posterior(spark):

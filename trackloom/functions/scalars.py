@@ -252,12 +252,19 @@ def corrected(x, y, steps: Sequence[dict]) -> tuple[Column, Column]:
 
 
 def fold_radius(k1: float, k2: float) -> float:
-    """The radius past which r (1 + k1 r^2 + k2 r^4) turns back; inf if nowhere."""
-    if abs(5 * k2) < 1e-12:
-        return math.inf if k1 >= 0 else math.sqrt(-1 / (3 * k1))
-    d = 9 * k1 * k1 - 20 * k2
-    roots = [] if d < 0 else [(-3 * k1 + s * math.sqrt(d)) / (10 * k2) for s in (-1, 1)]
-    return math.sqrt(min([r for r in roots if r > 0], default=math.inf))
+    """The radius past which r (1 + k1 r^2 + k2 r^4) turns back; inf if nowhere.
+
+    Its slope is 1 + b u + a u^2 in u = r^2. The roots' product is 1 / a and their sum
+    -b / a, so with q = -(b + sign(b) sqrt(b^2 - 4 a)) / 2 they are q / a and 1 / q,
+    neither of them a difference of near numbers, and a = 0 needs no case of its own.
+    """
+    a, b = 5 * k2, 3 * k1
+    inner = b * b - 4 * a
+    if inner < 0:
+        return math.inf
+    q = -(b + math.copysign(math.sqrt(inner), b)) / 2
+    turns = ([1 / q] if q else []) + ([q / a] if a else [])
+    return math.sqrt(min((u for u in turns if u > 0), default=math.inf))
 
 
 def distort(x, y, f: float, k1: float, k2: float, cx: float, cy: float) -> tuple[Column, Column]:

@@ -1,33 +1,21 @@
-"""Order-dependent grouping and assignment, per bounded group."""
+"""Grouping and assignment per bounded group: small matrices, boxes, colours."""
 
 from __future__ import annotations
 
 from itertools import permutations
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def interval_colours(start: np.ndarray, end: np.ndarray, conflict: set, colours: int, cost) -> list[int]:
-    """Greedy colouring in birth order: each item joins the colour of least cost that
-    holds none of its conflicts (first on ties); if all do, the cheapest."""
-    groups: list[list[int]] = [[] for _ in range(colours)]
-    out = [-1] * len(start)
-    for i in np.lexsort((end, start)).tolist():
-        def price(g: int, i=i) -> tuple:
-            clash = any((i, j) in conflict or (j, i) in conflict for j in groups[g])
-            return clash, sum(cost(i, j) for j in groups[g]), g
-
-        best = min(range(colours), key=price)
-        groups[best].append(i)
-        out[i] = best
-    return out
+from trackloom.plans.runtime import ship
 
 
 def best_permutations(cost: Column, n: int) -> Column:
     """The exact assignment of ``n`` rows to columns (7 at most) of ``cost``, an array of
-    arrays: a struct of its cost and each row's column, the first in order on ties."""
+    arrays: a struct of its cost (rounded to 9 digits, so that orders of one cost tie) and
+    each row's column, the first in order on ties."""
     if not 0 < n <= 7:
         raise ValueError("an order of 1 to 7 rows")
     orders = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(n))])
@@ -36,92 +24,134 @@ def best_permutations(cost: Column, n: int) -> Column:
         total = F.lit(0.0)
         for i in range(n):
             total = total + F.get(F.get(cost, F.lit(i)), F.get(order, F.lit(i)))
-        return F.struct(total.alias("cost"), order.alias("columns"))
+        return F.struct(F.round(total, 9).alias("cost"), order.alias("columns"))
 
     return F.array_min(F.transform(orders, priced))
 
 
-def best_permutation(cost: np.ndarray) -> list[int]:
-    """Exact assignment of n <= 8 rows to columns (first in order on ties)."""
-    n = len(cost)
-    perms = np.array(list(permutations(range(n))))
-    return perms[int(cost[np.arange(n), perms].sum(axis=1).argmin())].tolist()
-
+def name_groups(groups: DataFrame, votes: DataFrame, teams: DataFrame, key: str, n: int, base: float = 50.0, share: float = 100.0, wrong: float = 500.0) -> DataFrame:
+    """``(key, g, team, cost)``: the cheapest naming of up to ``n`` groups by teams.
 
-def assign(score: np.ndarray, forbidden: set, pinned: dict[int, int] | None = None, must: bool = True, budget: int = 200_000, other_than: list[int] | None = None) -> tuple[list[int], float, bool]:
-    """Items to labels (or -1), maximising the score sum.
-
-    ``score[i, k]``; pairs in ``forbidden`` can't share a label; ``must``: each label
-    is used. Depth-first branch and bound on items by how much they can gain, with
-    the sum of best remaining scores as bound. Returns (labels, value, proven): past
-    ``budget`` nodes the best found so far comes back, not proven. ``other_than``:
-    this answer is forbidden, which gives the second best.
+    A team costs a group ``base`` less ``share`` times its part of the group's votes,
+    and ``wrong`` more if the group's side is known and another one. Groups ``(key, g,
+    side)`` and teams ``(key, k, team, side)`` are numbered from 0 below ``n``, ``votes
+    (key, g, team, n)``; places that neither fills cost ``base``. Orders are tried all,
+    per match as one expression; the first in order on ties.
+    """
+    total = votes.groupBy(key, "g").agg(F.sum("n").alias("all"))
+    pairs = groups.select(key, "g", F.col("side").alias("_side")).join(teams, key).join(votes, [key, "g", "team"], "left").join(total, [key, "g"], "left")
+    part = F.when(F.col("all") > 0, F.coalesce("n", F.lit(0)) * share / F.col("all")).otherwise(0.0)
+    off = F.coalesce(F.col("_side") != F.col("side"), F.lit(False))
+    priced = pairs.select(key, "g", "k", (F.lit(base) - part + F.when(off, wrong).otherwise(0.0)).alias("c"))
+    cell = [[F.coalesce(F.max(F.when((F.col("g") == i) & (F.col("k") == j), F.col("c"))), F.lit(base)) for j in range(n)] for i in range(n)]
+    best = priced.groupBy(key).agg(F.array(*[F.array(*row) for row in cell]).alias("cost")).withColumn("best", best_permutations(F.col("cost"), n))
+    named = best.select(key, F.col("best.cost").alias("cost"), F.posexplode("best.columns").alias("g", "k"))
+    return named.join(groups.select(key, "g"), [key, "g"]).join(teams.select(key, "k", "team"), [key, "k"]).select(key, "g", "team", "cost")
+
+
+def fused_boxes(boxes: Column, gap: float = 18.0, level: float = 0.5) -> Column:
+    """Pieces of one kind fused to whole boxes, as an array of structs ``(kind, x1, y1,
+    x2, y2, n)``. ``boxes``: an array of structs ``(kind, x1, y1, x2, y2)``.
+
+    By kind and left edge, and their order in the array on ties, a piece joins the
+    first box of its kind that is level with it (their heights overlap by ``level`` of
+    the smaller one) and at most ``gap`` away sideways; that box grows. A fold over the
+    boxes of one image.
+    """
+    shape = "struct<kind:string,x1:double,y1:double,x2:double,y2:double,n:int>"
+    keyed = F.transform(boxes, lambda b, i: F.struct(b["kind"].cast("string").alias("kind"), b["x1"].cast("double").alias("x1"), i.alias("i"), b["y1"].cast("double").alias("y1"), b["x2"].cast("double").alias("x2"), b["y2"].cast("double").alias("y2")))
+
+    def box(kind, x1, y1, x2, y2, n) -> Column:
+        return F.struct(kind.alias("kind"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), n.alias("n")).cast(shape)
+
+    def joins(m: Column, b: Column) -> Column:
+        shared = F.least(b["y2"], m["y2"]) - F.greatest(b["y1"], m["y1"])
+        flat = F.least(b["y2"] - b["y1"], m["y2"] - m["y1"])
+        return (m["kind"] == b["kind"]) & (shared > 0) & (shared >= flat * level) & (F.greatest(b["x1"], m["x1"]) - F.least(b["x2"], m["x2"]) <= gap)
+
+    def step(done: Column, b: Column) -> Column:
+        at = F.array_position(F.transform(done, lambda m: joins(m, b)), F.lit(True))
+        grown = F.transform(done, lambda m, i: F.when(i + 1 == at, box(m["kind"], F.least(m["x1"], b["x1"]), F.least(m["y1"], b["y1"]), F.greatest(m["x2"], b["x2"]), F.greatest(m["y2"], b["y2"]), m["n"] + 1)).otherwise(m))
+        return F.when(at > 0, grown).otherwise(F.concat(done, F.array(box(b["kind"], b["x1"], b["y1"], b["x2"], b["y2"], F.lit(1))))).cast(f"array<{shape}>")
+
+    return F.aggregate(F.sort_array(keyed), F.array().cast(f"array<{shape}>"), step)
+
+
+class _Groups:
+    """The groups of one match while its tracks are dealt out, as columns over groups."""
+
+    def __init__(self, most: int, sides: list[str], teams: list[str]):
+        self.open, self.end = 0, np.zeros((most, 3))
+        self.sides, self.votes = np.zeros((most, len(sides)), int), np.zeros((most, len(teams)), int)
+        self.side_of, self.team_of = {s: i for i, s in enumerate(sides)}, {t: i for i, t in enumerate(teams)}
+        self.barred: list[set] = [set() for _ in range(most)]
+
+    def costs(self, r: dict, votes: np.ndarray, speed: float, gap_cost: float, far_cost: float, other_vote: float, other_side: float) -> np.ndarray:
+        n = self.open
+        gap = np.maximum(r["t0"] - self.end[:n, 0], 0)
+        budget = speed * np.maximum(gap, 0.1) + 1.0
+        cost = gap_cost * gap + far_cost * np.maximum(np.hypot(r["x0"] - self.end[:n, 1], r["y0"] - self.end[:n, 2]) - budget, 0) / budget
+        if r["side"] is not None:
+            cost += other_side * (self.sides[:n].any(axis=1) & (self.sides[:n].argmax(axis=1) != self.side_of[r["side"]]))
+        if votes.any():
+            cost += other_vote * (self.votes[:n].any(axis=1) & (self.votes[:n].argmax(axis=1) != votes.argmax()))
+        return np.where([r["tid"] in b for b in self.barred[:n]], np.inf, cost)
+
+    def add(self, g: int, r: dict, votes: np.ndarray, company: set) -> None:
+        self.open = max(self.open, g + 1)
+        self.end[g] = r["t1"], r["x1"], r["y1"]
+        self.votes[g] += votes
+        self.barred[g] |= company
+        if r["side"] is not None:
+            self.sides[g, self.side_of[r["side"]]] += 1
+
+
+def colour_tracks(tracks: DataFrame, together: DataFrame, votes: DataFrame, key: str, groups: int = 6, speed: float = 5.5, gap_cost: float = 2.0, far_cost: float = 12.0, other_vote: float = 60.0, other_side: float = 1e6) -> DataFrame:
+    """``(key, tid, g)``: the tracks of each match dealt to ``groups`` robots, -1 for
+    those that no group can take.
+
+    By start (longer ones first, then by ``tid``) a track joins the cheapest group that
+    holds none it was seen with; a new group opens where there is none, or only one of
+    the other side. Costs: the time unobserved, a distance beyond ``speed``, another
+    majority of votes, another majority of sides; the first in order on ties. ``tracks
+    (key, tid, t0, x0, y0, t1, x1, y1, n, side)``, ``together (key, a, b)``, ``votes
+    (key, tid, team, n)``. A match is one row, bounded by its tracks; matches are
+    coloured in parallel.
     """
-    n, m = score.shape
-    pinned = pinned or {}
-    order = sorted(range(n), key=lambda i: (i not in pinned, -np.sort(score[i])[::-1][: min(2, m)].max(initial=0), i))
-    best_rest = np.concatenate((np.cumsum([max(0.0, score[i].max()) for i in order][::-1])[::-1], [0.0]))
-    near = {i: {j for j in range(n) if (i, j) in forbidden or (j, i) in forbidden} for i in range(n)}
-    state = {"value": -np.inf, "labels": [-1] * n, "nodes": 0}
-    labels = [-1] * n
-
-    def visit(d: int, value: float, unused: int) -> None:
-        state["nodes"] += 1
-        if state["nodes"] > budget or value + best_rest[d] <= state["value"] + 1e-12:
-            return
-        if must and unused > n - d:
-            return
-        if d == n:
-            if labels == other_than:
-                return
-            state["value"], state["labels"] = value, labels.copy()
-            return
-        i = order[d]
-        options = [pinned[i]] if i in pinned else [int(k) for k in np.argsort(-score[i], kind="stable")] + [-1]
-        for k in options:
-            if k >= 0 and any(labels[j] == k for j in near[i]):
-                continue
-            fresh = k >= 0 and k not in labels
-            labels[i] = k
-            visit(d + 1, value + (score[i, k] if k >= 0 else 0.0), unused - fresh)
-            labels[i] = -1
-
-    visit(0, 0.0, m)
-    return state["labels"], float(state["value"]), state["nodes"] <= budget
-
-
-def merge_boxes(boxes: np.ndarray, max_gap: float = 18.0, overlap: float = 0.5) -> list[list[int]]:
-    """Boxes fused in order into the first cluster with enough vertical overlap and a
-    small horizontal gap."""
-    clusters: list[tuple[np.ndarray, list[int]]] = []
-    for i, b in enumerate(boxes):
-        for k, (c, members) in enumerate(clusters):
-            tall = min(b[3], c[3]) - max(b[1], c[1])
-            gap = max(b[0], c[0]) - min(b[2], c[2])
-            if tall >= overlap * min(b[3] - b[1], c[3] - c[1]) and gap <= max_gap:
-                clusters[k] = (np.array([min(b[0], c[0]), min(b[1], c[1]), max(b[2], c[2]), max(b[3], c[3])]), [*members, i])
-                break
-        else:
-            clusters.append((b, [i]))
-    return [m for _, m in clusters]
-
-
-def link_fragments(birth: np.ndarray, death: np.ndarray, cost: dict[tuple[int, int], float], margin: float = 1.5) -> list[tuple[int, int]]:
-    """Each fragment in birth order claims its best free predecessor, unless the
-    runner-up scores within ``margin`` times the best."""
-    taken: set[int] = set()
-    out = []
-    for b in np.argsort(birth, kind="stable").tolist():
-        options = sorted((v, a) for (a, c), v in cost.items() if c == b and a not in taken and death[a] <= birth[b])
-        if options and (len(options) < 2 or options[1][0] >= margin * options[0][0]):
-            taken.add(options[0][1])
-            out.append((options[0][1], b))
-    return out
-
-
-def unstable(score: np.ndarray, forbidden: set, close: float, **more) -> list[int]:
-    """Items whose label differs in the second-best answer, if that one is within
-    ``close`` of the best."""
-    first, value, _ = assign(score, forbidden, **more)
-    second, other, _ = assign(score, forbidden, other_than=first, **more)
-    return [i for i in range(len(score)) if first[i] != second[i]] if value - other <= close else []
+    ship(tracks.sparkSession)
+    kind = tracks.schema[key].dataType.simpleString()
+    both = together.select(key, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    one = tracks.groupBy(key).agg(F.collect_list(F.struct("tid", "t0", "x0", "y0", "t1", "x1", "y1", "n", "side")).alias("tracks"))
+    one = one.join(both.groupBy(key).agg(F.collect_list("p").alias("pairs")), key, "left")
+    one = one.join(votes.groupBy(key).agg(F.collect_list(F.struct("tid", "team", "n")).alias("votes")), key, "left")
+
+    def run(batches):
+        for batch in batches:
+            took, tids, where = [], [], []
+            for at, m in enumerate(batch.to_pylist()):
+                rows = sorted(m["tracks"], key=lambda r: (r["t0"], -r["n"], r["tid"]))
+                company: dict = {}
+                for p in m["pairs"] or []:
+                    company.setdefault(p["a"], set()).add(p["b"])
+                teams = sorted({v["team"] for v in m["votes"] or []})
+                state = _Groups(groups, sorted({r["side"] for r in rows if r["side"] is not None}), teams)
+                tally = {r["tid"]: np.zeros(len(teams), int) for r in rows}
+                for v in m["votes"] or []:
+                    if v["tid"] in tally:
+                        tally[v["tid"]][state.team_of[v["team"]]] += v["n"]
+                for r in rows:
+                    mine = tally[r["tid"]]
+                    cost = state.costs(r, mine, speed, gap_cost, far_cost, other_vote, other_side)
+                    g = int(cost.argmin()) if len(cost) else -1
+                    if state.open < groups and (g < 0 or cost[g] >= other_side):
+                        g = state.open
+                    elif g < 0 or np.isinf(cost[g]):
+                        g = -1
+                    if g >= 0:
+                        state.add(g, r, mine, company.get(r["tid"], set()))
+                    took.append(at)
+                    tids.append(r["tid"])
+                    where.append(g)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(took, pa.int64())), pa.array(tids, pa.int64()), pa.array(where, pa.int32())], names=[key, "tid", "g"])
+
+    return one.mapInArrow(run, f"{key} {kind}, tid long, g int")

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators import assignment as G
 from trackloom.operators import folds as K
 from trackloom.operators import heads as H
+from trackloom.operators import joins as J
 from trackloom.operators import naming as N
 from trackloom.operators import stitching as C
 from trackloom.operators import validity as V
@@ -220,3 +222,56 @@ def whole_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes that don't show a part only, by the accepted ones before them."""
     e = places(spark, sf).select("event_id", "user_id", "t", F.col("x").alias("h"), (F.col("x") + F.col("y")).alias("b"))
     return K.whole_boxes(e, ["user_id"], "t", ["event_id"], "h", "b", window=100_000, least=3).select("event_id", "whole")
+
+
+# -- groups, boxes and colours ------------------------------------------------
+_TRIPLES = "[[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]"
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey AS m, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g, l_suppkey % 3 AS k, l_linestatus AS s FROM lineitem),
+gs AS (SELECT m, g, CASE WHEN count(*) > 1 THEN CASE min(s) WHEN 'O' THEN 'red' ELSE 'blue' END END AS side FROM l GROUP BY m, g), v AS (SELECT m, g, k, count(*) AS n FROM l GROUP BY ALL), a AS (SELECT m, g, count(*) AS total FROM l GROUP BY ALL),
+c AS (SELECT gs.m, gs.g, r.k, 50.0::DOUBLE - coalesce(v.n, 0) * 100.0::DOUBLE / a.total + CASE WHEN gs.side <> CASE WHEN r.k = 1 THEN 'blue' ELSE 'red' END THEN 500 ELSE 0 END AS c
+ FROM gs CROSS JOIN range(3) r(k) JOIN a USING (m, g) LEFT JOIN v ON v.m = gs.m AND v.g = gs.g AND v.k = r.k),
+x AS (SELECT m, map_from_entries(list((g * 3 + k, c))) AS c FROM c GROUP BY m),
+p AS (SELECT m, p, round(list_sum(list_transform([0, 1, 2], lambda i: coalesce(c[i * 3 + p[i + 1]], 50.0::DOUBLE))), 9) AS cost FROM x, unnest({_TRIPLES}) u(p)),
+b AS (SELECT m, arg_min(p, (cost, p)) AS p, min(cost) AS cost FROM p GROUP BY m)
+SELECT b.m AS match, gs.g::INT AS g, 'T' || p[gs.g + 1] AS team, round(cost, 6) + 0.0::DOUBLE AS cost FROM b JOIN gs USING (m)""")
+def named_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups named by teams at least cost: votes and sides."""
+    g = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match"), g.alias("g"), F.concat(F.lit("T"), F.col("l_suppkey") % 3).alias("team"), F.col("l_linestatus").alias("s"))
+    groups = lines.groupBy("match", "g").agg(F.when(F.count("*") > 1, F.when(F.min("s") == "O", "red").otherwise("blue")).alias("side"))
+    votes = lines.groupBy("match", "g", "team").agg(F.count("*").alias("n"))
+    k = F.explode(F.array(*map(F.lit, range(3)))).alias("k")
+    teams = lines.select("match").distinct().select("match", k).select("match", "k", F.concat(F.lit("T"), "k").alias("team"), F.when(F.col("k") == 1, "blue").otherwise("red").alias("side"))
+    return G.name_groups(groups, votes, teams, "match", 3).withColumn("cost", F.round("cost", 6) + F.lit(0.0))  # no negative zero
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT l_orderkey AS o, l_linestatus AS kind, (l_quantity * 4)::DOUBLE AS x1, (l_partkey % 50)::DOUBLE AS y1, (l_quantity * 4 + 30)::DOUBLE AS x2, (l_partkey % 50 + 40)::DOUBLE AS y2,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus, l_quantity, l_linenumber, l_partkey % 50) AS n FROM lineitem),
+s AS (SELECT o, 0::BIGINT AS n, []::STRUCT(kind VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, n INT)[] AS done FROM b WHERE n = 1
+ UNION ALL SELECT o, n, CASE WHEN spot IS NULL OR spot = 0 THEN list_append(done, {'kind': kind, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'n': 1::INT})
+  ELSE list_transform(done, lambda m, i: CASE WHEN i = spot THEN {'kind': m.kind, 'x1': least(m.x1, x1), 'y1': least(m.y1, y1), 'x2': greatest(m.x2, x2), 'y2': greatest(m.y2, y2), 'n': (m.n + 1)::INT} ELSE m END) END FROM (
+  SELECT b.*, s.done, list_position(list_transform(s.done, lambda m: m.kind = b.kind AND least(b.y2, m.y2) - greatest(b.y1, m.y1) > 0
+    AND least(b.y2, m.y2) - greatest(b.y1, m.y1) >= 0.5 * least(b.y2 - b.y1, m.y2 - m.y1) AND greatest(b.x1, m.x1) - least(b.x2, m.x2) <= 18), true) AS spot
+  FROM s JOIN b ON b.o = s.o AND b.n = s.n + 1)),
+e AS (SELECT o, arg_max(done, n) AS done FROM s GROUP BY o), u AS (SELECT o, unnest(done) AS d FROM e)
+SELECT o AS l_orderkey, d.kind AS kind, d.x1 AS x1, d.y1 AS y1, d.x2 AS x2, d.y2 AS y2, d.n AS n FROM u""")
+def fused_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of boxes fused to whole ones, by kind and left edge."""
+    x, y = F.col("l_quantity") * 4, F.col("l_partkey") % 50
+    box = F.struct("l_linenumber", F.struct(F.col("l_linestatus").alias("kind"), x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 40).alias("y2")).alias("b"))
+    images = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(box)), lambda r: r["b"]).alias("boxes"))
+    return images.select("l_orderkey", F.explode(G.fused_boxes(F.col("boxes"))).alias("f")).select("l_orderkey", "f.*")
+
+
+@query()
+def coloured_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments dealt to six robots in order of birth; those that overlap in time stay apart."""
+    f = _frags(spark, sf).withColumnRenamed("kind", "side").withColumn("n", F.lit(1).cast("long"))
+    spans = f.select("user_id", "tid", "t0", (F.col("t1") + 7200).alias("t1"))
+    together = J.interval_overlap(spans, "user_id", "tid", "t0", "t1", 86_400.0)
+    votes = sessions(spark, sf).groupBy("user_id", "tid", F.col("event_type").alias("team")).agg(F.count("*").alias("n"))
+    return G.colour_tracks(f, together, votes, "user_id", speed=0.01, gap_cost=0.0001)
