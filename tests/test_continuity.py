@@ -187,3 +187,24 @@ def test_pair_costs(spark):
     got = {(r.i, r.j): r.weight for r in N.pair_costs(df, "m").collect()}
     near, far = 3.33 + (4.58 - 3.33) * (1.0 - 0.88) / (1.25 - 0.88), 1.76 + (2.63 - 1.76) * (0.5 - 0.41) / (0.62 - 0.41)
     assert got == {(0, 1): -2, (0, 2): -(int(120 * min((9 - far) / far, 3)) + 1)} and near > 1
+
+
+def test_rebinds_choose_by_looks(spark):
+    """Two vanish at the tower; who comes out is told by its looks, if they differ enough."""
+    left = lambda i, t: (1, i, t - 5.0, 0.0, 0.0, t, 95.0, 20.0, None)
+    out_ = lambda i, t: (1, i, t, 105.0, 20.0, t + 3, 500.0, 300.0, None)
+    looks = {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [0.9, 0.1], 4: [0.7, 0.7], 5: [0.95, 0.05], 6: [-1.0, -1.0]}
+
+    def rebound(rows):
+        drawn = spark.createDataFrame(OUTLINES, "order int, structure string, poly array<array<double>>, closed boolean")
+        v = spark.createDataFrame([(1, i, x) for i, x in looks.items()], "m long, tid long, v array<double>")
+        got = C.rebinds(spark.createDataFrame(rows, FRAG), v, "m", C.Gates(max_gap=6.0, speed=50.0, edge=10.0), drawn, Scratch(spark, "t"))
+        return {(r.keep, r.absorbed): (r.best, r.region, r.runner_up is None) for r in got.collect()}
+
+    assert rebound([left(1, 10.0), left(2, 11.0), out_(3, 13.0)]) == {(1, 3): (1, "tower", False)}
+    assert rebound([left(1, 10.0), left(2, 11.0), out_(4, 13.0)]) == {}  # as like one as the other
+    assert rebound([left(1, 10.0), out_(6, 13.0)]) == {}  # like none
+    assert rebound([left(1, 10.0), out_(7, 13.0)]) == {}  # no looks
+    # 3 was absorbed by 1, so 5 is a continuation of 1 too, though 3 ends there last
+    again = (1, 3, 13.0, 105.0, 20.0, 16.0, 95.0, 20.0, None)
+    assert rebound([left(1, 10.0), again, out_(5, 17.0)]) == {(1, 3): (1, "tower", True), (1, 5): (1, "tower", True)}

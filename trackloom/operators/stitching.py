@@ -82,40 +82,56 @@ def handoffs(frags: DataFrame, key: str, gates: Gates, reach: Column, structures
     ``reach``, a Column over ``gap``, and scores as its share. After longer gaps: both
     ends at one structure, in transit time or parked; else both on one spot.
     """
-    if structures is not None:
-        ends = structure_at(structure_at(frags, "x1", "y1", structures, "end_at", gates.edge), "x0", "y0", structures, "start_at", gates.edge)
-        frags = ends.join(F.broadcast(transit_times(structures, gates).withColumnRenamed("structure", "end_at")), "end_at", "left")
-    else:
-        frags = frags.withColumns({"end_at": F.lit(None).cast("string"), "start_at": F.lit(None).cast("string"), "transit": F.lit(None).cast("double")})
-    a = frags.select(key, F.col("tid").alias("a"), F.col("t1").alias("a_t"), F.col("x1").alias("a_x"), F.col("y1").alias("a_y"), F.col("kind").alias("a_kind"), F.col("end_at").alias("a_at"), "transit")
-    b = frags.select(key, F.col("tid").alias("b"), F.col("t0").alias("b_t"), F.col("x0").alias("b_x"), F.col("y0").alias("b_y"), F.col("kind").alias("b_kind"), F.col("start_at").alias("b_at"))
-    fits = (F.col("a") != F.col("b")) & (F.col("a_t") < F.col("b_t")) & S.compatible("a_kind", "b_kind")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.where(fits).withColumns({"gap": F.col("b_t") - F.col("a_t"), "dist": F.hypot(F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y"))})
+    a, b = _ends(frags, key, gates, structures)
+    plain = _measured(within_window(a, b, [key], "a_t", "b_t", gates.max_gap)).where(F.col("gap") <= gates.max_gap).withColumn("budget", reach)
 
     def out(pairs: DataFrame, score: Column, why: str) -> DataFrame:
         return pairs.select(key, "a", "b", F.col("b_t").alias("born"), score.alias("score"), F.lit(why).alias("why"))
 
-    plain = measured(within_window(a, b, [key], "a_t", "b_t", gates.max_gap)).where(F.col("gap") <= gates.max_gap).withColumn("budget", reach)
     found = [out(plain.where("dist <= budget"), F.col("dist") / F.greatest("budget", F.lit(1e-9)), "near")]
-    parked = S.parked("gap", "dist", gates.parked_gap, gates.parked_move)
-    hidden = F.coalesce((F.col("a_at") == F.col("b_at")) & ((F.col("gap") <= F.col("transit")) | parked), F.lit(False))
     if structures is not None:
-        longest = max(gates.hidden, gates.parked_gap)
-        same = within_window(a.withColumn("_at", F.col("a_at")), b.withColumn("_at", F.col("b_at")), [key, "_at"], "a_t", "b_t", longest)
-        far = measured(same).where((F.col("gap") > gates.max_gap) & hidden)
+        far = _behind(a, b, key, gates).where(F.col("gap") > gates.max_gap)
         found.append(out(far, F.least(F.col("dist") / max(gates.parked_move, 1e-9), F.lit(0.99)), "hidden"))
     if gates.still > 0:
         cell = lambda x: F.floor(F.col(x) / gates.still)
         spread = F.explode(F.array(*[F.struct((cell("b_x") + i).alias("i"), (cell("b_y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
         here = a.withColumn("_c", F.struct(cell("a_x").alias("i"), cell("a_y").alias("j")))
-        spot = measured(within_window(here, b.withColumn("_c", spread), [key, "_c"], "a_t", "b_t", gates.still_gap))
-        spot = spot.where((F.col("gap") > gates.max_gap) & (F.col("dist") <= gates.still) & ~hidden)
+        spot = _measured(within_window(here, b.withColumn("_c", spread), [key, "_c"], "a_t", "b_t", gates.still_gap))
+        spot = spot.where((F.col("gap") > gates.max_gap) & (F.col("dist") <= gates.still) & ~_hidden(gates))
         found.append(out(spot, F.col("dist") / gates.still, "still"))
     return reduce(DataFrame.unionByName, found)
 
 
+def _ends(frags: DataFrame, key: str, gates: Gates, structures: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Ends ``a_*`` and starts ``b_*`` of fragments, with the structures they are at."""
+    if structures is not None:
+        ends = structure_at(structure_at(frags, "x1", "y1", structures, "end_at", gates.edge), "x0", "y0", structures, "start_at", gates.edge)
+        frags = ends.join(F.broadcast(transit_times(structures, gates).withColumnRenamed("structure", "end_at")), "end_at", "left")
+    else:
+        frags = frags.withColumns({"end_at": F.lit(None).cast("string"), "start_at": F.lit(None).cast("string"), "transit": F.lit(None).cast("double")})
+    a = frags.select(key, F.col("tid").alias("a"), F.col("t1").alias("a_t"), F.col("x1").alias("a_x"), F.col("y1").alias("a_y"), F.col("kind").alias("a_kind"), F.col("end_at").alias("a_at"), "transit")
+    b = frags.select(key, F.col("tid").alias("b"), F.col("t0").alias("b_t"), F.col("x0").alias("b_x"), F.col("y0").alias("b_y"), F.col("kind").alias("b_kind"), F.col("start_at").alias("b_at"))
+    return a, b
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Pairs of which one ends before the other starts, and kinds agree."""
+    fits = (F.col("a") != F.col("b")) & (F.col("a_t") < F.col("b_t")) & S.compatible("a_kind", "b_kind")
+    return pairs.where(fits).withColumns({"gap": F.col("b_t") - F.col("a_t"), "dist": F.hypot(F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y"))})
+
+
+def _hidden(gates: Gates) -> Column:
+    parked = S.parked("gap", "dist", gates.parked_gap, gates.parked_move)
+    return F.coalesce((F.col("a_at") == F.col("b_at")) & ((F.col("gap") <= F.col("transit")) | parked), F.lit(False))
+
+
+def _behind(a: DataFrame, b: DataFrame, key: str, gates: Gates) -> DataFrame:
+    """Pairs that end and start at one structure, in transit time or parked."""
+    longest = max(gates.hidden, gates.parked_gap)
+    same = within_window(a.withColumn("_at", F.col("a_at")), b.withColumn("_at", F.col("b_at")), [key, "_at"], "a_t", "b_t", longest)
+    return _measured(same).where(_hidden(gates))
+
+
 def claims(edges: DataFrame, key: str, scratch: Scratch, margin: float = 1.5) -> DataFrame:
     """``(key, a, b, score)``: which handoffs hold, of ``edges (key, a, b, born, score)``.
 
@@ -165,3 +181,48 @@ def stitch(frags: DataFrame, key: str, gates: Gates, reach: Column, scratch: Scr
     chains = graph.collapse_chains(links.select(F.struct(key, F.col("b").alias("tid")).alias("src"), F.struct(key, F.col("a").alias("tid")).alias("dst")), scratch)
     found = chains.select(F.col(f"src.{key}").alias(key), F.col("src.tid").alias("tid"), F.col("root.tid").alias("track"))
     return frags.select(key, "tid").join(found, [key, "tid"], "left").select(key, "tid", F.coalesce("track", "tid").alias("track"))
+
+
+def rebinds(frags: DataFrame, looks: DataFrame, key: str, gates: Gates, structures: DataFrame, scratch: Scratch, apart: float = 0.8, margin: float = 1.25) -> DataFrame:
+    """``(key, keep, absorbed, best, region, gap, cos, runner_up)``: fragments that went
+    on behind a structure, chosen among all that vanished there by their looks.
+
+    A fragment joins the one of least cosine distance, unless that is beyond ``apart``
+    or a runner-up is within ``margin`` times it. What has itself been absorbed is no
+    candidate; ``keep`` is the first fragment of the chain. ``looks (key, tid, v)``:
+    mean vectors; fragments without stay out. Kinds agree, as in :func:`handoffs`.
+
+    Whether a candidate was absorbed is known once it is settled, and candidates were
+    born earlier: a round settles every fragment whose candidates are, in all matches.
+    """
+    a, b = _ends(frags, key, gates, structures)
+    near = _behind(a, b, key, gates).where(F.col("gap") <= gates.parked_gap)
+    look = looks.select(key, "tid", S.unit("v").alias("_v"))
+    seen = near.join(look.select(key, F.col("tid").alias("a"), F.col("_v").alias("_p")), [key, "a"]).join(look.select(key, F.col("tid").alias("b"), F.col("_v").alias("_q")), [key, "b"])
+    edges = scratch.keep(seen.select(key, "a", "b", F.col("a_at").alias("region"), "gap", (F.lit(1.0) - S.dot("_p", "_q")).alias("cos")), "rebinds")
+    open_ = edges.select(key, F.col("b").alias("tid")).distinct()
+    said, k = None, 0
+    rank = F.struct("cos", F.col("a").alias("best"), "gap", "region")
+    while True:
+        state = edges.join(open_.select(key, F.col("tid").alias("b")), [key, "b"], "left_semi")
+        state = state.join(open_.select(key, F.col("tid").alias("a"), F.lit(True).alias("waits")), [key, "a"], "left")
+        if said is not None:
+            gone = said.where("best is not null").select(key, F.col("b").alias("a"), F.lit(True).alias("absorbed"))
+            state = state.join(gone, [key, "a"], "left")
+        else:
+            state = state.withColumn("absorbed", F.lit(None).cast("boolean"))
+        free = F.sort_array(F.collect_list(F.when(F.col("absorbed").isNull(), rank)))  # those of one structure and window
+        g = state.groupBy(key, "b").agg(F.coalesce(F.bool_or("waits"), F.lit(False)).alias("waits"), free.alias("free")).where("not waits")
+        first, runner = F.get("free", F.lit(0)), F.get("free", F.lit(1))["cos"]
+        holds = first.isNotNull() & (first["cos"] <= apart) & F.coalesce(runner >= first["cos"] * margin, F.lit(True))
+        done = g.select(key, "b", F.when(holds, first["best"]).alias("best"), first["region"].alias("region"), first["gap"].alias("gap"), first["cos"].alias("cos"), runner.alias("runner_up"))
+        done = scratch.keep(done, f"rebinds-{k}")
+        said = done if said is None else said.unionByName(done)
+        open_ = scratch.keep(open_.join(done.select(key, F.col("b").alias("tid")), [key, "tid"], "left_anti"), f"rebinds-open-{k}")
+        k += 1
+        if not open_.limit(1).count():
+            break
+    held = scratch.keep(said.where("best is not null"), "rebound")
+    chains = graph.collapse_chains(held.select(F.struct(key, F.col("b").alias("tid")).alias("src"), F.struct(key, F.col("best").alias("tid")).alias("dst")), scratch)
+    root = chains.select(F.col(f"src.{key}").alias(key), F.col("src.tid").alias("b"), F.col("root.tid").alias("keep"))
+    return held.join(root, [key, "b"]).select(key, "keep", F.col("b").alias("absorbed"), "best", "region", "gap", "cos", "runner_up")

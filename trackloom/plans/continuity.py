@@ -275,3 +275,29 @@ def coloured_tracks(spark: SparkSession, sf: str) -> DataFrame:
     together = J.interval_overlap(spans, "user_id", "tid", "t0", "t1", 86_400.0)
     votes = sessions(spark, sf).groupBy("user_id", "tid", F.col("event_type").alias("team")).agg(F.count("*").alias("n"))
     return G.colour_tracks(f, together, votes, "user_id", speed=0.01, gap_cost=0.0001)
+
+
+# -- rebinding behind structures ----------------------------------------------
+_LOOKS = 8
+
+
+@query(f"""
+WITH RECURSIVE {_HANDOFFS},
+look AS (SELECT tid, list_transform(range(1, {_LOOKS} + 1), lambda i: embedding[i]::DOUBLE) AS v FROM f0 JOIN embeddings ON vec_id = tid % (SELECT count(*) FROM embeddings)),
+unit AS (SELECT tid, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM look),
+pair AS (SELECT h.user_id, h.a, h.b, h.born, h.gap, h.end_at AS region, 1 - list_inner_product(p.v, q.v) AS cos FROM h JOIN unit p ON p.tid = h.a JOIN unit q ON q.tid = h.b WHERE hidden AND gap <= {GATES.parked_gap}),
+wish AS MATERIALIZED (SELECT user_id, b, row_number() OVER (PARTITION BY user_id ORDER BY born, b) AS n, list({{'cos': cos, 'a': a, 'gap': gap, 'region': region}} ORDER BY cos, a) AS l FROM pair GROUP BY user_id, b, born),
+step AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS gone, NULL::BIGINT AS b, NULL::BIGINT AS best, NULL::VARCHAR AS region, NULL::DOUBLE AS gap, NULL::DOUBLE AS cos, NULL::DOUBLE AS runner_up FROM wish WHERE n = 1
+ UNION ALL SELECT user_id, n, CASE WHEN ok THEN list_append(gone, b) ELSE gone END, b, CASE WHEN ok THEN free[1].a END, free[1].region, free[1].gap, free[1].cos, free[2].cos FROM (
+  SELECT *, len(free) > 0 AND free[1].cos <= 0.8 AND (len(free) = 1 OR free[2].cos >= 1.25 * free[1].cos) AS ok FROM (
+   SELECT w.user_id, w.n, s.gone, w.b, list_filter(w.l, lambda c: NOT list_contains(s.gone, c.a)) AS free FROM step s JOIN wish w ON w.user_id = s.user_id AND w.n = s.n + 1))),
+held AS (SELECT * FROM step WHERE best IS NOT NULL),
+walk AS (SELECT b, best AS place FROM held UNION ALL SELECT walk.b, held.best FROM walk JOIN held ON held.b = walk.place)
+SELECT user_id, (SELECT arg_min(w.place, o.t0) FROM walk w JOIN f0 o ON o.tid = w.place WHERE w.b = held.b)::BIGINT AS keep, b::BIGINT AS absorbed, best::BIGINT AS best, region, round(gap, 6) AS gap, round(cos, 6) AS cos, round(runner_up, 6) AS runner_up FROM held""")
+def rebound_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments that went on behind a structure, chosen by their looks."""
+    f, e = _frags(spark, sf), table(spark, sf, "embeddings")
+    n = e.count()
+    looks = f.select("user_id", "tid", (F.col("tid") % n).alias("vec_id")).join(e.select("vec_id", F.slice("embedding", 1, _LOOKS).alias("v")), "vec_id").drop("vec_id")
+    out = C.rebinds(f, looks, "user_id", GATES, structures(spark), Scratch(spark, "rebinds"))
+    return out.withColumns({c: F.round(c, 6) for c in ("gap", "cos", "runner_up")})
