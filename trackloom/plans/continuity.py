@@ -13,6 +13,7 @@ from trackloom.operators import heads as H
 from trackloom.operators import joins as J
 from trackloom.operators import naming as N
 from trackloom.operators import stitching as C
+from trackloom.operators import tracks as T
 from trackloom.operators import validity as V
 from trackloom.operators import windows as W
 from trackloom.plans.catalog import _ZERO, ORACLES, QUERIES, query
@@ -301,3 +302,18 @@ def rebound_tracks(spark: SparkSession, sf: str) -> DataFrame:
     looks = f.select("user_id", "tid", (F.col("tid") % n).alias("vec_id")).join(e.select("vec_id", F.slice("embedding", 1, _LOOKS).alias("v")), "vec_id").drop("vec_id")
     out = C.rebinds(f, looks, "user_id", GATES, structures(spark), Scratch(spark, "rebinds"))
     return out.withColumns({c: F.round(c, 6) for c in ("gap", "cos", "runner_up")})
+
+
+# -- leaps inside joined tracks -----------------------------------------------
+@query(f"""
+WITH d AS (SELECT event_id, user_id, user_id % 10 AS match, floor(t)::BIGINT AS f, tid, t, x, y AS y2, 10 + y / 10 AS w FROM {_S}),
+l AS (SELECT *, t - lag(t) OVER o AS dt, sqrt((x - lag(x) OVER o) ** 2 + (y2 - lag(y2) OVER o) ** 2) / ((w + lag(w) OVER o) / 2) AS leap, min({{'f': f, 'd': event_id}}) OVER (PARTITION BY user_id) AS first FROM d WINDOW o AS (PARTITION BY user_id ORDER BY t, x, event_id)),
+c AS (SELECT *, coalesce(dt > 0 AND leap > greatest(9, dt * 0.0005), false) AS cut FROM l), n AS (SELECT *, sum(cut::INT) OVER (PARTITION BY user_id ORDER BY t, x, event_id) AS n FROM c),
+r AS (SELECT user_id, n, row_number() OVER (PARTITION BY match ORDER BY first, user_id, n) + (SELECT max(greatest(tid, user_id)) FROM d e WHERE e.match = n.match) AS fresh FROM n WHERE cut)
+SELECT event_id, coalesce(fresh, tid)::BIGINT AS new_tid, coalesce(fresh, n.user_id)::BIGINT AS track FROM n LEFT JOIN r ON r.user_id = n.user_id AND r.n = n.n""")
+def severed_leaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Joined tracks cut at leaps of their box, with fresh ids per match."""
+    half = (10 + F.col("y") / 10) / 2
+    d = sessions(spark, sf).select("event_id", "user_id", (F.col("user_id") % 10).alias("match"), F.floor("t").alias("f"), F.col("event_id").alias("d"), "tid", "t", (F.col("x") - half).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") + half).alias("x2"), F.col("y").alias("y2"))
+    joined = d.select("match", "tid", F.col("user_id").alias("track")).distinct()
+    return T.sever_leaps(d, joined, "match", per_second=0.0005, least=9.0).select("event_id", "new_tid", "track")
