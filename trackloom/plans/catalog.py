@@ -618,19 +618,39 @@ def tiering(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- order-dependent operators: tested against plain Python -------------------
-@query()
+#: Rows of each user in order, and a step from one to the next.
+_N = f"e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM {_E})"
+
+
+@query(f"""
+WITH RECURSIVE {_N}, s AS (SELECT user_id, n, t AS last, true AS kept FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.n, CASE WHEN e.t - s.last >= 3600 THEN e.t ELSE s.last END, e.t - s.last >= 3600 FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT event_id, user_id, event_type, value, t FROM e JOIN s USING (user_id, n) WHERE kept""")
 def greedy_thin(spark: SparkSession, sf: str) -> DataFrame:
     """Rows at least an hour after the last one kept."""
     return W.thin(_events(spark, sf), ["user_id"], "t", ["t", "event_id"], 3600.0)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_N}, u AS (SELECT user_id, list(t ORDER BY n) AS ts, count(*) AS size FROM e GROUP BY user_id),
+s AS (SELECT user_id, CASE WHEN size <= 5 THEN range(1, size + 1) ELSE [1::BIGINT, size] END AS picked FROM u
+ UNION ALL SELECT user_id, list_append(picked, -far.m) FROM (SELECT s.user_id, s.picked, list_max(list_transform(range(1, size + 1), lambda i: {{'d': CASE WHEN list_contains(picked, i) THEN -1 ELSE list_min(list_transform(picked, lambda j: abs(ts[i] - ts[j]))) END, 'm': -i}})) AS far
+  FROM s JOIN u ON u.user_id = s.user_id AND u.size > 5 WHERE len(s.picked) < 5)),
+l AS (SELECT user_id, arg_max(picked, len(picked)) AS picked FROM s GROUP BY user_id)
+SELECT event_id, user_id, event_type, value, t FROM e JOIN l USING (user_id) WHERE list_contains(picked, n)""")
 def farthest_point(spark: SparkSession, sf: str) -> DataFrame:
     """Five rows per track spread over time."""
     return O.spread_picks(_events(spark, sf), ["user_id"], "t", ["t", "event_id"], 5)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE d AS (SELECT user_id, floor(t / 86400)::BIGINT AS day, list(DISTINCT event_type) AS kinds FROM {_E} GROUP BY ALL),
+u AS (SELECT user_id, list(day ORDER BY day) AS days, list(kinds ORDER BY day) AS sets, list_distinct(flatten(list(kinds))) AS every FROM d GROUP BY user_id),
+s AS (SELECT user_id, 0 AS k, []::BIGINT[] AS taken, every AS rest FROM u
+ UNION ALL SELECT user_id, k + 1, list_append(taken, -best.m), list_filter(rest, lambda x: NOT list_contains(sets[-best.m], x)) FROM (
+  SELECT s.*, u.sets, list_max(list_transform(range(1, len(sets) + 1), lambda i: {{'g': CASE WHEN list_contains(taken, i) THEN -1 ELSE len(list_intersect(sets[i], rest)) END, 'm': -i}})) AS best FROM s JOIN u ON u.user_id = s.user_id WHERE s.k < 3 AND len(s.rest) > 0) WHERE best.g > 0),
+l AS (SELECT user_id, arg_max(taken, k) AS taken FROM s GROUP BY user_id)
+SELECT user_id, days[taken[i + 1]] AS day, i::INT AS pick FROM l JOIN u USING (user_id), unnest(range(len(taken))) r(i)""")
 def set_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Days that together show the most kinds of events, per user."""
     d = _events(spark, sf).select("user_id", F.floor(F.col("t") / 86400).alias("day"), "event_type").distinct()
@@ -644,7 +664,12 @@ def rts_smooth(spark: SparkSession, sf: str) -> DataFrame:
     return W.smooth_tracks(d, ["user_id"], gap=2.0)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM {_E}),
+s AS (SELECT user_id, n, [t] AS taken, true AS kept FROM e WHERE n = 1
+ UNION ALL SELECT user_id, n, CASE WHEN ok THEN list_append(taken, t) ELSE taken END, ok FROM (
+  SELECT e.user_id, e.n, e.t, s.taken, len(s.taken) < 3 AND list_min(list_transform(s.taken, lambda x: abs(x - e.t))) >= 86400 AS ok FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, user_id, event_type, value, t FROM e JOIN s USING (user_id, n) WHERE kept""")
 def separated_best(spark: SparkSession, sf: str) -> DataFrame:
     """Three best rows per track, a day apart."""
     return O.greedy_apart(_events(spark, sf), ["user_id"], "t", ["value", "event_id"], [False, True], 3, 86_400.0)
