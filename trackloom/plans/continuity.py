@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
+from trackloom.operators import alignment as L
 from trackloom.operators import assignment as G
 from trackloom.operators import folds as K
 from trackloom.operators import heads as H
@@ -317,3 +318,29 @@ def severed_leaps(spark: SparkSession, sf: str) -> DataFrame:
     d = sessions(spark, sf).select("event_id", "user_id", (F.col("user_id") % 10).alias("match"), F.floor("t").alias("f"), F.col("event_id").alias("d"), "tid", "t", (F.col("x") - half).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") + half).alias("x2"), F.col("y").alias("y2"))
     joined = d.select("match", "tid", F.col("user_id").alias("track")).distinct()
     return T.sever_leaps(d, joined, "match", per_second=0.0005, least=9.0).select("event_id", "new_tid", "track")
+
+
+# -- placing a snippet in a clip ----------------------------------------------
+_STEPS = f"c AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, [x, y, hour_, 40.0] AS v FROM (SELECT *, (floor(t / 3600)::BIGINT % 24)::DOUBLE AS hour_ FROM {_P}))"
+
+
+@query(f"""
+WITH {_STEPS}, s AS (SELECT clip, clip * 2 AS snippet, i - 15 AS i, list_transform(v, lambda a: a + (i % 3)) AS v FROM c WHERE i BETWEEN 15 AND 26 UNION ALL SELECT clip - 1, clip * 2 - 1, i - 15, v FROM c WHERE i BETWEEN 15 AND 26),
+cc AS (SELECT clip, i, list_transform(v, lambda a: a - list_avg(v)) AS v FROM c), ss AS (SELECT clip, snippet, i, list_transform(v, lambda a: a - list_avg(v)) AS v FROM s),
+w AS (SELECT snippet, count(*) AS n, sum(list_inner_product(v, v)) AS power FROM ss GROUP BY snippet HAVING count(*) >= 10),
+h AS (SELECT ss.clip, ss.snippet, cc.i - ss.i AS o, count(*) AS m, sum(list_inner_product(ss.v, cc.v)) AS x, sum(list_inner_product(cc.v, cc.v)) AS held FROM ss JOIN cc ON cc.clip = ss.clip GROUP BY ALL),
+p AS (SELECT clip, snippet, o, round(x / sqrt(power * held), 9) AS score FROM h JOIN w USING (snippet) WHERE m = n AND o >= 0),
+b AS (SELECT clip, snippet, arg_max(o, (score, -o)) AS o, max(score) AS score FROM p GROUP BY ALL),
+r AS (SELECT b.clip, b.snippet, b.o, b.score, coalesce((SELECT max(p.score) FROM p WHERE p.clip = b.clip AND p.snippet = b.snippet AND abs(p.o - b.o) > 2), 0) AS second FROM b)
+SELECT clip, snippet, o::BIGINT AS "offset", round(score, 6) AS score, round(second, 6) AS runner_up, score >= 0.9 AND score - second >= 0.05 AS found FROM r""")
+def located_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where twelve steps of a user, and of the next one, lie in the user's sequence."""
+    p = places(spark, sf)
+    n = (F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1).cast("long")
+    hour = (F.floor(F.col("t") / 3600) % 24).cast("double")
+    c = p.select(F.col("user_id").alias("clip"), n.alias("i"), F.array("x", "y", hour, F.lit(40.0)).alias("v"))
+    part = c.where(F.col("i").between(15, 26))
+    own = part.select("clip", (F.col("clip") * 2).alias("snippet"), (F.col("i") - 15).alias("i"), F.transform("v", lambda a: a + F.col("i") % 3).alias("v"))
+    other = part.select((F.col("clip") - 1).alias("clip"), (F.col("clip") * 2 - 1).alias("snippet"), (F.col("i") - 15).alias("i"), "v")
+    out = L.located(c, own.unionByName(other), apart=2, score=0.9, margin=0.05)
+    return out.withColumns({"score": F.round("score", 6), "runner_up": F.round("runner_up", 6)})
