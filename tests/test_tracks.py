@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import tracks as T
 from trackloom.operators import windows as W
+from trackloom.plans.runtime import Scratch
 
 
 def test_side_change(spark):
@@ -121,3 +122,25 @@ def test_holds_and_measures(spark):
     d = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "tid int, f int")
     got = T.retention(d, d.where("f = 1"), d.where("f < 3"), 0.5)
     assert {x.status: x.seconds for x in got.collect()} == {"named": 0.5, "present": 0.5, "missing": 0.5}
+
+
+def test_one_segmentation_for_all(spark):
+    """Side, looks and votes cut in turn; votes follow the piece of their time."""
+    rows = [(1, float(t), "red" if t < 30 else "blue", float(t)) for t in range(60)] + [(2, float(t), "red", 0.0) for t in range(60)] + [(3, float(t), "red", 500.0) for t in range(9)]
+    votes = [(2, float(t), "A" if t < 20 else "B") for t in range(0, 60, 2)] + [(1, 5.0, "C"), (1, 45.0, "D"), (3, 1.0, "A")]
+    looks = [(1, float(t), [1.0, 0.0]) for t in range(60)] + [(2, float(t), [1.0, 0.0] if t < 40 else [0.0, 1.0]) for t in range(60)]
+    s = spark.createDataFrame(rows, "tid long, t double, side string, x double").repartition(3)
+    v = spark.createDataFrame(votes, "tid long, t double, team string")
+    w = spark.createDataFrame(looks, "tid long, t double, vector array<double>")
+    d, said = T.prepared(s, v, Scratch(spark, "t"), w, inside=F.col("x") < 400, spans=F.array(F.struct(F.lit(0.0).alias("a"), F.lit(57.5).alias("b"))))
+    pieces = {}
+    for r in d.collect():
+        pieces.setdefault((r.source, r.tid), []).append(r.t)
+    found = {(k[0], min(ts), max(ts)) for k, ts in pieces.items()}
+    assert found == {(1, 0.0, 29.0), (1, 30.0, 57.0), (2, 0.0, 20.0), (2, 21.0, 39.0), (2, 40.0, 57.0)}
+    of = {(k, t): tid for (k, tid), ts in pieces.items() for t in ts}
+    source = {(t, team): k for k, t, team in votes}
+    for r in said.where("t <= 57 and team != 'A' or t < 21 and tid != 3").collect():
+        k = source[r.t, r.team] if (r.t, r.team) in source else 2
+        assert r.tid == of[k, r.t]
+    assert d.columns == [*s.columns, "source"] and len({tid for _, tid in pieces}) == 5

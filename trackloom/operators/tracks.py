@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as S
 from trackloom.operators import aggregates as A
+from trackloom.operators import filters as P
 from trackloom.operators import joins as J
 from trackloom.operators import windows as W
 from trackloom.operators.graph import connected_components
@@ -119,6 +120,51 @@ def sever_leaps(dets: DataFrame, joined: DataFrame, key: str, per_second: float
     return out.select(*plain, F.coalesce("_id", "tid").alias("new_tid"), F.coalesce("_id", "track").alias("track")).unionByName(none.select(*plain, F.col("tid").alias("new_tid"), F.col("tid").alias("track")))
 
 
+def split_at(samples: DataFrame, cuts: DataFrame, others: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``samples`` and all ``others`` (each with tid and t) cut alike: what lies behind a
+    track's n-th cut gets a fresh id, counted on from the largest in order of (tid, n).
+    So votes and vectors go to the piece that holds their time."""
+    ranked = cuts.select("tid", "cut").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("tid").orderBy("cut")))
+    top = samples.agg(F.coalesce(F.max("tid"), F.lit(0)).alias("_top"))
+    fresh = W.numbered(ranked.select("tid", "_n"), ["tid", "_n"], "_rank").join(F.broadcast(top), F.lit(True)).select("tid", F.col("_n").alias("segment"), (F.col("_top") + F.col("_rank")).cast("long").alias("_id"))
+
+    def apart(d: DataFrame) -> DataFrame:
+        cut = apply_cuts(d, cuts.select("tid", "cut")).join(fresh, ["tid", "segment"], "left")
+        return cut.withColumn("tid", F.coalesce("_id", F.col("tid").cast("long"))).select(*d.columns)
+
+    return apart(samples), {k: apart(d) for k, d in others.items()}
+
+
+def prepared(samples: DataFrame, votes: DataFrame, scratch: Scratch, vectors: DataFrame | None = None, inside: Column | None = None, spans: Column | None = None, side: dict | None = None, looks: dict | None = None, vote: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, votes) as all later steps share them: one segmentation of tracks.
+
+    Rows outside the trusted ``spans`` of the view and those not ``inside`` the field go
+    first, before they can take part in any track. Then tracks are cut where their side
+    changes, where their looks do (``vectors (tid, t, vector)``), and where their votes
+    ``(tid, t, team)`` do; each cut is judged on the pieces the ones before left, and
+    votes and vectors follow their piece. ``samples (tid, t, side, ..)`` keep all their
+    columns and their first id as ``source``. ``side``, ``looks`` and ``vote`` are options
+    of the three cuts. Every step is a written table.
+    """
+    d = samples.withColumn("source", F.col("tid"))
+    if spans is not None:
+        d = P.keep_in_spans(d, spans, "t")
+    if inside is not None:
+        d = d.where(inside)
+    d = scratch.keep(d, "prepared-0")
+    others = {"votes": votes} | ({"vectors": vectors} if vectors is not None else {})
+    steps = [lambda d, o: side_change_cuts(d, **(side or {}))]
+    if vectors is not None:
+        steps.append(lambda d, o: appearance_cuts(o["vectors"], **(looks or {"threshold": 0.25})))
+    steps.append(lambda d, o: vote_change_cuts(o["votes"], **(vote or {})))
+    for k, step in enumerate(steps, 1):
+        cuts = scratch.keep(step(d, others).select("tid", "cut"), f"cuts-{k}")
+        d, others = split_at(d, cuts, others)
+        d = scratch.keep(d, f"prepared-{k}")
+        others = {n: scratch.keep(o, f"{n}-{k}") for n, o in others.items()}
+    return d, others["votes"]
+
+
 def crossing_cuts(samples: DataFrame, labels: DataFrame, widths: float = 1.5) -> DataFrame:
     """Tracks of one pin that come closer than ``widths`` box widths at shared times:
     both are cut at the middle (index n // 2) of the close times strictly between

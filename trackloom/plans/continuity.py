@@ -344,3 +344,36 @@ def located_snippets(spark: SparkSession, sf: str) -> DataFrame:
     other = part.select((F.col("clip") - 1).alias("clip"), (F.col("clip") * 2 - 1).alias("snippet"), (F.col("i") - 15).alias("i"), "v")
     out = L.located(c, own.unionByName(other), apart=2, score=0.9, margin=0.05)
     return out.withColumns({"score": F.round("score", 6), "runner_up": F.round("runner_up", 6)})
+
+
+# -- one segmentation for all later steps -------------------------------------
+def _split(k: int, name: str, cols: str) -> str:
+    """A table cut at ``c{k}``, with the ids of ``i{k}``."""
+    return f"""{name}{k} AS (SELECT {cols}, coalesce(i.id, d.tid)::BIGINT AS tid FROM (SELECT *, (SELECT count(*) FROM c{k} WHERE c{k}.tid = {name}{k - 1}.tid AND c{k}.cut <= {name}{k - 1}.t) AS n FROM {name}{k - 1}) d LEFT JOIN i{k} i ON i.tid = d.tid AND i.n = d.n)"""
+
+
+def _ids(k: int) -> str:
+    return f"""i{k} AS (SELECT tid, n, row_number() OVER (ORDER BY tid, n) + (SELECT max(tid) FROM d{k - 1}) AS id FROM (SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY cut) AS n FROM c{k}))"""
+
+
+@query(f"""
+WITH d0 AS (SELECT event_id, user_id AS source, user_id AS tid, t, event_type AS side FROM {_P} WHERE x < 200 AND (t <= 900000 OR t >= 1000000)),
+v0 AS (SELECT user_id AS tid, t, event_type AS team FROM {_P} WHERE event_type IN ('click', 'purchase', 'view')),
+sb AS (SELECT tid, floor(t / 172800)::BIGINT AS bin, side, count(*) AS n FROM d0 GROUP BY ALL), sk AS (SELECT *, sum(n) OVER (PARTITION BY tid, bin) AS s, row_number() OVER (PARTITION BY tid, bin ORDER BY n DESC, side) AS r FROM sb),
+sp AS (SELECT tid, bin, side, lag(side) OVER (PARTITION BY tid ORDER BY bin) AS was FROM sk WHERE r = 1 AND s >= 2 AND n >= 0.5 * s),
+sq AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> side THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY bin) AS run FROM sp), sr AS (SELECT tid, run, min(side) AS side, min(bin) AS b0, max(bin) AS b1 FROM sq GROUP BY ALL HAVING max(bin) - min(bin) + 1 >= 2),
+sl AS (SELECT *, lag(side) OVER (PARTITION BY tid ORDER BY b0) AS ls, lag(b1) OVER (PARTITION BY tid ORDER BY b0) AS lb FROM sr), c1 AS (SELECT DISTINCT tid, (lb + 1 + b0) / 2.0::DOUBLE * 172800 AS cut FROM sl WHERE ls <> side),
+{_ids(1)}, {_split(1, "d", "event_id, source, t")}, {_split(1, "v", "team, t")},
+vc AS (SELECT tid, floor(t / 259200)::BIGINT AS bin, team, count(*) AS n, min(t) AS f FROM v1 GROUP BY ALL), vv AS (SELECT tid, bin, arg_max(team, (n, -f, team)) AS winner FROM vc GROUP BY ALL HAVING sum(n) >= 2),
+vl AS (SELECT *, lag(winner) OVER w AS pw, lag(bin) OVER w AS pb FROM vv WINDOW w AS (PARTITION BY tid ORDER BY bin)), c2 AS (SELECT DISTINCT tid, (pb + bin) / 2.0::DOUBLE * 259200 + 129600 AS cut FROM vl WHERE pw <> winner),
+{_ids(2)}, {_split(2, "d", "event_id, source")}
+SELECT event_id, source, tid FROM d2""")
+def prepared_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters, then cuts by side and by votes, each on what the one before left."""
+    e = places(spark, sf)
+    d = e.select("event_id", F.col("user_id").alias("tid"), "t", F.col("event_type").alias("side"), "x")
+    v = e.where("event_type in ('click', 'purchase', 'view')").select(F.col("user_id").alias("tid"), "t", F.col("event_type").alias("team"))
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1.0, 900_000.0), (1_000_000.0, 1e12))])
+    side, vote = {"width": 172_800.0, "least": 2, "pure": 0.5, "run": 2}, {"width": 259_200.0, "least": 2}
+    out, _ = T.prepared(d, v, Scratch(spark, "prepared"), inside=F.col("x") < 200, spans=spans, side=side, vote=vote)
+    return out.select("event_id", "source", "tid")
