@@ -132,15 +132,15 @@ def test_one_segmentation_for_all(spark):
     s = spark.createDataFrame(rows, "tid long, t double, side string, x double").repartition(3)
     v = spark.createDataFrame(votes, "tid long, t double, team string")
     w = spark.createDataFrame(looks, "tid long, t double, vector array<double>")
-    d, said = T.prepared(s, v, Scratch(spark, "t"), w, inside=F.col("x") < 400, spans=F.array(F.struct(F.lit(0.0).alias("a"), F.lit(57.5).alias("b"))))
+    d, said = T.prepared(s, v, Scratch(spark, "t"), w, inside=F.col("x") < 400, spans=F.array(F.struct(F.lit(0.0).alias("a"), F.lit(57.5).alias("b"))), side={"least": 2})
     pieces = {}
     for r in d.collect():
         pieces.setdefault((r.source, r.tid), []).append(r.t)
     found = {(k[0], min(ts), max(ts)) for k, ts in pieces.items()}
-    assert found == {(1, 0.0, 29.0), (1, 30.0, 57.0), (2, 0.0, 20.0), (2, 21.0, 39.0), (2, 40.0, 57.0)}
+    # the vote window from 18 on has more for B
+    assert found == {(1, 0.0, 29.0), (1, 30.0, 57.0), (2, 0.0, 17.0), (2, 18.0, 39.0), (2, 40.0, 57.0)}
     of = {(k, t): tid for (k, tid), ts in pieces.items() for t in ts}
-    source = {(t, team): k for k, t, team in votes}
-    for r in said.where("t <= 57 and team != 'A' or t < 21 and tid != 3").collect():
-        k = source[r.t, r.team] if (r.t, r.team) in source else 2
-        assert r.tid == of[k, r.t]
+    mine = {(r.tid, r.t) for r in said.where("team = 'B'").collect()}
+    assert mine == {(of[2, float(t)] if t < 58 else of[2, 57.0], float(t)) for t in range(20, 60, 2)}
+    assert {(r.tid, r.team) for r in said.where("team in ('C', 'D')").collect()} == {(of[1, 5.0], "C"), (of[1, 45.0], "D")}
     assert d.columns == [*s.columns, "source"] and len({tid for _, tid in pieces}) == 5
