@@ -305,5 +305,7 @@ def test_smoothing_is_the_posterior(spark):
 
 
 def test_known_orders(spark):
+    minus = one(spark, a=O.shuffled(F.lit(9), F.lit(-1)), b=O.shuffled(F.lit(9), F.lit((1 << 32) - 1)))
+    assert minus.a == minus.b and sorted(minus.a) == list(range(9))
     r = one(spark, a=O.shuffled(F.lit(5), F.lit(1)), b=O.shuffled(F.lit(5), F.lit(0)), c=O.shuffled(F.lit(1), F.lit(7)), d=O.shuffled(F.lit(0), F.lit(7)))
     assert (r.a, r.b, r.c, r.d) == ([0, 1, 2, 4, 3], [4, 0, 1, 2, 3], [0], [])

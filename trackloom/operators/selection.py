@@ -185,10 +185,11 @@ GENERATOR = (1664525, 1013904223, 1 << 32)
 
 def shuffled(length, seed) -> Column:
     """The numbers below ``length`` in the order that ``seed`` gives them: from the last
-    place down, each is exchanged with the place that the next random number names."""
+    place down, each is exchanged with the place that the next random number names. A seed
+    counts as 32 bits without a sign, so -1 is the largest."""
     times, plus, modulus = GENERATOR
     n = F.col(length) if isinstance(length, str) else length
-    begin = F.struct(((F.col(seed) if isinstance(seed, str) else seed).cast("long") % modulus).alias("random"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("order"))
+    begin = F.struct((F.pmod((F.col(seed) if isinstance(seed, str) else seed).cast("long"), F.lit(1 << 32)) % modulus).alias("random"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("order"))
 
     def exchange(a: Column, place: Column) -> Column:
         random = (a["random"] * times + plus) % modulus
