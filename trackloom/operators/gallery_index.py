@@ -23,7 +23,7 @@ from trackloom.functions import scalars as S
 from trackloom.plans.runtime import Scratch, ship
 
 #: Bytes of centres and of group descriptions that go to every task; groups at most.
-CENTRE_BYTES, DESCRIBED, GROUPS = 16_000_000, 2_000_000, 4096
+CENTRE_BYTES, DESCRIBED, GROUPS = 16_000_000, 200_000, 4096
 QUERIES, ROWS, PROBE = 512, 2048, 4
 SLACK = 1e-7
 
@@ -85,7 +85,7 @@ def build(prototypes: DataFrame, scratch: Scratch, groups: int | None = None, ro
     bounded): a sample that decides speed, never results."""
     spark = prototypes.sparkSession
     ship(spark)
-    said = prototypes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).orderBy("label").collect()
+    said = prototypes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).orderBy("label").limit(DESCRIBED + 1).collect()
     labels, n, dim = [r["label"] for r in said], sum(r["n"] for r in said), max((r["dim"] for r in said), default=1)
     if len(labels) > DESCRIBED:
         raise ValueError("an index describes each label of a group: too many labels")
