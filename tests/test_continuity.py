@@ -82,6 +82,17 @@ def test_handoffs_behind_structures(spark):
     assert found(spark, [at_line, (2, 16.1, 304.0, 20.0, 18.0, 0.0, 0.0, "red")]) == {}
 
 
+@pytest.mark.parametrize("corners", [400, 1])
+def test_nearest_structure(spark, monkeypatch, corners):
+    """Outlines as expressions and as one row say the same."""
+    monkeypatch.setattr(C, "CORNERS", corners)
+    drawn = spark.createDataFrame(OUTLINES, "order int, structure string, poly array<array<double>>, closed boolean")
+    points = {1: (200.0, 25.0), 2: (95.0, 25.0), 3: (300.0, 60.0), 4: (604.0, 399.0), 5: (604.0, 420.0), 6: (450.0, 25.0)}
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()], "i int, x double, y double")
+    got = {r.i: r.at_ for r in C.structure_at(df, "x", "y", drawn, "at_", 10.0).collect()}
+    assert got == {1: "tower", 2: "tower", 3: "tower", 4: "line", 5: None, 6: None}
+
+
 def test_tracks_of_chains(spark):
     rows = [(1, i, float(10 * i), 0.0, 0.0, 10.0 * i + 8, 0.0, 0.0, None) for i in range(5)] + [(1, 9, 10.0, 900.0, 0.0, 18.0, 900.0, 0.0, None), (2, 0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, None)]
     out = C.stitch(spark.createDataFrame(rows, FRAG), "m", C.Gates(max_gap=6.0), F.lit(50.0), Scratch(spark, "t"))

@@ -52,10 +52,33 @@ def fragments(samples: DataFrame, key: str, track: str, t: str, x: str, y: str,
     return ends.join(voted, [key, track], "left").select(key, F.col(track).alias("tid"), *one, "kind")
 
 
+#: Corners of all outlines that are written out as expressions; more are folded per row.
+CORNERS = 400
+
+
+def _drawn_distance(x: str, y: str, poly: list, closed: bool) -> Column:
+    """Distance to an outline of known corners, 0 from inside a closed one."""
+    px, py, inside, far = F.col(x), F.col(y), F.lit(False), []
+    sides = list(zip(poly, [*poly[1:], poly[0]], strict=True))
+    for (ax, ay), (bx, by) in sides if closed else sides[:-1]:
+        dx, dy = bx - ax, by - ay
+        if dy:
+            inside = inside != (((F.lit(ay) > py) != (F.lit(by) > py)) & (px < dx * (py - ay) / dy + ax))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else F.lit(0.0)
+        far.append(F.hypot(px - (ax + t * dx), py - (ay + t * dy)))
+    least = F.least(*far) if len(far) > 1 else far[0]
+    return F.when(inside, 0.0).otherwise(least) if closed else least
+
+
 def structure_at(points: DataFrame, x: str, y: str, structures: DataFrame, name: str, edge: float) -> DataFrame:
     """``points`` with the nearest structure (0 from inside a closed one) within
     ``edge``; the first by ``order`` on ties. ``structures (order, structure, poly,
-    closed)`` is drawn by hand, a few outlines per camera, and folded into one row."""
+    closed)`` is drawn by hand, a few outlines per camera: up to ``CORNERS`` corners are
+    read and written out as plain expressions, more are folded into one row."""
+    rows = structures.select("order", "structure", "poly", "closed").orderBy("order").limit(CORNERS).collect()
+    if len(rows) < CORNERS and 0 < sum(len(r["poly"]) for r in rows) <= CORNERS and all(len(r["poly"]) > 1 for r in rows):
+        near = F.array_min(F.array(*[F.struct(_drawn_distance(x, y, r["poly"], r["closed"]).alias("d"), F.lit(r["order"]).alias("o"), F.lit(r["structure"]).alias("structure")) for r in rows]))
+        return points.withColumn("_near", near).withColumn(name, F.when(F.col("_near.d") <= edge, F.col("_near.structure"))).drop("_near")
     drawn = structures.agg(F.sort_array(F.collect_list(F.struct("order", "structure", "poly", "closed"))).alias("_drawn"))
 
     def distance(s: Column) -> Column:
@@ -74,15 +97,16 @@ def transit_times(structures: DataFrame, gates: Gates) -> DataFrame:
     return structures.groupBy("structure").agg(F.min_by(hidden, "order").alias("transit"))
 
 
-def handoffs(frags: DataFrame, key: str, gates: Gates, reach: Column, structures: DataFrame | None = None) -> DataFrame:
+def handoffs(frags: DataFrame, key: str, gates: Gates, reach: Column, structures: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``(key, a, b, born, score, why)``: fragments ``b`` that may continue ``a``.
 
     ``frags (key, tid, t0, x0, y0, t1, x1, y1, kind)``; ``a`` ends before ``b`` starts,
     kinds agree (null fits all). Within ``max_gap`` the distance must be within
     ``reach``, a Column over ``gap``, and scores as its share. After longer gaps: both
-    ends at one structure, in transit time or parked; else both on one spot.
+    ends at one structure, in transit time or parked; else both on one spot. With
+    ``scratch`` fragments and what they are at are written once, not worked out per join.
     """
-    a, b = _ends(frags, key, gates, structures)
+    a, b = _ends(frags, key, gates, structures, scratch)
     plain = _measured(within_window(a, b, [key], "a_t", "b_t", gates.max_gap)).where(F.col("gap") <= gates.max_gap).withColumn("budget", reach)
 
     def out(pairs: DataFrame, score: Column, why: str) -> DataFrame:
@@ -102,13 +126,15 @@ def handoffs(frags: DataFrame, key: str, gates: Gates, reach: Column, structures
     return reduce(DataFrame.unionByName, found)
 
 
-def _ends(frags: DataFrame, key: str, gates: Gates, structures: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _ends(frags: DataFrame, key: str, gates: Gates, structures: DataFrame | None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Ends ``a_*`` and starts ``b_*`` of fragments, with the structures they are at."""
     if structures is not None:
         ends = structure_at(structure_at(frags, "x1", "y1", structures, "end_at", gates.edge), "x0", "y0", structures, "start_at", gates.edge)
         frags = ends.join(F.broadcast(transit_times(structures, gates).withColumnRenamed("structure", "end_at")), "end_at", "left")
     else:
         frags = frags.withColumns({"end_at": F.lit(None).cast("string"), "start_at": F.lit(None).cast("string"), "transit": F.lit(None).cast("double")})
+    if scratch is not None:
+        frags = scratch.keep(frags, "ends")
     a = frags.select(key, F.col("tid").alias("a"), F.col("t1").alias("a_t"), F.col("x1").alias("a_x"), F.col("y1").alias("a_y"), F.col("kind").alias("a_kind"), F.col("end_at").alias("a_at"), "transit")
     b = frags.select(key, F.col("tid").alias("b"), F.col("t0").alias("b_t"), F.col("x0").alias("b_x"), F.col("y0").alias("b_y"), F.col("kind").alias("b_kind"), F.col("start_at").alias("b_at"))
     return a, b
@@ -177,7 +203,7 @@ def claims(edges: DataFrame, key: str, scratch: Scratch, margin: float = 1.5) ->
 
 def stitch(frags: DataFrame, key: str, gates: Gates, reach: Column, scratch: Scratch, structures: DataFrame | None = None, margin: float = 1.5) -> DataFrame:
     """``(key, tid, track)`` for every fragment: the first one of its chain."""
-    links = scratch.keep(claims(handoffs(frags, key, gates, reach, structures), key, scratch, margin), "links")
+    links = scratch.keep(claims(handoffs(frags, key, gates, reach, structures, scratch), key, scratch, margin), "links")
     chains = graph.collapse_chains(links.select(F.struct(key, F.col("b").alias("tid")).alias("src"), F.struct(key, F.col("a").alias("tid")).alias("dst")), scratch)
     found = chains.select(F.col(f"src.{key}").alias(key), F.col("src.tid").alias("tid"), F.col("root.tid").alias("track"))
     return frags.select(key, "tid").join(found, [key, "tid"], "left").select(key, "tid", F.coalesce("track", "tid").alias("track"))
@@ -195,7 +221,7 @@ def rebinds(frags: DataFrame, looks: DataFrame, key: str, gates: Gates, structur
     Whether a candidate was absorbed is known once it is settled, and candidates were
     born earlier: a round settles every fragment whose candidates are, in all matches.
     """
-    a, b = _ends(frags, key, gates, structures)
+    a, b = _ends(frags, key, gates, structures, scratch)
     near = _behind(a, b, key, gates).where(F.col("gap") <= gates.parked_gap)
     look = looks.select(key, "tid", S.unit("v").alias("_v"))
     seen = near.join(look.select(key, F.col("tid").alias("a"), F.col("_v").alias("_p")), [key, "a"]).join(look.select(key, F.col("tid").alias("b"), F.col("_v").alias("_q")), [key, "b"])

@@ -99,15 +99,16 @@ def _frags(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_HANDOFFS} SELECT user_id, a::BIGINT AS a, b::BIGINT AS b, round(score, 6) AS score, why FROM edges")
 def fragment_handoffs(spark: SparkSession, sf: str) -> DataFrame:
     """Which fragments may continue which: near, behind one structure, or on one spot."""
-    e = C.handoffs(_frags(spark, sf), "user_id", GATES, F.expr(_REACH), structures(spark))
+    e = C.handoffs(_frags(spark, sf), "user_id", GATES, F.expr(_REACH), structures(spark), Scratch(spark, "handoffs"))
     return e.select("user_id", "a", "b", F.round("score", 6).alias("score"), "why")
 
 
 @query(f"WITH RECURSIVE {_HANDOFFS}, {_CLAIMS} SELECT user_id, a, b, round(score, 6) AS score FROM step WHERE a IS NOT NULL")
 def fragment_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Handoffs that hold when fragments claim their predecessors in order of birth."""
-    e = C.handoffs(_frags(spark, sf), "user_id", GATES, F.expr(_REACH), structures(spark))
-    return C.claims(e, "user_id", Scratch(spark, "claims")).withColumn("score", F.round("score", 6))
+    scratch = Scratch(spark, "claims")
+    e = C.handoffs(_frags(spark, sf), "user_id", GATES, F.expr(_REACH), structures(spark), scratch)
+    return C.claims(e, "user_id", scratch).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
