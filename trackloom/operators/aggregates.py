@@ -17,9 +17,17 @@ def majority(df: DataFrame, key: list[str], value: str, order: str, weight: Colu
 
 
 def two_way_vote(df: DataFrame, key: list[str], side: str, confidence: str, a: str, b: str, floor: float = 0.05) -> DataFrame:
-    """Confidence-weighted vote between two sides; b on ties, null without votes."""
+    """Confidence-weighted vote between two sides; b on ties, null without votes. Weights
+    are added as decimals, so that equal ones tie whatever the order of rows; only those
+    that don't fit (not finite, or beyond 1e20) are added as they are."""
     w = F.greatest(F.col(confidence), F.lit(floor))
-    g = df.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col(side) == a, w)), F.lit(0.0)).alias("a_weight"), F.coalesce(F.sum(F.when(F.col(side) == b, w)), F.lit(0.0)).alias("b_weight"))
+
+    def total(name: str) -> Column:
+        mine = F.when(F.col(side) == name, w)
+        exact = mine.try_cast("decimal(38,18)")
+        return F.coalesce(F.when(F.count(mine) == F.count(exact), F.try_sum(exact).cast("double")), F.sum(mine), F.lit(0.0))
+
+    g = df.groupBy(*key).agg(total(a).alias("a_weight"), total(b).alias("b_weight"))
     return g.withColumn("winner", F.when((F.col("a_weight") == 0) & (F.col("b_weight") == 0), None).when(F.col("a_weight") > F.col("b_weight"), a).otherwise(b))
 
 
