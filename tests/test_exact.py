@@ -1,6 +1,7 @@
 """Results that hung on the order of rows, or on the rounding of corners."""
 
 from trackloom.operators import aggregates as A
+from trackloom.operators import windows as W
 
 
 def test_equal_weights_tie_in_any_order(spark):
@@ -10,3 +11,12 @@ def test_equal_weights_tie_in_any_order(spark):
         assert [tuple(r) for r in A.two_way_vote(df, ["k"], "side", "c", "click", "view").collect()] == [(1, 0.6, 0.6, "view")]
     odd = spark.createDataFrame([(1, "click", 1e30), (1, "view", 0.5)], "k long, side string, c double")
     assert [tuple(r) for r in A.two_way_vote(odd, ["k"], "side", "c", "click", "view").collect()] == [(1, 1e30, 0.5, "click")]
+
+
+def test_means_of_runs_add_up_in_order(spark):
+    # in order of time 0.1 + 0.2 + 0.3 is a little over 0.6, the other way round it is not
+    rows = [(1, 0, 0.0, 5.0), (1, 1, 10.0, 0.1), (1, 1, 11.0, 0.2), (1, 1, 12.0, 0.3), (1, 2, 20.0, 5.0)]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "k long, run long, t double, x double").coalesce(1)
+        got = W.excursions(d, ["k"], ["t"], "t", "x", "run", 5.0, 50.0, 1.0).where("run = 1").collect()
+        assert [r.mid for r in got] == [(0.1 + 0.2 + 0.3) / 3]
