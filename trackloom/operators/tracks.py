@@ -94,7 +94,7 @@ def apply_cuts(samples: DataFrame, cuts: DataFrame) -> DataFrame:
     return J.asof(samples, ranked, "tid", "t", ["n"], bucket=60.0).withColumn("segment", F.coalesce("matched_n", F.lit(0))).drop("matched_n", "matched_at")
 
 
-def sever_leaps(dets: DataFrame, joined: DataFrame, key: str, per_second: float = 8.0, least: float = 1.2) -> DataFrame:
+def sever_leaps(dets: DataFrame, joined: DataFrame, key: str, per_second: float = 8.0, least: float = 1.2, centre: Column | None = None, width: Column | None = None) -> DataFrame:
     """``dets`` with ``new_tid`` and ``track``: joined tracks cut where their own box
     leaps further than a robot can, in box widths per second (``least`` for any step).
 
@@ -102,14 +102,18 @@ def sever_leaps(dets: DataFrame, joined: DataFrame, key: str, per_second: float
     for none; ``joined (key, tid, track)``. What follows a cut is a track of its own:
     fresh ids of a match count on from its largest, by the first box (f, d) of the track
     they were cut from and then in time, however many cuts a track has. Steps without
-    time between them are none.
+    time between them are none. Where boxes were made from a ``centre`` and a ``width``,
+    these say it without the rounding of their corners, which a leap of just the limit
+    would hang on.
     """
     d = dets.join(joined, [key, "tid"], "left").withColumn("track", F.coalesce("track", "tid"))
     none, d = d.where("tid < 0"), d.where("tid >= 0")
-    d = d.withColumns({"_x": (F.col("x1") + F.col("x2")) / 2, "_w": F.greatest(F.col("x2") - F.col("x1"), F.lit(1.0))})
+    x = (F.col("x1") + F.col("x2")) / 2 if centre is None else centre
+    d = d.withColumns({"_x": x, "_w": F.greatest(F.col("x2") - F.col("x1") if width is None else width, F.lit(1.0))})
     w = Window.partitionBy(key, "track").orderBy("t", "_x", "y2", "_w", "f", "d")
     dt = F.col("t") - F.lag("t").over(w)
-    leap = F.hypot(F.col("_x") - F.lag("_x").over(w), F.col("y2") - F.lag("y2").over(w)) / ((F.col("_w") + F.lag("_w").over(w)) / 2)
+    dx, dy = F.col("_x") - F.lag("_x").over(w), F.col("y2") - F.lag("y2").over(w)
+    leap = F.sqrt(dx * dx + dy * dy) / ((F.col("_w") + F.lag("_w").over(w)) / 2)
     d = d.withColumn("_cut", F.coalesce((dt > 0) & (leap > F.greatest(F.lit(least), dt * per_second)), F.lit(False)))
     d = d.withColumns({"_n": F.sum(F.col("_cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.min(F.struct("f", "d")).over(Window.partitionBy(key, "track"))})
     top = dets.select(key, F.col("tid").alias("i")).unionByName(joined.select(key, F.col("track").alias("i"))).groupBy(key).agg(F.greatest(F.max("i"), F.lit(-1)).alias("_top"))

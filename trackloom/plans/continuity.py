@@ -315,10 +315,11 @@ r AS (SELECT user_id, n, row_number() OVER (PARTITION BY match ORDER BY first, u
 SELECT event_id, coalesce(fresh, tid)::BIGINT AS new_tid, coalesce(fresh, n.user_id)::BIGINT AS track FROM n LEFT JOIN r ON r.user_id = n.user_id AND r.n = n.n""")
 def severed_leaps(spark: SparkSession, sf: str) -> DataFrame:
     """Joined tracks cut at leaps of their box, with fresh ids per match."""
-    half = (10 + F.col("y") / 10) / 2
-    d = sessions(spark, sf).select("event_id", "user_id", (F.col("user_id") % 10).alias("match"), F.floor("t").alias("f"), F.col("event_id").alias("d"), "tid", "t", (F.col("x") - half).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") + half).alias("x2"), F.col("y").alias("y2"))
+    wide = F.lit(10) + F.col("y") / 10
+    half = wide / 2
+    d = sessions(spark, sf).select("event_id", "user_id", (F.col("user_id") % 10).alias("match"), F.floor("t").alias("f"), F.col("event_id").alias("d"), "tid", "t", (F.col("x") - half).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") + half).alias("x2"), F.col("y").alias("y2"), "x", wide.alias("w"))
     joined = d.select("match", "tid", F.col("user_id").alias("track")).distinct()
-    return T.sever_leaps(d, joined, "match", per_second=0.0005, least=9.0).select("event_id", "new_tid", "track")
+    return T.sever_leaps(d, joined, "match", per_second=0.0005, least=9.0, centre=F.col("x"), width=F.col("w")).select("event_id", "new_tid", "track")
 
 
 # -- placing a snippet in a clip ----------------------------------------------
