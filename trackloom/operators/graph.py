@@ -102,8 +102,8 @@ def collapse_chains(absorbed: DataFrame, scratch: Scratch, max_rounds: int = 40)
     d = scratch.keep(absorbed.select("src", F.col("dst").alias("root")), "chain-0")
     for k in range(1, max_rounds + 1):
         hop = d.select(F.col("src").alias("root"), F.col("root").alias("_next"))
-        nxt = scratch.keep(d.join(hop, "root", "left").select("src", F.coalesce("_next", "root").alias("root")), f"chain-{k}")
-        moved = nxt.join(d.withColumnRenamed("root", "_old"), "src").where("root != _old").limit(1).count()
+        nxt = scratch.keep(d.join(hop.hint("merge"), "root", "left").select("src", F.coalesce("_next", "root").alias("root")), f"chain-{k}")
+        moved = nxt.join(d.withColumnRenamed("root", "_old").hint("merge"), "src").where("root != _old").limit(1).count()
         scratch.drop(f"chain-{k - 1}")
         d = nxt
         if not moved:

@@ -120,10 +120,11 @@ def in_intervals(points: DataFrame, spans: DataFrame, by: str, on: str, bucket:
 
 def within_window(a: DataFrame, b: DataFrame, by: list[str], a_on: str, b_on: str, window: float) -> DataFrame:
     """Pairs of two tables (names differing but for ``by``) at most ``window`` apart:
-    b goes to its own and the neighbouring buckets, a to its own."""
+    b goes to its own and the neighbouring buckets, a to its own. Never by a broadcast:
+    the planner takes spread rows for as small as the compressed file they come from."""
     left = a.withColumn("_b", F.floor(F.col(a_on) / window))
     right = b.withColumn("_b", F.explode(F.array(*[F.floor(F.col(b_on) / window) + k for k in (-1, 0, 1)])))
-    return left.join(right, [*by, "_b"]).where(F.abs(F.col(a_on) - F.col(b_on)) <= window).drop("_b")
+    return left.join(right.hint("merge"), [*by, "_b"]).where(F.abs(F.col(a_on) - F.col(b_on)) <= window).drop("_b")
 
 
 def successors(segments: DataFrame, key: str, max_gap: float, reach: Column, top: int = 3, max_score: float | None = None, conflicts: DataFrame | None = None) -> DataFrame:
