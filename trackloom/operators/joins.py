@@ -150,11 +150,11 @@ def successors(segments: DataFrame, key: str, max_gap: float, reach: Column, top
 
 def kinematic_conflicts(samples: DataFrame, key: str, ident: str, t: str, x: str, y: str, window: float, budget: Column) -> DataFrame:
     """Pairs of tracks with some two samples close in time but farther apart than
-    ``budget`` (a Column over ``dt``) allows."""
+    ``budget`` (a Column over ``dt``) allows. Only such samples are shuffled."""
     a = samples.select(key, F.col(ident).alias("a"), F.col(t).alias("a_t"), F.col(x).alias("a_x"), F.col(y).alias("a_y"))
     b = samples.select(key, F.col(ident).alias("b"), F.col(t).alias("b_t"), F.col(x).alias("b_x"), F.col(y).alias("b_y"))
     j = within_window(a, b, [key], "a_t", "b_t", window).where("a < b").withColumn("dt", F.abs(F.col("a_t") - F.col("b_t")))
-    return j.groupBy(key, "a", "b").agg(F.bool_or(F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) > budget).alias("forbidden")).where("forbidden").drop("forbidden")
+    return j.where(F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) > budget).select(key, "a", "b").distinct()
 
 
 def agreed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
