@@ -1,6 +1,8 @@
 """Joins whose rows grow on the way: no side may be sent through the driver."""
 
+from trackloom.operators import graph
 from trackloom.operators import joins as J
+from trackloom.plans.runtime import Scratch
 
 
 def test_windows_are_no_broadcast(spark, tmp_path):
@@ -20,3 +22,14 @@ def test_only_conflicts_are_grouped(spark):
     assert "bool_or" not in plan and "HYPOT" in plan.upper()
     want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[1] != b[1] and abs(a[2] - b[2]) <= 5 and abs(a[3] - b[3]) > 400}
     assert {(r.a, r.b) for r in j.collect()} == want and want
+
+
+def test_components_without_broadcast(spark, monkeypatch):
+    plans = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df, *a))[1])
+    edges = spark.range(50).selectExpr("id AS src", "id + 1 AS dst")
+    assert {tuple(r) for r in graph.connected_components(edges, Scratch(spark, "t")).collect()} == {(i, 0) for i in range(51)}
+    chain = spark.range(1, 50).selectExpr("id AS src", "id - 1 AS dst")
+    assert {tuple(r) for r in graph.collapse_chains(chain, Scratch(spark, "t")).collect()} == {(i, 0) for i in range(1, 50)}
+    assert not [p for p in plans if "Broadcast" in p]

@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     Each round first joins what meets within one scan partition (bounded by the
     split size), then takes a large-star and a small-star step: minima per vertex
     (combined map-side, so a hub costs one row per task) and equi-joins that AQE may
-    split. Each round is written to the shared folder.
+    split; a table of minima grows with the vertices and is never broadcast. Each round
+    is written to the shared folder.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     e = scratch.keep(e.where("u != v").distinct(), f"{name}-0")
@@ -31,10 +32,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
         e = _contract(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.keep(large.where("u != v").distinct(), f"{name}-{k}-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = large.join(low.hint("merge"), "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
         )
         nxt = scratch.keep(small.select("x.u", "x.v").where("u != v").distinct(), f"{name}-{k}")
