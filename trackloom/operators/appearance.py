@@ -16,6 +16,8 @@ from trackloom.plans.runtime import Scratch, ship
 
 #: Prototypes, and bytes of them, that are handed to every task; a larger gallery is indexed.
 GALLERY, GALLERY_BYTES = 50_000, 64_000_000
+#: Similarities a task holds at a time (queries times prototypes).
+SIMILARITIES = 4_000_000
 
 
 def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, digits: int = 9, bound: int = GALLERY) -> DataFrame:
@@ -23,7 +25,7 @@ def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, dig
     (label, vector) are closest on average by cosine; ties by label.
 
     A curated gallery is small: up to ``bound`` rows and 64 MB go to every task as one
-    matrix and queries meet it a batch at a time. A larger one is indexed, with the
+    matrix and queries meet it some at a time. A larger one is indexed, with the
     same rows. Similarities and scores are rounded before they are compared. Null
     vectors are left out.
     """
@@ -40,19 +42,23 @@ def prototype_votes(queries: DataFrame, prototypes: DataFrame, top: int = 3, dig
     kinds = {k: d.schema[k].dataType.simpleString() for k, d in (("qid", queries), ("label", prototypes))}
     ship(queries.sparkSession)
 
+    step = max(1, SIMILARITIES // max(1, len(rows)))
+
+    def ranked(p: pd.DataFrame) -> pd.DataFrame:
+        q = np.array(p["vector"].tolist(), float)
+        sim = np.round(q @ matrix.T / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), digits)
+        best = [-np.sort(-sim[:, a:b], axis=1)[:, :top].mean(axis=1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        score = np.round(np.stack(best, axis=1), digits)
+        order = np.argsort(-score, axis=1, kind="stable")
+        at = np.arange(len(q))
+        first = score[at, order[:, 0]]
+        margin = np.round(first - score[at, order[:, 1]], digits) if len(labels) > 1 else np.full(len(q), np.nan)
+        return pd.DataFrame({"qid": p["qid"], "label": [labels[i] for i in order[:, 0]], "score": first, "margin": margin})
+
     def run(batches):
         for p in batches:
-            if not labels or not len(p):
-                continue
-            q = np.array(p["vector"].tolist(), float)
-            sim = np.round(q @ matrix.T / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), digits)
-            best = [-np.sort(-sim[:, a:b], axis=1)[:, :top].mean(axis=1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            score = np.round(np.stack(best, axis=1), digits)
-            order = np.argsort(-score, axis=1, kind="stable")
-            at = np.arange(len(q))
-            first = score[at, order[:, 0]]
-            margin = np.round(first - score[at, order[:, 1]], digits) if len(labels) > 1 else np.full(len(q), np.nan)
-            yield pd.DataFrame({"qid": p["qid"], "label": [labels[i] for i in order[:, 0]], "score": first, "margin": margin})
+            for i in range(0, len(p) if labels else 0, step):
+                yield ranked(p.iloc[i : i + step])
 
     return queries.where("vector is not null").select("qid", "vector").mapInPandas(run, f"qid {kinds['qid']}, label {kinds['label']}, score double, margin double")
 

@@ -25,6 +25,8 @@ from trackloom.plans.runtime import Scratch, ship
 #: Bytes of centres and of group descriptions that go to every task; groups at most.
 CENTRE_BYTES, DESCRIBED, GROUPS = 16_000_000, 200_000, 4096
 QUERIES, ROWS, PROBE = 512, 2048, 4
+#: Pairs of blocks, of a MB or two each, that a task holds at a time.
+PAIRS = 4
 SLACK = 1e-7
 
 
@@ -147,7 +149,7 @@ def _visit(index: Index, visits: DataFrame, k: int, digits: int, scratch: Scratc
                     yield pa.RecordBatch.from_arrays([qids.cast(arrow), pa.array(np.full(len(qids), j, np.int32)), flat], names=["qid", "label", "sims"])
 
     pairs = asked.join(index.blocks, "group").select("qids", "qs", "labels", "vs")
-    return scratch.keep(pairs.mapInArrow(run, f"qid {kind.simpleString()}, label int, sims array<double>"), name)
+    return scratch.keep(pairs.mapInArrow(run, f"qid {kind.simpleString()}, label int, sims array<double>"), name, batch_rows=PAIRS)
 
 
 def votes(queries: DataFrame, prototypes: DataFrame, scratch: Scratch, top: int = 3, digits: int = 9, groups: int | None = None, rows: int = ROWS, margin: bool = True) -> DataFrame:
