@@ -28,7 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays whose five-word shingles are 0.8 alike:
-    the one with the smallest id, in all its rows. Null ids stay."""
+    the one with the smallest id, in all its rows. Null ids stay. Candidates come from
+    the anchor-point covering of operator 1, and from bands where it doesn't reach."""
     return near_copies.first_of_each_group(docs)
 
 

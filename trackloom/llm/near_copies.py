@@ -1,7 +1,9 @@
 """Near copies by word shingles: pairs whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more, and their connected groups.
 
-Candidates share a band: five of 200 minima of the set under different hash
+Candidates come from anchor-point covering, as in :mod:`simhash`: fingerprints at two or
+fewer differing bits. A fingerprint of 64 bits sees few changes only, so that bands give
+the others. These candidates share a band: five of 200 minima of the set under different hash
 functions. Forty bands miss a pair at 0.8 with a chance of about 1e-7, and a more
 similar one less. Every candidate is decided by its exact similarity.
 
@@ -22,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm import simhash
 from trackloom.llm.arrowio import column, map_rows, utf8
 from trackloom.llm.repeats import A, Hashes, mix, word_tokens
 from trackloom.operators.graph import connected_components, join_roots
@@ -65,8 +68,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, n, bands, words)`` per row: a name of its shingle set, its size,
-    the bands it lies in and its words. A null text has none; repeated rows stay, other
+    """``(doc_id, key, n, bands, fp, words)`` per row: a name of its shingle set, its size,
+    the bands it lies in, its fingerprint and its words. A null text has none; repeated rows stay, other
     columns are ignored."""
 
     def make():
@@ -77,11 +80,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 words = normal(t)
                 s = shingles(words)
                 key = xxhash.xxh64_intdigest(s.tobytes(), 42)
-                yield d, key - (1 << 64) if key >> 63 else key, len(s), bands(s).tolist() if len(s) else [], z.compress(words)
+                yield d, key - (1 << 64) if key >> 63 else key, len(s), bands(s).tolist() if len(s) else [], simhash.signed_fingerprint(t), z.compress(words)
 
         return rows
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, key long, n int, bands array<long>, words binary", make)
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, key long, n int, bands array<long>, fp long, words binary", make)
 
 
 def _words(rows: DataFrame, need: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -167,6 +170,16 @@ def _linked(named: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def _covered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``(src, dst)`` of sets whose fingerprints are linked by the covering: every
+    set of a component of fingerprints and its smallest."""
+    held = scratch.keep(rows.select("key", "fp").distinct(), "held")
+    cc = connected_components(simhash.links(held.select("fp").distinct()), scratch, "fp-cc")
+    placed = held.join(cc.withColumnRenamed("id", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("c"))
+    least = placed.groupBy("c").agg(F.min("key").alias("src"))
+    return scratch.keep(placed.join(least, "c").where("key != src").select("src", F.col("key").alias("dst")).distinct(), "candidates")
+
+
 def _pair(a, b) -> list:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
@@ -184,7 +197,7 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
 
     star = members.select("key", F.explode(F.array("lo", "hi")).alias("other")).where("key != other").select(*_pair("key", "other"))
     star = scratch.keep(star.distinct(), "star")
-    edges = _verified(star, rows, scratch, "star")
+    edges = _verified(_covered(rows, scratch), rows, scratch, "covered").unionByName(_verified(star, rows, scratch, "star"))
     cc = connected_components(edges, scratch, "star-cc")
 
     named = members.join(cc.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))

@@ -146,11 +146,15 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     null ids stay, other columns are ignored."""
 
     def make():
-        return lambda cols: [(d, _signed(fingerprint(t, width))) for d, t in zip(*cols, strict=True)]
+        return lambda cols: [(d, signed_fingerprint(t, width)) for d, t in zip(*cols, strict=True)]
 
     return map_rows(docs.select("doc_id", "text"), "doc_id long, fp long", make)
 
 
+def signed_fingerprint(text: str | None, width: int = 3) -> int:
+    return _signed(fingerprint(text, width))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
