@@ -30,3 +30,27 @@ def test_pairs_are_counted_in_tiles(spark, block):
 
 def test_pairs_of_nothing(spark):
     assert J.co_occurring(spark.createDataFrame([], "g long, i string"), ["g"], "i").count() == 0
+
+
+def test_nearest_on_a_line_makes_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    left = [(k, int(g), float(v)) for k, (g, v) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 400, 300) / 2, strict=True))]
+    right = [(k, int(g), float(v)) for k, (g, v) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 400, 60) / 2, strict=True))]
+    left += [(1000, 7, 1e9), (1001, 8, 1.0), (1002, None, 1.0), (1003, 7, None), (1004, 7, float("nan")), (1005, 9, 30.0)]
+    right += [(1000, 7, 1.0), (1001, 7, None), (1002, 7, float("nan")), (1003, None, 1.0)]
+    right += [(1007, 9, 1e-17), (1006, 9, 2e-17), (1005, 9, 0.0)]  # three places, one distance from 30
+    one, two = spark.createDataFrame(left, "lid long, g long, lv double"), spark.createDataFrame(right, "rid long, g long, rv double")
+    want = {}
+    for lid, g, v in left:
+        near = [(abs(v - w), rid) for rid, h, w in right if v is not None and w is not None and g == h and g is not None and abs(v - w) <= 10 + 20 * (g == 9)]
+        want[lid] = min(near, default=(None, None))
+    out = J.nearest_on_line(one.where("g < 9 or g is null"), two.where("g < 9 or g is null"), "g", "lid", "lv", "rv", "rid", 10.0)
+    out = out.union(J.nearest_on_line(one.where("g = 9"), two.where("g = 9"), "g", "lid", "lv", "rv", "rid", 30.0)).collect()
+    assert {r.lid: (r.distance, r.rid) for r in out} == want and len(out) == len(left)
+
+
+def test_nearest_in_group_passes_over_missing_places(spark):
+    left, right = spark.createDataFrame([(1, 0, 5.0)], "lid long, g long, lv double"), spark.createDataFrame([(1, 0, None), (2, 0, 6.0), (3, 0, 4.0)], "rid long, g long, rv double")
+    d = (J.F.col("lv") - J.F.col("rv")) ** 2
+    out = J.nearest_in_group(left, right, ["g"], "lid", d, ["rid"], 40.0, ["rid"]).first()
+    assert (out.rid, out.distance) == (2, 1.0)

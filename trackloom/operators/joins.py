@@ -32,14 +32,39 @@ def nearest_in_group(left: DataFrame, right: DataFrame, by: list[str], left_id:
     """Each left row with the nearest right row of its group, the first on ties.
 
     ``distance`` may use columns of both sides (names must differ but for ``by``).
-    Beyond ``limit`` (inclusive) the match is null; the left row always stays. The
-    best pair is kept by a partial minimum, so pairs are never shuffled.
+    Beyond ``limit`` (inclusive) the match is null; the left row always stays. The least
+    distance comes first, a number that a hash keeps, and only pairs at that distance
+    are compared by ``order``: a minimum of structs would sort all pairs. A distance
+    along one line needs no pairs (:func:`nearest_on_line`).
     """
-    pairs = left.join(right, by)
-    best = pairs.groupBy(left_id).agg(F.min_by(F.struct(distance.alias("_d"), *take), F.struct(distance, *order)).alias("_m"))
-    out = left.join(best, left_id, "left")
-    ok = F.col("_m._d") <= limit if limit is not None else F.col("_m").isNotNull()
-    return out.select(*left.columns, F.when(ok, F.col("_m._d")).alias("distance"), *[F.when(ok, F.col(f"_m.{t}")).alias(t) for t in take])
+    pairs = left.join(right, by).withColumn("_d", distance)
+    pairs = pairs.where(F.col("_d") <= limit if limit is not None else F.col("_d").isNotNull())
+    least = pairs.groupBy(left_id).agg(F.min("_d").alias("_least"))
+    ties = left.join(least, left_id).join(right, by).withColumn("_d", distance).where(F.col("_d") == F.col("_least"))
+    best = ties.groupBy(left_id).agg(F.min_by(F.struct("_d", *take), F.struct(*order)).alias("_m"))
+    return left.join(best, left_id, "left").select(*left.columns, F.col("_m._d").alias("distance"), *[F.col(f"_m.{t}").alias(t) for t in take])
+
+
+def nearest_on_line(left: DataFrame, right: DataFrame, by: str, left_id: str, at: str, right_at: str, right_id: str, limit: float) -> DataFrame:
+    """:func:`nearest_in_group` for places on a line, the smallest ``right_id`` on ties:
+    the next place either way by as-of joins, so no pairs are made.
+
+    Groups in which two places are so near that their distances may round to one number
+    take the way by pairs.
+    """
+    places = right.where(F.col(by).isNotNull() & (F.abs(right_at) < float("inf"))).groupBy(by, right_at).agg(F.min(right_id).alias(right_id))
+    step = F.col(right_at) - F.lag(right_at).over(Window.partitionBy(by).orderBy(right_at))
+    dense = places.withColumn("_s", step).where(F.col("_s") <= 2 * math.ulp(limit)).select(by).distinct()
+    apart = left.join(dense, by, "left_anti").select(*left.columns)
+    ahead = places.withColumnRenamed(right_at, at)
+    back = asof(apart, ahead, by, at, [right_id], limit).withColumnsRenamed({"matched_at": "_at0", f"matched_{right_id}": "_id0"})
+    both = asof(back.withColumn(at, -F.col(at)), ahead.withColumn(at, -F.col(at)), by, at, [right_id], limit).withColumn(at, -F.col(at))
+    id1 = F.col(f"matched_{right_id}")
+    d0, d1 = F.abs(F.col(at) - F.col("_at0")), F.abs(F.col(at) + F.col("matched_at"))
+    d = F.least(d0, d1)
+    found = both.select(*left.columns, F.when(d <= limit, d).alias("distance"), F.when(d <= limit, F.least(F.when(d0 == d, F.col("_id0")), F.when(d1 == d, id1))).alias(right_id))
+    near = nearest_in_group(left.join(dense, by, "left_semi").select(*left.columns), right, [by], left_id, F.abs(F.col(at) - F.col(right_at)), [right_id], limit, [right_id])
+    return found.unionByName(near)
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], bucket: float, strict: bool = False) -> DataFrame:

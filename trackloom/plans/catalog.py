@@ -192,7 +192,7 @@ def nearest_label(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf).withColumn("h", F.floor(F.col("t") / 3600))
     left = e.where("event_type = 'click'").select(F.col("event_id").alias("lid"), "h", F.col("value").alias("lv"))
     right = e.where("event_type = 'view'").select(F.col("event_id").alias("rid"), "h", F.col("value").alias("rv"))
-    out = J.nearest_in_group(left, right, ["h"], "lid", F.abs(F.col("lv") - F.col("rv")), ["rid"], 40.0, ["rid"])
+    out = J.nearest_on_line(left, right, "h", "lid", "lv", "rv", "rid", 40.0)
     return out.select("lid", "rid", F.round("distance", 6).alias("distance"))
 
 
