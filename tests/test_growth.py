@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from trackloom.operators import joins as J
+from trackloom.operators import windows as W
 
 
 def plan(df) -> str:
@@ -54,3 +55,30 @@ def test_nearest_in_group_passes_over_missing_places(spark):
     d = (J.F.col("lv") - J.F.col("rv")) ** 2
     out = J.nearest_in_group(left, right, ["g"], "lid", d, ["rid"], 40.0, ["rid"]).first()
     assert (out.rid, out.distance) == (2, 1.0)
+
+
+def test_stretches_are_smoothed_together(spark):
+    rng = np.random.default_rng(3)
+    size = [1, 40, 3, 7, 2, 40, 25]
+    t = np.concatenate([np.cumsum(rng.uniform(0.02, 0.4, n)) for n in size])
+    z = rng.normal(size=(len(t), 2))
+    at = np.cumsum([0, *size[:-1]])
+    x, var = W.smooth_stretches(t, z, at)
+    for i, n in zip(at, size, strict=True):
+        assert all(np.allclose(a, b) for a, b in zip(W.smooth_stretch(t[i : i + n], z[i : i + n]), (x[i : i + n], var[i : i + n]), strict=True))
+    rows = [(k, float(a), float(b), float(c)) for k, (i, n) in enumerate(zip(at, size, strict=True)) for a, (b, c) in zip(t[i : i + n], z[i : i + n] / 50, strict=True)]
+    df = spark.createDataFrame([*rows, (9, None, 1.0, 1.0), (9, 1.0, None, 2.0)], "tid long, t double, x double, y double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # stretches go on over batches
+    try:
+        out = W.smooth_tracks(df, ["tid"], gap=0.45, mult=100.0)
+        assert "InPandas" not in plan(out)  # no Python call per stretch
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) + 2
+    assert sorted((r.t, r.x, r.y, r.sd) for r in got if r.tid == 9 and r.t) == [(1.0, None, 2.0, 0.1)]
+    for k, (i, n) in enumerate(zip(at, size, strict=True)):
+        mine = sorted((r.t, r.x, r.y, r.sd) for r in got if r.tid == k)
+        xs, vs = W.smooth_stretch(t[i : i + n], z[i : i + n] / 50) if n >= 3 else (z[i : i + n] / 50, np.full(n, 0.01))
+        assert np.allclose(mine, np.column_stack((t[i : i + n], xs, np.sqrt(vs))))
