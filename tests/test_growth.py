@@ -8,6 +8,7 @@ import pytest
 
 from trackloom.operators import joins as J
 from trackloom.operators import windows as W
+from trackloom.streaming import ledger as T
 
 
 def plan(df) -> str:
@@ -82,3 +83,28 @@ def test_stretches_are_smoothed_together(spark):
         mine = sorted((r.t, r.x, r.y, r.sd) for r in got if r.tid == k)
         xs, vs = W.smooth_stretch(t[i : i + n], z[i : i + n] / 50) if n >= 3 else (z[i : i + n] / 50, np.full(n, 0.01))
         assert np.allclose(mine, np.column_stack((t[i : i + n], xs, np.sqrt(vs))))
+
+
+def test_ledger_by_tables(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    sink = T.ledger_sink(spark, path, delay_ms=1000, keep_ms=60_000)
+    day = lambda s: f"2024-01-01 {s}"
+    slices = [
+        [("j1", "00:00:03", "failed", "c"), ("j1", "00:00:01", "started", None), ("j1", "00:00:02", "failed", "b"), ("j2", "00:00:01", "failed", "x"), ("j2", "00:00:02", "progressed", None), ("j3", "00:00:01", "done", None), ("j3", "00:00:02", "failed", "late"), ("j5", "00:00:01", "superseded", None)],
+        [("j1", "00:00:04", "failed", "d"), ("j1", "00:00:05", "started", None), ("j2", "00:00:01", "failed", "too late"), ("j5", "00:00:09", "started", None), (None, "00:00:09", "started", None)],
+        [("j4", "02:00:00", "started", None), (None, "02:00:00", "failed", "n")],
+        [("j3", "02:00:01", "started", None), ("j6", "02:00:02", "requested", None)],
+    ]
+    for n, rows in enumerate(slices):
+        batch = spark.createDataFrame([(j, day(at), e, r) for j, at, e, r in rows], "job string, at string, event string, reason string").withColumn("at", J.F.to_timestamp("at"))
+        for _ in range(2):  # a batch may run again
+            sink(batch.union(batch.limit(1).withColumns({"job": J.F.lit("j9"), "at": J.F.lit(None).cast("timestamp")})), n)
+    changes = spark.read.schema(f"{T.JOBS}, batch int").parquet(f"{path}/changes")
+    got = {(r.batch, r.job): (r.state, r.attempts, r.reason) for r in changes.collect()}
+    assert got == {
+        (0, "j1"): ("failed", 2, "c"), (0, "j2"): ("failed", 0, None), (0, "j3"): ("done", 0, None), (0, "j5"): ("superseded", 0, None),
+        (1, "j1"): ("benched", 3, "d"), (1, "j5"): ("running", 0, None), (1, None): ("running", 0, None),
+        (2, "j4"): ("running", 0, None), (2, None): ("failed", 1, "n"), (3, "j3"): ("running", 0, None), (3, "j6"): ("queued", 0, None),
+    }
+    # ended jobs go once the watermark has passed them; open ones stay
+    assert {r.job for r in spark.read.parquet(f"{path}/state/batch=3").collect()} == {"j2", "j3", "j4", "j5", "j6", None}

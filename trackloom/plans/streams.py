@@ -73,17 +73,14 @@ def job_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """States and strikes of jobs, from a log that comes in slices."""
     scratch = Scratch(spark, "jobs")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{scratch.path('states')}/batch={number}")
-
     def start(folder: str, checkpoint: str) -> StreamingQuery:
         log = spark.readStream.schema(T.EVENTS).parquet(folder)
-        states = T.job_states(log, "40 days", 40 * T.DAY_MS)
-        return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+        sink = T.ledger_sink(spark, scratch.path("ledger"), 40 * T.DAY_MS, 40 * T.DAY_MS)
+        return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
 
     log = _log(spark, sf)
     run_over(scratch, _slices(log, "at"), lambda d, folder: d.write.mode("append").parquet(folder), start)
-    states = spark.read.schema(f"{T.JOBS}, batch int").parquet(scratch.path("states"))
+    states = spark.read.schema(f"{T.JOBS}, batch int").parquet(f"{scratch.path('ledger')}/changes")
     return states.groupBy("job").agg(F.max_by(F.struct("state", "attempts"), "batch").alias("s")).select("job", "s.state", "s.attempts")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,6 +89,58 @@ def job_states(events: DataFrame, delay: str = "1 hour", keep_ms: int = DAY_MS)
     return timed.groupBy("job").applyInPandasWithState(step, JOBS, "state string, attempts int, reason string, at timestamp", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def ledger_sink(spark: SparkSession, path: str, delay_ms: int = 3_600_000, keep_ms: int = DAY_MS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps :func:`job_states` as tables: a join and a fold per
+    batch instead of a Python call per job.
+
+    ``path/state/batch=n`` holds the jobs that are known after batch ``n`` (from the
+    table of the batch before), ``path/changes/batch=n`` what the batch did, ``path/seen``
+    the latest time so far, for the watermark. A replayed batch overwrites its own. States
+    older than the one before are dropped."""
+    ends = (*ENDS, "superseded", "dropped")
+    kind = "struct<state:string,attempts:int,reason:string,at:timestamp>"
+    table = f"{JOBS}, until bigint, changed boolean"
+
+    def one(*fields: Column) -> Column:
+        return F.struct(*[f.alias(n) for f, n in zip(fields, ("state", "attempts", "reason", "at"), strict=True)]).cast(kind)
+
+    def after(now: Column, e: Column) -> Column:
+        state, attempts, reason, event = now["state"], now["attempts"], now["reason"], e["event"]
+        struck = attempts + 1
+        moved = (
+            F.when(event == "started", one(F.lit("running"), attempts, reason, e["at"]))
+            .when(event == "progressed", one(state, F.lit(0), F.lit(None), e["at"]))
+            .when(event == "failed", one(F.when(struck >= STRIKES, "benched").otherwise("failed"), struck, e["reason"], e["at"]))
+            .when(event.isin("done", "cancelled", "superseded", "dropped"), one(event, attempts, reason, e["at"]))
+            .otherwise(one(state, attempts, reason, e["at"]))
+        )
+        return F.when(state.isin(*ENDS), now).otherwise(moved).cast(kind)
+
+    def write(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        read = lambda what, schema, n: s.read.schema(schema).parquet(f"{path}/{what}/batch={n}")
+        known = read("state", table, number - 1) if number else s.createDataFrame([], table)
+        seen = read("seen", "ms bigint", number - 1).first()["ms"] if number else None
+        edge = max(seen - delay_ms, 0) if seen is not None else 0
+        events = batch.where(F.col("at") > F.timestamp_millis(F.lit(edge))) if edge else batch.where("at is not null")
+        new = events.groupBy(F.col("job").alias("_job")).agg(F.sort_array(F.collect_list(F.struct("at", "event", "reason"))).alias("_rows"), F.max(F.unix_millis("at")).alias("_last"))
+        held = known.where(F.col("until").isNull() | (F.col("until") > edge))
+        j = held.select("job", one(*map(F.col, ("state", "attempts", "reason", "at"))).alias("_now"), "until").join(new, F.col("job").eqNullSafe(F.col("_job")), "full")
+        touched, queued = F.col("_rows").isNotNull(), one(F.lit("queued"), F.lit(0), F.lit(None), F.lit(None))
+        j = j.withColumn("_s", F.when(touched, F.aggregate("_rows", F.coalesce("_now", queued), after)).otherwise(F.col("_now")))
+        until = F.when(touched, F.when(F.col("_s.state").isin(*ends), F.greatest("_last", F.lit(edge)) + keep_ms)).otherwise(F.col("until"))
+        j = j.select(F.coalesce("job", "_job").alias("job"), "_s.state", "_s.attempts", "_s.reason", "_s.at", until.alias("until"), touched.alias("changed"))
+        j.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        read("state", table, number).where("changed").drop("until", "changed").write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        latest = batch.agg(F.greatest(F.max(F.unix_millis("at")), F.lit(seen).cast("bigint")).alias("ms"))
+        latest.write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        if number > 1:
+            old = s._jvm.org.apache.hadoop.fs.Path(f"{path}/state/batch={number - 2}")
+            old.getFileSystem(s._jsc.hadoopConfiguration()).delete(old, True)
+
+    return write
+
+
 def job_states_batch(events: DataFrame) -> DataFrame:
     """The same ledger from a whole log: last terminal or latest event per job, and
     failures since the last progress."""
