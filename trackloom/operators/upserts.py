@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.plans.runtime import spread
+
 
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
     own = F.struct(*[c for c in df.columns if c not in key])
@@ -69,6 +71,15 @@ def clip_split(df: DataFrame, clip: str, share: float) -> DataFrame:
     return df.join(split, clip)
 
 
+def marked(labels: DataFrame, bundle: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``labels`` with a flag for those whose key ``bundle`` names, in one join. Sorted and
+    merged, never broadcast: keys grow with the table. Tasks are as many as the session
+    asks for; a sorted table's blocks say little about the rows they unpack to."""
+    named = spread(bundle.select(*key), *key).distinct().withColumn("_named", F.lit(True))
+    return spread(labels, *key).join(named.hint("merge"), key, "left").select(*labels.columns, F.col("_named").isNotNull().alias(name))
+
+
 def retire_rounds(labels: DataFrame, bundle: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Reset: labels of a bundle's keys become retired, the others stay."""
-    return labels.join(bundle.select(*key).distinct(), key, "left_anti"), labels.join(bundle.select(*key).distinct(), key, "left_semi")
+    d = marked(labels, bundle, key, "_retired")
+    return d.where("not _retired").drop("_retired"), d.where("_retired").drop("_retired")

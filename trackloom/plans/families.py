@@ -248,8 +248,7 @@ SELECT l_orderkey, l_linenumber::BIGINT AS line, l_orderkey IN (SELECT o_orderke
 def retired_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of the keys that a reset names are retired."""
     bundle = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    kept, gone = U.retire_rounds(_lines(spark, sf), bundle, ["l_orderkey"])
-    return kept.withColumn("retired", F.lit(False)).unionByName(gone.withColumn("retired", F.lit(True)))
+    return U.marked(_lines(spark, sf), bundle, ["l_orderkey"], "retired")
 
 
 # -- tracks -------------------------------------------------------------------
