@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.windows import grouped
+from trackloom.plans.runtime import spread
 
 
 def capped_topk(df: DataFrame, group: list[str], sub: str, order: list, k: int, cap: int) -> DataFrame:
@@ -57,9 +58,10 @@ def newest_request(df: DataFrame, key: list[str], at: str, last_run: str) -> Dat
 
 
 def balance_sides(df: DataFrame, group: list[str], side: str, confidence: str, a: str, b: str, each: int = 3) -> DataFrame:
-    """Where all 2 x each are decided, flip the least confident of the larger side."""
-    w = Window.partitionBy(*group)
-    d = df.withColumns({"_n": F.count(side).over(w), "_a": F.count_if(F.col(side) == a).over(w)})
+    """Where all 2 x each are decided, flip the least confident of the larger side. One
+    sort serves the counts and the ranks, and tasks are not merged."""
+    w = Window.partitionBy(*group).orderBy(side, confidence).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = spread(df, *group).withColumns({"_n": F.count(side).over(w), "_a": F.count_if(F.col(side) == a).over(w)})
     rank = F.row_number().over(Window.partitionBy(*group, side).orderBy(confidence))
     extra = F.when(F.col(side) == a, F.col("_a") - each).otherwise(F.col("_n") - F.col("_a") - each)
     flip = (F.col("_n") == 2 * each) & (F.col("_r") <= extra)
