@@ -6,7 +6,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from trackloom.operators import assignment as G
 from trackloom.operators import joins as J
+from trackloom.operators import selection as O
+from trackloom.operators import upserts as U
 from trackloom.operators import windows as W
 from trackloom.streaming import ledger as T
 
@@ -108,3 +111,31 @@ def test_ledger_by_tables(spark, tmp_path):
     }
     # ended jobs go once the watermark has passed them; open ones stay
     assert {r.job for r in spark.read.parquet(f"{path}/state/batch=3").collect()} == {"j2", "j3", "j4", "j5", "j6", None}
+
+
+def test_matches_are_coloured_a_few_at_a_time(spark):
+    assert 0 < G._MATCHES <= 64  # matches that are Python objects at once
+    n = 2 * G._MATCHES + 3
+    t = spark.createDataFrame([(m, 10 * m + k, float(k), 0.0, 0.0, k + 5.0, 0.0, 0.0, 1, None) for m in range(n) for k in range(3)], "m long, tid long, t0 double, x0 double, y0 double, t1 double, x1 double, y1 double, n long, side string").coalesce(1)
+    p = spark.createDataFrame([(m, 10 * m, 10 * m + 1) for m in range(0, n, 2)], "m long, a long, b long")
+    v = spark.createDataFrame([], "m long, tid long, team string, n long")
+    got = {r.tid: r.g for r in G.colour_tracks(t, p, v, "m", 2).collect()}
+    assert len(got) == 3 * n and {m: (got[10 * m], got[10 * m + 1]) for m in range(n)} == {m: (0, 1 - m % 2) for m in range(n)}
+
+
+def test_marked_keys_are_merged_not_broadcast(spark):
+    labels, bundle = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, v string"), spark.createDataFrame([(1,), (1,), (3,), (None,)], "k long")
+    out = U.marked(labels, bundle, ["k"], "gone")
+    assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
+    assert sorted((r.v, r.gone) for r in out.collect()) == [("a", True), ("b", True), ("c", False), ("d", False)]
+    kept, gone = U.retire_rounds(labels, bundle, ["k"])
+    assert (sorted(r.v for r in kept.collect()), sorted(r.v for r in gone.collect())) == (["c", "d"], ["a", "b"]) and kept.columns == ["k", "v"]
+
+
+def test_sides_are_balanced_with_one_sort(spark):
+    d = spark.createDataFrame([(m, "red" if (k + m) % 6 < 4 else "blue", k / 10) for m in range(4) for k in range(6)], "m int, side string, c double")
+    out = O.balance_sides(d, ["m"], "side", "c", "red", "blue")
+    assert plan(out).count("Sort ") == 1
+    got = out.where("balanced != side").collect()
+    want = {(m, min(k / 10 for k in range(6) if (k + m) % 6 < 4)) for m in range(4)}
+    assert {(r.m, r.c) for r in got} == want and len(got) == 4

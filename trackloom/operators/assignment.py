@@ -77,6 +77,10 @@ def fused_boxes(boxes: Column, gap: float = 18.0, level: float = 0.5) -> Column:
     return F.aggregate(F.sort_array(keyed), F.array().cast(f"array<{shape}>"), step)
 
 
+#: Matches that are Python objects at once; an Arrow batch may hold thousands.
+_MATCHES = 16
+
+
 class _Groups:
     """The groups of one match while its tracks are dealt out, as columns over groups."""
 
@@ -127,31 +131,33 @@ def colour_tracks(tracks: DataFrame, together: DataFrame, votes: DataFrame, key:
 
     def run(batches):
         for batch in batches:
-            took, tids, where = [], [], []
-            for at, m in enumerate(batch.to_pylist()):
-                rows = sorted(m["tracks"], key=lambda r: (r["t0"], -r["n"], r["tid"]))
-                company: dict = {}
-                for p in m["pairs"] or []:
-                    company.setdefault(p["a"], set()).add(p["b"])
-                teams = sorted({v["team"] for v in m["votes"] or []})
-                state = _Groups(groups, sorted({r["side"] for r in rows if r["side"] is not None}), teams)
-                tally = {r["tid"]: np.zeros(len(teams), int) for r in rows}
-                for v in m["votes"] or []:
-                    if v["tid"] in tally:
-                        tally[v["tid"]][state.team_of[v["team"]]] += v["n"]
-                for r in rows:
-                    mine = tally[r["tid"]]
-                    cost = state.costs(r, mine, speed, gap_cost, far_cost, other_vote, other_side)
-                    g = int(cost.argmin()) if len(cost) else -1
-                    if state.open < groups and (g < 0 or cost[g] >= other_side):
-                        g = state.open
-                    elif g < 0 or np.isinf(cost[g]):
-                        g = -1
-                    if g >= 0:
-                        state.add(g, r, mine, company.get(r["tid"], set()))
-                    took.append(at)
-                    tids.append(r["tid"])
-                    where.append(g)
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(took, pa.int64())), pa.array(tids, pa.int64()), pa.array(where, pa.int32())], names=[key, "tid", "g"])
+            for lo in range(0, batch.num_rows, _MATCHES):
+                part = batch.slice(lo, _MATCHES)
+                took, tids, where = [], [], []
+                for at, m in enumerate(part.to_pylist()):
+                    rows = sorted(m["tracks"], key=lambda r: (r["t0"], -r["n"], r["tid"]))
+                    company: dict = {}
+                    for p in m["pairs"] or []:
+                        company.setdefault(p["a"], set()).add(p["b"])
+                    teams = sorted({v["team"] for v in m["votes"] or []})
+                    state = _Groups(groups, sorted({r["side"] for r in rows if r["side"] is not None}), teams)
+                    tally = {r["tid"]: np.zeros(len(teams), int) for r in rows}
+                    for v in m["votes"] or []:
+                        if v["tid"] in tally:
+                            tally[v["tid"]][state.team_of[v["team"]]] += v["n"]
+                    for r in rows:
+                        mine = tally[r["tid"]]
+                        cost = state.costs(r, mine, speed, gap_cost, far_cost, other_vote, other_side)
+                        g = int(cost.argmin()) if len(cost) else -1
+                        if state.open < groups and (g < 0 or cost[g] >= other_side):
+                            g = state.open
+                        elif g < 0 or np.isinf(cost[g]):
+                            g = -1
+                        if g >= 0:
+                            state.add(g, r, mine, company.get(r["tid"], set()))
+                        took.append(at)
+                        tids.append(r["tid"])
+                        where.append(g)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(took, pa.int64())), pa.array(tids, pa.int64()), pa.array(where, pa.int32())], names=[key, "tid", "g"])
 
     return one.mapInArrow(run, f"{key} {kind}, tid long, g int")
