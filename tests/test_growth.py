@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from trackloom.functions import scalars as S
 from trackloom.operators import assignment as G
 from trackloom.operators import joins as J
 from trackloom.operators import selection as O
@@ -139,3 +140,15 @@ def test_sides_are_balanced_with_one_sort(spark):
     got = out.where("balanced != side").collect()
     want = {(m, min(k / 10 for k in range(6) if (k + m) % 6 < 4)) for m in range(4)}
     assert {(r.m, r.c) for r in got} == want and len(got) == 4
+
+
+def test_undistorted_is_compiled(spark):
+    lens = {"f": 1000.0, "k1": -0.1, "k2": 0.01, "cx": 960.0, "cy": 540.0}
+    d = spark.createDataFrame([(1200.0, 700.0), (960.0, 540.0), (0.0, 1080.0), (None, 1.0)], "x double, y double")
+    dx, dy = S.distort("x", "y", **lens)
+    d = d.select("x", "y", dx.alias("dx"), dy.alias("dy"))
+    out = S.undistorted(d, "dx", "dy", ("bx", "by"), **lens)
+    assert out.columns == [*d.columns, "bx", "by"] and "lambda" not in plan(out)
+    u, v = S.undistort("dx", "dy", **lens)
+    for r in out.withColumns({"u": u, "v": v}).collect():
+        assert (r.bx, r.by) == (r.u, r.v)

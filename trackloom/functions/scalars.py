@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 99.9th percentile displacement envelope (seconds, metres) and the
@@ -287,6 +287,18 @@ def undistort(x, y, f: float, k1: float, k2: float, cx: float, cy: float, rounds
     return u * scale * f + cx, v * scale * f + cy
 
 
+def undistorted(df: DataFrame, x: str, y: str, names: tuple[str, str], f: float, k1: float, k2: float, cx: float, cy: float, rounds: int = 20) -> DataFrame:
+    """:func:`undistort` for a whole table: each step is a column of its own, which Spark
+    compiles; a fold's lambda is interpreted for every row and step."""
+    u, v = (c(x) - cx) / f, (c(y) - cy) / f
+    d = df.withColumn("_r", F.sqrt(u * u + v * v)).withColumn("_a", F.col("_r"))
+    a, r = F.col("_a"), F.col("_r")
+    for _ in range(rounds):
+        d = d.withColumn("_a", r / (F.lit(1.0) + a * a * k1 + a * a * a * a * k2))
+    d = d.withColumn("_a", F.when(r > 0, a / r).otherwise(1.0))
+    return d.select(*df.columns, (u * a * f + cx).alias(names[0]), (v * a * f + cy).alias(names[1]))
+
+
 def inside_polygon(x, y, polygon) -> Column:
     """Even-odd test against ``polygon``, an array of [x, y] arrays."""
     p, n = c(polygon), F.size(c(polygon))

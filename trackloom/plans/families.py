@@ -92,8 +92,8 @@ def lens_model(spark: SparkSession, sf: str) -> DataFrame:
     lens = {"f": 2000.0, "k1": -0.2, "k2": 0.02, "cx": 960.0, "cy": 540.0}
     dx, dy = S.distort("x", "y", **lens)
     d = d.select("l_orderkey", "line", "x", "y", dx.alias("dx"), dy.alias("dy"))
-    bx, by = S.undistort("dx", "dy", **lens)
-    return d.select("l_orderkey", "line", F.round("dx", 5).alias("dx"), F.round("dy", 5).alias("dy"), (F.hypot(bx - F.col("x"), by - F.col("y")) < 1e-5).alias("there_and_back"))
+    d = S.undistorted(d, "dx", "dy", ("bx", "by"), **lens)
+    return d.select("l_orderkey", "line", F.round("dx", 5).alias("dx"), F.round("dy", 5).alias("dy"), (F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")) < 1e-5).alias("there_and_back"))
 
 
 @query("""
