@@ -1,7 +1,7 @@
 """Steps whose memory, disk or time must not outgrow their input."""
 
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -152,3 +152,29 @@ def test_undistorted_is_compiled(spark):
     u, v = S.undistort("dx", "dy", **lens)
     for r in out.withColumns({"u": u, "v": v}).collect():
         assert (r.bx, r.by) == (r.u, r.v)
+
+
+def test_groups_are_named_without_shuffles_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(m), int(g), f"T{k}", s) for m, g, k, s in zip(rng.integers(0, 30, 300), rng.integers(0, 3, 300), rng.integers(0, 3, 300), rng.choice(["red", "blue"], 300), strict=True)]
+    lines = spark.createDataFrame(rows, "m long, g int, team string, s string").repartition(3, "m")
+    groups = lines.groupBy("m", "g").agg(J.F.when(J.F.count("*") > 2, J.F.min("s")).alias("side"))
+    votes = lines.where("g != 1 or m % 2 = 0").groupBy("m", "g", "team").agg(J.F.count("*").alias("n"))
+    teams = lines.select("m").distinct().select("m", J.F.explode(J.F.array(*map(J.F.lit, range(3)))).alias("k")).select("m", "k", J.F.concat(J.F.lit("T"), "k").alias("team"), J.F.when(J.F.col("k") == 1, "blue").otherwise("red").alias("side"))
+    out = G.name_groups(groups, votes, teams, "m", 3)
+    assert plan(out).count("Exchange ") == 3  # the three readings of lines
+    tally, side = Counter((r.m, r.g, r.team) for r in votes.collect() for _ in range(r.n)), {(r.m, r.g): r.side for r in groups.collect()}
+
+    def cost(m, g, k):
+        if (m, g) not in side:
+            return 50.0
+        total = sum(tally[m, g, f"T{t}"] for t in range(3))
+        off = side[m, g] is not None and side[m, g] != ("blue" if k == 1 else "red")
+        return 50.0 - (tally[m, g, f"T{k}"] * 100.0 / total if total else 0.0) + (500.0 if off else 0.0)
+
+    want = {}
+    for m in {m for m, _ in side}:
+        c, p = min((round(sum(cost(m, g, p[g]) for g in range(3)), 9), p) for p in permutations(range(3)))
+        want |= {(m, g): (f"T{p[g]}", c) for g in range(3) if (m, g) in side}
+    got = out.collect()
+    assert {(r.m, r.g): (r.team, r.cost) for r in got} == want and len(got) == len(want)

@@ -36,17 +36,39 @@ def name_groups(groups: DataFrame, votes: DataFrame, teams: DataFrame, key: str,
     and ``wrong`` more if the group's side is known and another one. Groups ``(key, g,
     side)`` and teams ``(key, k, team, side)`` are numbered from 0 below ``n``, ``votes
     (key, g, team, n)``; places that neither fills cost ``base``. Orders are tried all,
-    per match as one expression; the first in order on ties.
+    per match as one expression; the first in order on ties. Everything goes by ``key``
+    alone: tables dealt out by it are not shuffled again.
     """
-    total = votes.groupBy(key, "g").agg(F.sum("n").alias("all"))
-    pairs = groups.select(key, "g", F.col("side").alias("_side")).join(teams, key).join(votes, [key, "g", "team"], "left").join(total, [key, "g"], "left")
-    part = F.when(F.col("all") > 0, F.coalesce("n", F.lit(0)) * share / F.col("all")).otherwise(0.0)
-    off = F.coalesce(F.col("_side") != F.col("side"), F.lit(False))
-    priced = pairs.select(key, "g", "k", (F.lit(base) - part + F.when(off, wrong).otherwise(0.0)).alias("c"))
-    cell = [[F.coalesce(F.max(F.when((F.col("g") == i) & (F.col("k") == j), F.col("c"))), F.lit(base)) for j in range(n)] for i in range(n)]
-    best = priced.groupBy(key).agg(F.array(*[F.array(*row) for row in cell]).alias("cost")).withColumn("best", best_permutations(F.col("cost"), n))
-    named = best.select(key, F.col("best.cost").alias("cost"), F.posexplode("best.columns").alias("g", "k"))
-    return named.join(groups.select(key, "g"), [key, "g"]).join(teams.select(key, "k", "team"), [key, "k"]).select(key, "g", "team", "cost")
+    gs = groups.groupBy(key).agg(F.collect_list(F.struct("g", "side")).alias("_gs"))
+    ts = teams.groupBy(key).agg(F.collect_list(F.struct("k", "team", "side")).alias("_ts"))
+    vs = votes.groupBy(key).agg(F.collect_list(F.struct("g", "team", F.col("n").cast("double").alias("n"))).alias("_vs"))
+    d = gs.join(ts.hint("merge"), key).join(vs.hint("merge"), key, "left")
+
+    def counted(holds) -> Column:
+        return F.aggregate(F.filter("_vs", holds), F.lit(0.0), lambda x, v: x + F.coalesce(v["n"], F.lit(0.0)))
+
+    def first(of: str, place: str, i: int) -> Column:
+        return F.get(F.filter(of, lambda x: x[place] == i), F.lit(0))
+
+    def priced(g: Column, t: Column, all_: Column) -> Column:
+        own = counted(lambda v: (v["g"] == g["g"]) & (v["team"] == t["team"]))
+        part = F.when(all_ > 0, own * share / all_).otherwise(0.0)
+        off = F.coalesce(g["side"] != t["side"], F.lit(False))
+        return F.when(g.isNotNull() & t.isNotNull(), F.lit(base) - part + F.when(off, wrong).otherwise(0.0)).otherwise(base)
+
+    def votes_of(i: int) -> Column:
+        return counted(lambda v: v["g"] == i)
+
+    places = range(n)
+    d = d.withColumns({f"_g{i}": first("_gs", "g", i) for i in places} | {f"_t{j}": first("_ts", "k", j) for j in places} | {f"_n{i}": votes_of(i) for i in places})
+    d = d.withColumn("_m", F.array(*[F.array(*[priced(F.col(f"_g{i}"), F.col(f"_t{j}"), F.col(f"_n{i}")) for j in places]) for i in places])).withColumn("_best", best_permutations(F.col("_m"), n))
+
+    def won(g: Column) -> Column:
+        k = F.when(g["g"].between(0, n - 1), F.get("_best.columns", g["g"].cast("int")))
+        return F.transform(F.filter("_ts", lambda t: t["k"] == k), lambda t: F.struct(g["g"].cast("int").alias("g"), t["team"].alias("team")))
+
+    named = d.select(key, F.col("_best.cost").alias("cost"), F.explode(F.flatten(F.transform("_gs", won))).alias("_w"))
+    return named.select(key, "_w.g", "_w.team", "cost")
 
 
 def fused_boxes(boxes: Column, gap: float = 18.0, level: float = 0.5) -> Column:

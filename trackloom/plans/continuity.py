@@ -18,7 +18,7 @@ from trackloom.operators import tracks as T
 from trackloom.operators import validity as V
 from trackloom.operators import windows as W
 from trackloom.plans.catalog import _ZERO, ORACLES, QUERIES, query
-from trackloom.plans.runtime import Scratch, table
+from trackloom.plans.runtime import Scratch, spread, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -244,7 +244,8 @@ def named_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Groups named by teams at least cost: votes and sides."""
     g = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match"), g.alias("g"), F.concat(F.lit("T"), F.col("l_suppkey") % 3).alias("team"), F.col("l_linestatus").alias("s"))
-    groups = lines.groupBy("match", "g").agg(F.when(F.count("*") > 1, F.when(F.min("s") == "O", "red").otherwise("blue")).alias("side"))
+    lines = spread(lines, "match")
+    groups = lines.groupBy("match", "g").agg(F.when(F.count("*") > 1, F.when((F.count_if(F.col("s") < "O") == 0) & (F.count_if(F.col("s") == "O") > 0), "red").otherwise("blue")).alias("side"))
     votes = lines.groupBy("match", "g", "team").agg(F.count("*").alias("n"))
     k = F.explode(F.array(*map(F.lit, range(3)))).alias("k")
     teams = lines.select("match").distinct().select("match", k).select("match", "k", F.concat(F.lit("T"), "k").alias("team"), F.when(F.col("k") == 1, "blue").otherwise("red").alias("side"))
