@@ -7,11 +7,15 @@ best bounds first. What it has found then rules out labels, and within the label
 all groups whose bound doesn't beat the query's third best; it visits the others in a
 second step, and its two best labels are exact. Visits are rows: an equi-join of blocks
 of queries and blocks of prototypes that share a group, each pair one matrix product.
+Where a sample of the queries would visit more than a small share of a large gallery,
+all pairs are compared in tiles instead (:mod:`gallery_tiles`), with the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trackloom.functions import scalars as S
+from trackloom.operators import gallery_tiles
 from trackloom.plans.runtime import Scratch, ship
 
 #: Bytes of centres and of group descriptions that go to every task; groups at most.
@@ -27,6 +31,11 @@ CENTRE_BYTES, DESCRIBED, GROUPS = 16_000_000, 200_000, 4096
 QUERIES, ROWS, PROBE = 512, 2048, 4
 #: Pairs of blocks, of a MB or two each, that a task holds at a time.
 PAIRS = 4
+#: Visits that a task gives out at a time, each with its query's vector.
+VISITS = 8192
+#: Queries times prototypes from which a sample of so many queries is asked first, and the
+#: share of the gallery it may visit; it decides speed, never results.
+ASKED, SAMPLE, SHARE = 50_000_000, 256, 0.02
 SLACK = 1e-7
 
 
@@ -38,7 +47,9 @@ class Index:
     labels: list
     size: np.ndarray
     reach: np.ndarray
-    blocks: DataFrame
+    blocks: DataFrame | None = None
+    assigned: DataFrame | None = None
+    counts: DataFrame | None = None
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds (group, label) on the cosine of ``q`` and a member."""
@@ -81,12 +92,27 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
 
 
+def _units(df: DataFrame, name: str) -> DataFrame:
+    """``(name, v)``: rows with a vector, as unit vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = gallery_tiles.unit_rows(batch.column("vector"))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]) if v.size else np.zeros(len(v) + 1), pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(name), flat], names=[name, "v"])
+
+    kind = df.schema[name].dataType.simpleString()
+    return df.where("vector is not null").select(name, "vector").mapInArrow(run, f"{name} {kind}, v array<double>")
+
+
 def build(prototypes: DataFrame, scratch: Scratch, groups: int | None = None, rows: int = ROWS) -> Index:
     """An index of unit vectors ``(label, v)``, all of one length. Centres are the
     ``groups`` vectors of least hash (by default as many as the root of their number,
     bounded): a sample that decides speed, never results."""
     spark = prototypes.sparkSession
     ship(spark)
+    prototypes = scratch.keep(prototypes, "units")
     said = prototypes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).orderBy("label").limit(DESCRIBED + 1).collect()
     labels, n, dim = [r["label"] for r in said], sum(r["n"] for r in said), max((r["dim"] for r in said), default=1)
     if len(labels) > DESCRIBED:
@@ -100,7 +126,7 @@ def build(prototypes: DataFrame, scratch: Scratch, groups: int | None = None, ro
     kind = to_arrow_type(prototypes.schema["label"].dataType)
 
     def assign(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             v = _vectors(batch.column("v"))
             sim = v @ centres.T
             group = np.where(np.any(v != 0, axis=1), np.argmax(sim[:, :-1], axis=1) if len(centres) > 1 else 0, len(centres) - 1)
@@ -109,6 +135,7 @@ def build(prototypes: DataFrame, scratch: Scratch, groups: int | None = None, ro
 
     simple = prototypes.schema["label"].dataType.simpleString()
     assigned = scratch.keep(prototypes.select("label", "v").mapInArrow(assign, f"group int, label {simple}, v array<double>, angle double"), "assigned")
+    scratch.drop("units")
     size, reach = np.zeros((len(centres), len(labels)), np.int64), np.zeros((len(centres), len(labels)))
     for r in assigned.groupBy("group", "label").agg(F.count("*").alias("n"), F.max("angle").alias("reach")).collect():  # bounded above
         size[r["group"], number[r["label"]]], reach[r["group"], number[r["label"]]] = r["n"], r["reach"]
@@ -123,7 +150,8 @@ def build(prototypes: DataFrame, scratch: Scratch, groups: int | None = None, ro
     assert kind is not None
     blocks = dealt.select("group", "part", "label", "v").mapInArrow(numbered, "group int, part long, label int, v array<double>")
     blocks = blocks.groupBy("group", "part").agg(F.collect_list("label").alias("labels"), F.flatten(F.collect_list("v")).alias("vs"))
-    return Index(centres, labels, size, reach, scratch.keep(blocks, "blocks"))
+    counts = assigned.groupBy("label").agg(F.count("*").alias("n"))
+    return Index(centres, labels, size, reach, scratch.keep(blocks, "blocks"), assigned, counts)
 
 
 def _visit(index: Index, visits: DataFrame, k: int, digits: int, scratch: Scratch, name: str) -> DataFrame:
@@ -161,52 +189,68 @@ def votes(queries: DataFrame, prototypes: DataFrame, scratch: Scratch, top: int
     have one length."""
     spark = queries.sparkSession
     ship(spark)
-    q = queries.where("vector is not null").select("qid", S.unit("vector").alias("v"))
-    p = prototypes.where("vector is not null").select("label", S.unit("vector").alias("v"))
+    q, p = _units(queries, "qid"), _units(prototypes, "label")
     index = build(p, scratch, groups, rows)
     centres, labels, size, reach = index.centres, index.labels, index.size, index.reach
     kinds = q.schema["qid"].dataType.simpleString(), p.schema["label"].dataType.simpleString()
     if not labels:
         return spark.createDataFrame([], f"qid {kinds[0]}, label {kinds[1]}, score double, margin double")
 
-    def said(qids: pa.Array, v: pa.Array, where: list[tuple[int, int]]) -> pa.RecordBatch:
+    def said(qids: pa.Array, v: pa.Array, where: Sequence[tuple[int, int]]) -> pa.RecordBatch:
         at = pa.array([i for i, _ in where], pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([g for _, g in where], pa.int32()), qids.take(at), v.take(at)], names=["group", "qid", "v"])
 
     def first(batches):
-        local = Index(centres, labels, size, reach, None)
-        for batch in batches:
+        local = Index(centres, labels, size, reach)
+        for batch in (b.slice(i, VISITS // PROBE) for b in batches for i in range(0, b.num_rows, VISITS // PROBE)):
             v = _vectors(batch.column("v"))
             yield said(batch.column("qid"), batch.column("v"), [(i, g) for i in range(len(v)) for g in local.first(local.bounds(v[i])).tolist()])
 
     def second(batches):
-        local = Index(centres, labels, size, reach, None)
+        local = Index(centres, labels, size, reach)
         for batch in batches:
-            v, known = _vectors(batch.column("v")), batch.column("found").to_pylist()
-            where, play = [], []
-            for i in range(len(v)):
-                found: dict[int, list[float]] = {}
-                for r in known[i] or []:
-                    found.setdefault(r["label"], []).extend(r["sims"])
-                labels_left, groups_left = local.second(v[i], found, top, margin)
-                play.append(labels_left)
-                where += [(i, g) for g in groups_left.tolist()] or [(i, -1)]
-            out = said(batch.column("qid"), batch.column("v"), where)
-            held = pa.array([play[i] for i, _ in where], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*out.columns, held], names=["group", "qid", "v", "play"])
+            v, known, play = batch.column("v"), batch.column("found"), []
+
+            def visits(v=v, known=known, play=play):
+                for i in range(len(v)):
+                    found: dict[int, list[float]] = {}
+                    for r in known[i].as_py() or []:
+                        found.setdefault(r["label"], []).extend(r["sims"])
+                    labels_left, groups_left = local.second(np.asarray(v[i].values, float), found, top, margin)
+                    play.append(labels_left)
+                    yield from [(i, g) for g in groups_left.tolist()] or [(i, -1)]
+
+            for where in batched(visits(), VISITS):
+                out = said(batch.column("qid"), v, where)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([play[i] for i, _ in where], pa.list_(pa.int32()))], names=["group", "qid", "v", "play"])
 
     ddl = f"group int, qid {kinds[0]}, v array<double>"
-    near = _visit(index, q.mapInArrow(first, ddl), top, digits, scratch, "first")
-    best = near.groupBy("qid", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, top).alias("sims"))
-    found = best.groupBy("qid").agg(F.collect_list(F.struct("label", "sims")).alias("found"))
-    plan = scratch.keep(q.join(found, "qid", "left").mapInArrow(second, f"{ddl}, play array<int>"), "plan")
+
+    def planned(asked: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        near = _visit(index, asked.mapInArrow(first, ddl), top, digits, scratch, f"{name}first")
+        best = near.groupBy("qid", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, top).alias("sims"))
+        found = best.groupBy("qid").agg(F.collect_list(F.struct("label", "sims")).alias("found"))
+        return near, scratch.keep(asked.join(found, "qid", "left").mapInArrow(second, f"{ddl}, play array<int>"), f"{name}plan")
+
+    def ranked(scored: DataFrame) -> DataFrame:
+        w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")
+        return scored.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w)}).where("r = 1")
+
+    behind = F.round(F.col("score") - F.col("next"), digits) if margin else F.lit(None).cast("double")
+    asked, held = q.count(), int(size.sum())
+    if asked * held > ASKED:
+        some = scratch.keep(q.orderBy(F.xxhash64("qid"), "qid").limit(SAMPLE), "sample")
+        _, plan = planned(some, "sample-")
+        many = dict(enumerate(size.sum(axis=1).tolist()))
+        visited = sum(r["n"] * many.get(r["group"], 0) for r in plan.groupBy("group").agg(F.count("*").alias("n")).collect())  # a row per group
+        if visited > SHARE * min(asked, SAMPLE) * held:
+            scored = gallery_tiles.scores(q, index.assigned.select("label", "v"), index.counts, (asked, held), centres.shape[1], scratch, top, digits)
+            return ranked(scored).select("qid", "label", "score", behind.alias("margin"))
+    near, plan = planned(q, "")
     far = _visit(index, plan.where("group >= 0").select("group", "qid", "v"), top, digits, scratch, "second")
     every = near.unionByName(far).groupBy("qid", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, top).alias("sims"))
     play = plan.select("qid", "play").distinct()
     score = F.round(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x) / F.size("sims"), digits)
-    exact = every.join(play, "qid").where(F.array_contains("play", F.col("label"))).select("qid", "label", score.alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")  # labels are numbered in order
-    ranked = exact.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w)}).where("r = 1")
+    exact = every.join(play, "qid").where(F.array_contains("play", F.col("label"))).select("qid", "label", score.alias("score"))  # labels are numbered in order
     names = spark.createDataFrame(list(enumerate(labels)), f"label int, name {kinds[1]}")
-    behind = F.round(F.col("score") - F.col("next"), digits) if margin else F.lit(None).cast("double")
-    return ranked.join(F.broadcast(names), "label").select("qid", F.col("name").alias("label"), "score", behind.alias("margin"))
+    return ranked(exact).join(F.broadcast(names), "label").select("qid", F.col("name").alias("label"), "score", behind.alias("margin"))
