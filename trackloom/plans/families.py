@@ -357,7 +357,8 @@ SELECT user_id, run, round(mid, 6) AS mid FROM n WHERE t1 - t0 <= 20000 AND nt -
 def short_excursions(spark: SparkSession, sf: str) -> DataFrame:
     """Short stretches that leave and come back."""
     d = _events(spark, sf).withColumn("run", F.floor(F.col("t") / 43200))
-    return W.excursions(d, ["user_id"], ["t", "event_id"], "t", "value", "run", 20_000.0, 200_000.0, 20.0).select("user_id", "run", F.round("mid", 6).alias("mid"))
+    mid = F.round(F.col("mid") * 1e6) / 1e6  # as the SQL rounds: means of 32 rows end in halves
+    return W.excursions(d, ["user_id"], ["event_id"], "t", "value", "run", 20_000.0, 200_000.0, 20.0).select("user_id", "run", mid.alias("mid"))
 
 
 # -- documents ----------------------------------------------------------------
