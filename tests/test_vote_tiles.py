@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from test_votes import brute, same, voted
+from test_votes import brute, same, tables, voted
 
 from trackloom.operators import gallery_index as I
 from trackloom.operators import gallery_tiles as T
@@ -57,3 +57,9 @@ def test_best_of_rows_under_maxima():
         for part in np.array_split(sim, 3) if m > 5 else [sim]:
             T.raise_best(best, part.copy())
         assert (best == -np.sort(-sim, axis=0)[:k]).all()
+
+
+def test_margin_is_rounded_once(spark):
+    x = np.array([0.3000015, 0.1])  # 0.2000015 apart, a little less as doubles
+    queries, gallery = tables(spark, [[1.0, 0.0]], np.stack((x, np.sqrt(1 - x * x)), axis=1), [1, 2])
+    assert [r.margin for r in I.votes(queries, gallery, Scratch(spark, "t")).collect()] == [0.3000015 - 0.1]

@@ -236,7 +236,7 @@ def votes(queries: DataFrame, prototypes: DataFrame, scratch: Scratch, top: int
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "label")
         return scored.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w)}).where("r = 1")
 
-    behind = F.round(F.col("score") - F.col("next"), digits) if margin else F.lit(None).cast("double")
+    behind = F.col("score") - F.col("next") if margin else F.lit(None).cast("double")
     asked, held = q.count(), int(size.sum())
     if asked * held > ASKED:
         some = scratch.keep(q.orderBy(F.xxhash64("qid"), "qid").limit(SAMPLE), "sample")
